@@ -24,6 +24,7 @@ def local_session(cores: int | str = "*", app: str = "gridgale") -> SparkSession
         .appName(app)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", parts)
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
