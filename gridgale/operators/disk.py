@@ -33,6 +33,7 @@ from gridgale.operators.range_join import range_join
 DISK_K = 2
 NEIGHBOUR_WINDOW_H = 24
 SPREAD_FRACTION = 0.01
+TILE = 8  # cells per tile side
 MAX_TYPES_IN_MASK = 62 * 8
 
 
@@ -58,7 +59,13 @@ def requests(points: DataFrame, k: int) -> DataFrame:
 
 
 def to_points(per_cell: DataFrame, k: int) -> DataFrame:
-    """Copy per-cell rows to the points they serve, as (q, r, t, is_self, ...)."""
+    """Copy per-cell rows to the points they serve, as (q, r, t, is_self, ...).
+
+    Rows are first laid out in square tiles of cells. Most of the copies that meet at a point
+    then start in the same task, and the aggregate that follows combines them before its shuffle.
+    """
+    tile = [F.floor(F.col(c) / F.lit(TILE)) for c in ("nq", "nr")]
+    per_cell = per_cell.repartition(*tile, "t")
     wanted = F.filter(
         offsets_array(k),
         lambda o: F.col("ring").bitwiseAND(o["bit"]) != 0,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["features"]
+_MODULES = ["stores", "scalars", "checks", "features"]
 
 
 def registry():

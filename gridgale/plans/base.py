@@ -84,6 +84,71 @@ ROLES: dict[str, str] = {
         SELECT event_id, CAST(ts AS TIMESTAMP) AS recorded_at, 20000 + value * 300 AS load_mw,
           CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(85000 AS DOUBLE) END AS capacity_mw,
           59.4 + CAST(event_id % 13 AS DOUBLE) / 10 AS frequency_hz FROM {events}""",
+    "geo": """
+        SELECT event_id, CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 31 = 0 THEN 0.0E0
+            WHEN event_id % 37 = 0 THEN 95.0E0 ELSE 25 + (event_id % 997) * 0.01E0 END AS lat,
+          CASE WHEN event_id % 31 = 0 THEN 0.0E0 WHEN event_id % 41 = 0 THEN -181.0E0
+            ELSE -125 + (event_id % 5003) * 0.011E0 END AS lon FROM {events}""",
+    "raw_storms": """
+        SELECT e.event_id, CASE WHEN e.event_id % 19 = 0 THEN NULL ELSE CAST(e.ts AS TIMESTAMP) END
+            AS begin_date_time,
+          CASE WHEN e.event_id % 23 = 0 THEN NULL WHEN e.event_id % 3 = 0 THEN ' Tornado '
+            WHEN e.event_id % 3 = 1 THEN 'Hail' ELSE 'High Wind' END AS event_type,
+          CASE WHEN e.event_id % 17 = 0 THEN 'n/a' ELSE CAST(e.value AS STRING) END AS magnitude,
+          CASE e.event_id % 6 WHEN 0 THEN '25K' WHEN 1 THEN '1.5M' WHEN 2 THEN '0' WHEN 3 THEN '2B'
+            WHEN 4 THEN '300' ELSE NULL END AS damage_property,
+          '1K' AS damage_crops,
+          CAST(e.event_id % 4 AS STRING) AS injuries_direct,
+          CAST(e.event_id % 3 AS STRING) AS injuries_indirect,
+          CAST(e.event_id % 2 AS STRING) AS deaths_direct, CAST(NULL AS STRING) AS deaths_indirect,
+          CASE e.user_id % 3 WHEN 0 THEN '48' WHEN 1 THEN '6' ELSE '12' END AS state_fips,
+          CAST(e.user_id % 400 AS STRING) AS cz_fips, g.lat AS begin_lat, g.lon AS begin_lon
+        FROM {events} e JOIN {geo} g ON e.event_id = g.event_id""",
+    "raw_alerts": """
+        SELECT doc_id AS alert_id,
+          CASE WHEN doc_id % 11 = 0 THEN '' WHEN doc_id % 3 = 0 THEN 'Tornado Warning'
+            WHEN doc_id % 3 = 1 THEN 'Flood Watch' ELSE 'Volcano Statement' END AS event_type,
+          CASE doc_id % 7 WHEN 0 THEN 'Extreme' WHEN 1 THEN 'Severe' WHEN 2 THEN 'Moderate'
+            WHEN 3 THEN 'Minor' WHEN 4 THEN 'Unknown' WHEN 5 THEN 'Other' ELSE NULL END AS severity,
+          'Likely' AS certainty, 'Expected' AS urgency, lang AS headline, text AS description,
+          source AS area_desc,
+          CASE WHEN doc_id % 5 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00'
+            + INTERVAL '1' HOUR * CAST(doc_id AS INT) END AS onset,
+          TIMESTAMP '2024-01-02 00:00:00' + INTERVAL '1' HOUR * CAST(doc_id AS INT) AS effective,
+          TIMESTAMP '2024-01-03 00:00:00' + INTERVAL '1' HOUR * CAST(doc_id AS INT) AS expires,
+          CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 25 + (doc_id % 97) * 0.1E0 END AS lat,
+          -100 + (doc_id % 89) * 0.1E0 AS lon FROM {documents}""",
+    "raw_station": """
+        SELECT event_id, CAST(ts AS TIMESTAMP) AS valid,
+          CASE event_id % 4 WHEN 0 THEN 'KIAH' WHEN 1 THEN 'KLAX' WHEN 2 THEN 'KMIA' ELSE 'KXXX' END
+            AS station,
+          CASE WHEN event_id % 9 = 0 THEN 'M' ELSE CAST(value - 20 AS STRING) END AS tmpf,
+          CASE WHEN event_id % 8 = 0 THEN '' ELSE CAST(value / 4 AS STRING) END AS sknt,
+          CASE WHEN event_id % 3 = 0 THEN 'M' ELSE CAST(value / 2 AS STRING) END AS gust,
+          CASE WHEN event_id % 5 = 0 THEN 'T' ELSE CAST(value / 20 AS STRING) END AS p01i,
+          CAST(event_id % 110 AS STRING) AS relh FROM {events}""",
+    "raw_utilities": """
+        SELECT s_suppkey AS id, CAST(s_suppkey % 900 AS STRING) AS county_fips,
+          CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS STRING) ELSE NULL END AS utility_id,
+          s_name AS utility_name,
+          CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE CAST(s_acctbal AS STRING) END
+            AS transmission_line_miles,
+          CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE CAST(s_suppkey % 6 AS STRING) END
+            AS substations_count,
+          CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE '10.5' END AS generation,
+          CASE WHEN s_suppkey % 5 = 0 THEN '2021' ELSE 'n/a' END AS period FROM {supplier}""",
+    "raw_census": """
+        SELECT c_custkey AS id, c_name AS NAME,
+          CASE c_custkey % 8 WHEN 0 THEN '48201' WHEN 1 THEN '06037' WHEN 2 THEN '12086'
+            WHEN 3 THEN '48113' WHEN 4 THEN 'bad' ELSE CAST(10000 + c_custkey AS STRING) END
+            AS county_fips,
+          CAST(CAST(floor(c_acctbal) AS BIGINT) AS STRING) AS total_population,
+          CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE CAST(40000 + c_custkey AS STRING) END
+            AS median_household_income,
+          CAST(1940 + c_custkey % 100 AS STRING) AS median_year_structure_built,
+          CAST(c_custkey % 50 * 10 AS STRING) AS total_housing_units,
+          CAST(c_custkey % 50 AS STRING) AS vacant_housing_units,
+          CAST(c_custkey % 700 AS STRING) AS population_below_poverty FROM {customer}""",
     "damage_strings": """
         SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN '25K' WHEN 1 THEN '1.5M'
           WHEN 2 THEN '0' WHEN 3 THEN ' 2b ' WHEN 4 THEN '' WHEN 5 THEN 'n/a' WHEN 6 THEN '100'
@@ -107,7 +172,7 @@ ORACLE_ONLY = {
         CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '{GRID_START}',
           TIMESTAMP '{GRID_END}', INTERVAL 6 HOUR)) AS ts) t""",
 }
-DEPENDS = {"alerts": ["predictions"], "points": ["weather"]}
+DEPENDS = {"alerts": ["predictions"], "points": ["weather"], "raw_storms": ["geo"]}
 
 
 class Source:

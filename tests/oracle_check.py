@@ -18,7 +18,7 @@ sys.path.insert(0, ROOT)
 
 
 def plain(value):
-    if value is None:
+    if value is None or type(value).__name__ == "NAType":
         return None
     if isinstance(value, float):
         return None if math.isnan(value) else float(value)
