@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["stores", "scalars", "checks", "features"]
+_MODULES = ["stores", "scalars", "checks", "features", "modelling", "explore", "service"]
 
 
 def registry():
