@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["stores", "scalars", "checks", "features", "modelling", "explore", "service"]
+_MODULES = ["stores", "scalars", "checks", "features", "modelling", "learning", "explore", "service"]
 
 
 def registry():
