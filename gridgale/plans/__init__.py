@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["stores", "scalars", "checks", "features", "modelling", "learning", "explore", "service"]
+_MODULES = [
+    "stores", "scalars", "checks", "features", "modelling", "learning", "explore", "service", "streams",
+]
 
 
 def registry():
