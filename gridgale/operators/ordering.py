@@ -8,7 +8,7 @@ the driver; rows never do.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridgale.session import settle
@@ -26,24 +26,24 @@ def _ranged(df: DataFrame, order: list[str], partitions: int | None) -> DataFram
     )
 
 
-def _lookup(values: dict[int, float | int], pid: Column, kind: str) -> Column:
-    size = max(values, default=0) + 1
-    cells = [F.lit(values.get(i, 0)).cast(kind) for i in range(size)]
-    return F.element_at(F.array(*cells), pid + 1)
+def _with_offsets(ranged: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """Join one row of offsets per partition. Broadcast is safe: the table has as many rows as
+    the data has partitions."""
+    offsets = ranged.sparkSession.createDataFrame(rows, schema)
+    return ranged.join(F.broadcast(offsets), "_pid")
 
 
 def numbered(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
     """Add ``position``: 0-based place of each row in the global order."""
     ranged = _ranged(df, order, partitions)
     counts = {r["_pid"]: r["n"] for r in ranged.groupBy("_pid").agg(F.count("*").alias("n")).collect()}
-    offsets, seen = {}, 0
-    for pid in range(max(counts, default=-1) + 1):
-        offsets[pid] = seen
-        seen += counts.get(pid, 0)
+    rows, seen = [], 0
+    for pid in sorted(counts):
+        rows.append((pid, seen))
+        seen += counts[pid]
     local = F.col("_m").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    return ranged.withColumn(
-        "position", _lookup(offsets, F.col("_pid"), "bigint") + local
-    ).drop("_m", "_pid")
+    placed = _with_offsets(ranged, rows, "_pid int, _offset long")
+    return placed.withColumn("position", F.col("_offset") + local).drop("_m", "_pid", "_offset")
 
 
 def running_totals(
@@ -58,23 +58,20 @@ def running_totals(
         r["_pid"]: r
         for r in ranged.groupBy("_pid").agg(*[F.sum(s).alias(s) for s in sums]).collect()
     }
-    last = max(parts, default=-1)
-    offsets: dict[str, dict[int, float]] = {s: {} for s in sums}
-    totals = dict.fromkeys(sums, 0)
-    for pid in range(last + 1):
-        for s in sums:
-            offsets[s][pid] = totals[s]
-            if pid in parts and parts[pid][s] is not None:
-                totals[s] += parts[pid][s]
-    w = Window.partitionBy("_pid").orderBy(*order)
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     kinds = dict(ranged.dtypes)
-    out = ranged.withColumns({
-        f"{s}_before": _lookup(offsets[s], F.col("_pid"), kinds[s])
-        + F.coalesce(F.sum(s).over(earlier), F.lit(0).cast(kinds[s]))
+    rows, totals = [], dict.fromkeys(sums, 0)
+    for pid in sorted(parts):
+        rows.append((pid, *[totals[s] for s in sums]))
+        for s in sums:
+            totals[s] += parts[pid][s] or 0
+    schema = ", ".join(["_pid int", *[f"_before_{s} {kinds[s]}" for s in sums]])
+    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = _with_offsets(ranged, rows, schema)
+    out = placed.withColumns({
+        f"{s}_before": F.col(f"_before_{s}") + F.coalesce(F.sum(s).over(w), F.lit(0).cast(kinds[s]))
         for s in sums
     })
-    return out.drop("_m", "_pid"), totals
+    return out.drop("_m", "_pid", *[f"_before_{s}" for s in sums]), totals
 
 
 def quantiles(df: DataFrame, column: str, probabilities: list[float]) -> list[float | None]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridgale.functions.clock import HOUR, floor_micros, micros
+from gridgale.operators.ordering import numbered
 
 TICK = 6 * HOUR
 
@@ -64,20 +65,19 @@ def balanced_points(
 
     Positives are picked by a hash order. Each of the draws is a row id whose hash gives the
     rank of a cell and the number of a tick, so the same seed gives the same points on any
-    cluster. The seen cells are numbered by a range sort (``numbered``).
+    cluster. Both ranks come from a range sort (``numbered``), which no single task holds.
     """
-    from gridgale.operators.ordering import numbered
-
     spark = weather.sparkSession
     lo, hi = time_span(weather)
     first = -(-lo // TICK) * TICK + 72 * HOUR
     last = hi // TICK * TICK - 24 * HOUR
     n_ticks = (last - first) // TICK + 1
 
+    shuffled = positive_points(weather, outages).withColumn("_h", F.xxhash64(F.lit(seed), "cell", "ts"))
     positives = (
-        positive_points(weather, outages)
-        .orderBy(F.xxhash64(F.lit(seed), "cell", "ts"), "cell", "ts")
-        .limit(n // 3)
+        numbered(shuffled, ["_h", "cell", "ts"])
+        .filter(F.col("position") < n // 3)
+        .drop("_h", "position")
         .withColumn("kind", F.lit("positive"))
     )
     seen = weather.select("cell", "q", "r").union(outages.select("cell", "q", "r")).distinct()

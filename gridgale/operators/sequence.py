@@ -15,6 +15,19 @@ from gridgale.functions.hexgrid import with_disk
 from gridgale.operators.range_join import range_join
 
 LOOKBACK_H = 72
+MAX_SLICE_ROWS = 2_000_000
+
+
+def suitable_width(weather: DataFrame, step: int, target: int = MAX_SLICE_ROWS) -> int:
+    """The tick, or a divisor of it narrow enough that a slice of the busiest cell holds about
+    ``target`` rows at most: one small aggregate, one number to the driver."""
+    at = slice_mark(micros(F.col("event_time")), step)
+    per_slice = weather.groupBy("q", "r", at.alias("at")).agg(F.count("*").alias("n"))
+    busiest = per_slice.agg(F.max("n")).first()[0] or 0
+    parts = 1
+    while busiest > target * parts and parts < 2**20 and step % (parts * 2) == 0:
+        parts *= 2
+    return step // parts
 
 
 def ordered_events(weather: DataFrame, step: int, k: int, tie: str) -> DataFrame:
@@ -60,11 +73,13 @@ def sequence_features(
 ) -> DataFrame:
     """Order-dependent features per (q, r, t); ties in time are broken by ``tie``.
 
-    A slice is as wide as the tick unless ``slice_width`` asks for narrower ones, which split the
-    events of a very busy cell over more tasks.
+    A slice is as wide as the tick, or narrower where the busiest cell needs its events split over
+    more tasks (``suitable_width``, unless the caller fixes ``slice_width``).
     """
     reach = LOOKBACK_H * HOUR
-    ordered = ordered_events(weather, common_step(tick, reach, slice_width or tick), k, tie)
+    step = common_step(tick, reach)
+    width = slice_width or suitable_width(weather, step)
+    ordered = ordered_events(weather, common_step(step, width), k, tie)
     key = ["q", "r", "t"]
     pairs = range_join(
         points, slice_summaries(ordered), ["q", "r"], "at", F.col("t") - reach, F.col("t"), reach

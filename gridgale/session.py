@@ -27,6 +27,8 @@ def local_session(cores: int | str = "*", app: str = "gridgale") -> SparkSession
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", parts)
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # Wide feature plans compile more classes than the default cache keeps.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
     )
     for key, value in _SETTINGS.items():
         builder = builder.config(key, value)
