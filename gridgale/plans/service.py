@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridgale.constants import (
@@ -176,13 +176,16 @@ def q13_history_rows(s: Source) -> DataFrame:
 
 # --- scoring -------------------------------------------------------------------------------
 
-REGION = F.expr("CASE cell % 3 WHEN 0 THEN 'TX' WHEN 1 THEN 'CA' ELSE 'FL' END")
 _REGION_SQL = "CASE cell % 3 WHEN 0 THEN 'TX' WHEN 1 THEN 'CA' ELSE 'FL' END"
 
 
+def region() -> Column:
+    return F.expr(_REGION_SQL)
+
+
 def scored_points(s: Source) -> DataFrame:
     """Full features of every point, scored without a model."""
-    rows = full_features(s).withColumn("region_code", REGION)
+    rows = full_features(s).withColumn("region_code", region())
     return sc.heuristic_score(rows)
 
 
@@ -239,7 +242,7 @@ def r2_defaults_and_overrides(s: Source) -> DataFrame:
 def _what_if(s: Source) -> DataFrame:
     """A scoring input per event: four columns from data, the rest defaults."""
     rows = s.weather.select(
-        "event_id", "event_time", "cell", REGION.alias("region_code"),
+        "event_id", "event_time", "cell", region().alias("region_code"),
         (F.col("magnitude") / 10).alias("weather_count_24h"),
         (F.col("event_id") % 100 / 100.0).alias("lag_outage_24h"),
         (F.lit(0.5) + F.col("event_id") % 50 / 100.0).alias("load_capacity_ratio"),

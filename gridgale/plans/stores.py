@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridgale.operators.merge import UPSERT_RULES, insert_ignore, last_per_key, upsert
@@ -17,7 +17,7 @@ def _csv(df: DataFrame, name: str) -> str:
     return path
 
 
-def _text_time(column: str, fmt: str = "yyyy-MM-dd HH:mm:ss") -> F.Column:
+def _text_time(column: str, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     return F.date_format(column, fmt)
 
 

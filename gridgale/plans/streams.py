@@ -12,7 +12,7 @@ from gridgale.operators import scoring as sc
 from gridgale.operators.merge import UPSERT_RULES
 from gridgale.plans.base import Source, query, rounded, tidy
 from gridgale.plans.checks import _OUTAGE_RULES
-from gridgale.plans.service import REGION, _REGION_SQL, _SCORE_SQL, _level_sql
+from gridgale.plans.service import _REGION_SQL, _SCORE_SQL, _level_sql, region
 from gridgale.plans.stores import _s11_inputs, _s11_sql
 from gridgale.session import staging_path
 from gridgale.streaming import jobs
@@ -156,7 +156,7 @@ def score_stream(rows: DataFrame, infra: DataFrame) -> DataFrame:
 def t6_score_stream(s: Source) -> DataFrame:
     incoming, out, progress = _paths(s, "t6")
     rows = s.weather.select(
-        "event_id", "event_time", "cell", REGION.alias("region_code"),
+        "event_id", "event_time", "cell", region().alias("region_code"),
         (F.col("magnitude") / 10).alias("weather_count_24h"),
         (F.col("event_id") % 100 / 100.0).alias("lag_outage_24h"),
         (F.lit(0.5) + F.col("event_id") % 50 / 100.0).alias("load_capacity_ratio"),
