@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 MINUTE = 60_000_000
 HOUR = 60 * MINUTE
 DAY = 24 * HOUR
+NEVER = -(2**62)  # stands for an unknown time: inside no window
 
 
 def micros(ts: Column) -> Column:
@@ -31,10 +32,12 @@ def slice_mark(t: Column, step: int) -> Column:
     Time is cut into the exact multiples of ``step`` and the open intervals between them.
     Every closed window whose ends are multiples of ``step`` is a union of such slices, so
     testing the representative against the window gives the same answer as testing ``t``.
-    An interval is represented by its middle, a multiple by itself.
+    An interval is represented by its middle, a multiple by itself, an unknown time by ``NEVER``
+    (a mark that cannot be null keeps null checks out of the plans that share the marked rows).
     """
     base = floor_micros(t, step)
-    return F.when(t == base, t).otherwise(base + F.lit(step // 2).cast("bigint"))
+    mark = F.when(t == base, t).otherwise(base + F.lit(step // 2).cast("bigint"))
+    return F.coalesce(mark, F.lit(NEVER).cast("bigint"))
 
 
 def common_step(*spans: int) -> int:

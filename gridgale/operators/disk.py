@@ -127,23 +127,37 @@ def weather_states(weather: DataFrame, step: int, vocabulary: list[str]) -> Data
     )
 
 
-def _weather_partials(masks: list[str]) -> list[Column]:
+def widened(states: DataFrame, width: int) -> DataFrame:
+    """The same states merged to wider slices."""
+    masks = [c for c in states.columns if c.startswith("m") and c[1:].isdigit()]
+    return states.groupBy("nq", "nr", slice_mark(F.col("at"), width).alias("at"), "cat").agg(
+        F.sum("n").alias("n"), F.max("mag_max").alias("mag_max"),
+        F.sum("mag_sum").alias("mag_sum"), F.sum("dmg_sum").alias("dmg_sum"),
+        *[F.bit_or(m).alias(m) for m in masks],
+    )
+
+
+def _weather_partials(masks: list[str], fine_windows: list[int]) -> list[Column]:
     age = F.col("t") - F.col("at")
+
+    def inside(w: int) -> Column:
+        width = F.col("fine") if w in fine_windows else ~F.col("fine")
+        return width & _within(age, w)
+
     out = []
     for w in WEATHER_WINDOWS_H:
-        inside = _within(age, w)
         out += [
-            F.sum(F.when(inside, F.col("n"))).alias(f"n_{w}"),
-            F.max(F.when(inside, F.col("mag_max"))).alias(f"mx_{w}"),
-            F.sum(F.when(inside, F.col("mag_sum"))).alias(f"sm_{w}"),
+            F.sum(F.when(inside(w), F.col("n"))).alias(f"n_{w}"),
+            F.max(F.when(inside(w), F.col("mag_max"))).alias(f"mx_{w}"),
+            F.sum(F.when(inside(w), F.col("mag_sum"))).alias(f"sm_{w}"),
         ]
-        out += [F.bit_or(F.when(inside, F.col(m))).alias(f"{m}_{w}") for m in masks]
+        out += [F.bit_or(F.when(inside(w), F.col(m))).alias(f"{m}_{w}") for m in masks]
     for c in CATEGORIES:
-        inside = _within(age, NEIGHBOUR_WINDOW_H) & (F.col("cat") == c)
+        active = inside(NEIGHBOUR_WINDOW_H) & (F.col("cat") == c)
         out += [
-            F.sum(F.when(inside, F.col("n"))).alias(f"cn_{c}"),
-            F.max(F.when(inside, F.col("mag_max"))).alias(f"cm_{c}"),
-            F.sum(F.when(inside, F.col("dmg_sum"))).alias(f"cd_{c}"),
+            F.sum(F.when(active, F.col("n"))).alias(f"cn_{c}"),
+            F.max(F.when(active, F.col("mag_max"))).alias(f"cm_{c}"),
+            F.sum(F.when(active, F.col("dmg_sum"))).alias(f"cd_{c}"),
         ]
     return out
 
@@ -194,14 +208,28 @@ def weather_aggregates(
     ``vocabulary`` lists the event types when the caller knows them; else one scan finds them.
     """
     reach = max(WEATHER_WINDOWS_H) * HOUR
-    step = common_step(tick, HOUR)
     names = vocabulary if vocabulary is not None else event_vocabulary(weather)
-    states = weather_states(weather, step, names or [])
-    masks = [c for c in states.columns if c.startswith("m") and c[1:].isdigit()]
-    pairs = range_join(
-        requests(points, k), states, ["nq", "nr"], "at", F.col("t") - reach, F.col("t"), reach
-    )
-    per_cell = pairs.groupBy("nq", "nr", "t", "ring").agg(*_weather_partials(masks))
+    # Windows of whole ticks are served by slices as wide as the tick: a point meets a dozen of
+    # them, not dozens of narrow ones. Only windows that end between ticks need narrow slices,
+    # and those reach back a few hours at most.
+    fine_windows = [w for w in WEATHER_WINDOWS_H if (w * HOUR) % tick]
+    narrow = weather_states(weather, common_step(tick, HOUR) if fine_windows else tick, names or [])
+    masks = [c for c in narrow.columns if c.startswith("m") and c[1:].isdigit()]
+    asked = requests(points, k)
+
+    def gather(states: DataFrame, span: int, fine: bool) -> DataFrame:
+        found = range_join(
+            asked, states, ["nq", "nr"], "at", F.col("t") - span, F.col("t"), span
+        )
+        return found.withColumn("fine", F.lit(fine))
+
+    if fine_windows:
+        pairs = gather(widened(narrow, tick), reach, False).unionByName(
+            gather(narrow, max(fine_windows) * HOUR, True)
+        )
+    else:
+        pairs = gather(narrow, reach, False)
+    per_cell = pairs.groupBy("nq", "nr", "t", "ring").agg(*_weather_partials(masks, fine_windows))
     merged = to_points(per_cell, k).groupBy("q", "r", "t").agg(
         *_weather_merge(masks, names is not None)
     )

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 
 def bucket_of(t: Column, width: int) -> Column:
-    return F.floor(t / F.lit(width)).cast("bigint")
+    """Bucket number; 0 for an unknown time, which the range test then rejects."""
+    return F.coalesce(F.floor(t / F.lit(width)).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def range_join(

@@ -30,6 +30,32 @@ def suitable_width(weather: DataFrame, step: int, target: int = MAX_SLICE_ROWS)
     return step // parts
 
 
+def disk_counts(weather: DataFrame, step: int, k: int) -> DataFrame:
+    """Events per (disk, slice), from counts per (cell, slice): no event is copied."""
+    at = slice_mark(micros(F.col("event_time")), step)
+    per_cell = weather.groupBy("q", "r", at.alias("at")).agg(F.count("*").alias("n"))
+    spread = with_disk(per_cell, k).drop("q", "r").withColumnsRenamed({"nq": "q", "nr": "r"})
+    return spread.groupBy("q", "r", "at").agg(F.sum("n").alias("n"))
+
+
+def half_cuts(points: DataFrame, counts: DataFrame) -> DataFrame:
+    """Per point, where its first half of events ends: (q, r, t, n, cut_at, cut_i), the slice
+    and the 0-based rank in it of the half's last event."""
+    reach = LOOKBACK_H * HOUR
+    pairs = range_join(points, counts, ["q", "r"], "at", F.col("t") - reach, F.col("t"), reach)
+    w = Window.partitionBy("q", "r", "t")
+    placed = pairs.withColumns({
+        "through": F.sum("n").over(w.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)),
+        "half": F.floor(F.sum("n").over(w) / 2),
+    })
+    before = F.col("through") - F.col("n")
+    is_cut = (before < F.col("half")) & (F.col("through") >= F.col("half"))
+    return placed.groupBy("q", "r", "t").agg(
+        F.max(F.when(is_cut, F.col("at"))).alias("cut_at"),
+        F.max(F.when(is_cut, F.col("half") - before - 1)).alias("cut_i"),
+    )
+
+
 def ordered_events(weather: DataFrame, step: int, k: int, tie: str) -> DataFrame:
     """Each event in every disk that holds it, ranked inside (disk, slice)."""
     base = weather.select(
@@ -38,28 +64,37 @@ def ordered_events(weather: DataFrame, step: int, k: int, tie: str) -> DataFrame
         F.col(tie).alias("tie"),
         F.coalesce(F.col("magnitude"), F.lit(0.0)).alias("mag"),
         F.coalesce(F.col("damage_property"), F.lit(0.0)).alias("dmg"),
-    )
+    ).withColumn("at", slice_mark(F.col("t"), step))
     spread = with_disk(base, k).drop("q", "r").withColumnsRenamed({"nq": "q", "nr": "r"})
-    spread = spread.withColumn("at", slice_mark(F.col("t"), step))
     w = Window.partitionBy("q", "r", "at").orderBy("t", "tie")
     return spread.withColumns({
-        "i": F.row_number().over(w) - 1,
+        "i": (F.row_number().over(w) - 1).cast("bigint"),
         "prev_t": F.lag("t").over(w),
         "prev_mag": F.lag("mag").over(w),
         "dmg_through": F.sum("dmg").over(w.rowsBetween(Window.unboundedPreceding, 0)),
     })
 
 
-def slice_summaries(ordered: DataFrame) -> DataFrame:
-    first, last = F.min(F.struct("i", "t", "mag")), F.max(F.struct("i", "t", "mag"))
-    return ordered.groupBy("q", "r", "at").agg(
+def slice_summaries(ordered: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row per (disk, slice). ``wanted`` lists, per slice, the ranks at which some point's
+    half ends; the running damage there is kept in ``dmg_at`` (a rank per point at most, so a
+    few dozen). The join and the aggregate use the layout the ranking already made."""
+    rows = ordered.join(wanted, ["q", "r", "at"], "left")
+    is_wanted = F.array_contains("ranks", F.col("i"))
+    return rows.groupBy("q", "r", "at").agg(
         F.count("*").alias("n"),
         F.sum("mag").alias("mag_sum"),
         F.sum(F.col("i") * F.col("mag")).alias("rank_mag_sum"),
         F.count_if(F.col("mag") > F.col("prev_mag")).alias("rises"),
         F.max(F.col("t") - F.col("prev_t")).alias("gap"),
         F.sum("dmg").alias("dmg_sum"),
-        first.alias("first"), last.alias("last"),
+        F.min("t").alias("first_t"),
+        F.max(F.when(F.col("i") == 0, F.col("mag"))).alias("first_mag"),
+        F.max("t").alias("last_t"),
+        F.max_by("mag", "i").alias("last_mag"),
+        F.map_from_entries(
+            F.collect_list(F.when(is_wanted, F.struct("i", "dmg_through")))
+        ).alias("dmg_at"),
     )
 
 
@@ -75,29 +110,36 @@ def sequence_features(
 
     A slice is as wide as the tick, or narrower where the busiest cell needs its events split over
     more tasks (``suitable_width``, unless the caller fixes ``slice_width``).
+
+    The events of a disk are shuffled and sorted once. Where each point's first half of events
+    ends follows from counts alone, so it is worked out beforehand and the running damage at
+    that rank is picked up on the way.
     """
     reach = LOOKBACK_H * HOUR
     step = common_step(tick, reach)
-    width = slice_width or suitable_width(weather, step)
-    ordered = ordered_events(weather, common_step(step, width), k, tie)
+    step = common_step(step, slice_width or suitable_width(weather, step))
+    cuts = half_cuts(points, disk_counts(weather, step, k))
+    wanted = cuts.filter(F.col("cut_at").isNotNull()).groupBy("q", "r", F.col("cut_at").alias("at")).agg(
+        F.collect_set("cut_i").alias("ranks")
+    )
+    summaries = slice_summaries(ordered_events(weather, step, k, tie), wanted)
     key = ["q", "r", "t"]
     pairs = range_join(
-        points, slice_summaries(ordered), ["q", "r"], "at", F.col("t") - reach, F.col("t"), reach
+        cuts, summaries, ["q", "r"], "at", F.col("t") - reach, F.col("t"), reach
     )
     w = Window.partitionBy(*key).orderBy("at")
     strung = pairs.withColumns({
         "before": F.coalesce(
             F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint")
         ),
-        "prev": F.lag("last").over(w),
-        "half": F.floor(F.sum("n").over(Window.partitionBy(*key)) / 2),
+        "prev_t": F.lag("last_t").over(w),
+        "prev_mag": F.lag("last_mag").over(w),
     })
-    crossing_gap = F.col("first.t") - F.col("prev.t")
-    crossing_rise = (F.col("first.mag") > F.col("prev.mag")).cast("bigint")
-    # Damage of the first half needs a cut inside one slice: slices that end before it are
-    # summed whole, and the ranked events give the running damage at the cut.
-    ends_before = F.col("before") + F.col("n") <= F.col("half")
-    is_cut = (F.col("before") < F.col("half")) & ~ends_before
+    crossing_gap = F.col("first_t") - F.col("prev_t")
+    crossing_rise = (F.col("first_mag") > F.col("prev_mag")).cast("bigint")
+    early_part = F.when(F.col("at") < F.col("cut_at"), F.col("dmg_sum")).when(
+        F.col("at") == F.col("cut_at"), F.try_element_at("dmg_at", F.col("cut_i"))
+    )
     totals = strung.groupBy(*key).agg(
         F.sum("n").alias("n"),
         F.sum("mag_sum").alias("mag_sum"),
@@ -105,22 +147,7 @@ def sequence_features(
         F.sum(F.col("rises") + F.coalesce(crossing_rise, F.lit(0).cast("bigint"))).alias("rises"),
         F.max(F.greatest("gap", crossing_gap)).alias("gap"),
         F.sum("dmg_sum").alias("dmg_sum"),
-        F.sum(F.when(ends_before, F.col("dmg_sum"))).alias("dmg_whole"),
-        F.max(F.when(is_cut, F.col("at"))).alias("cut_at"),
-        F.max(F.when(is_cut, F.col("half") - F.col("before") - 1)).alias("cut_i"),
-    )
-    at_cut = ordered.select(
-        F.col("q").alias("_q"), F.col("r").alias("_r"), F.col("at").alias("_at"),
-        F.col("i").cast("bigint").alias("_i"), "dmg_through",
-    )
-    cut = totals.join(
-        at_cut,
-        (F.col("q") == F.col("_q")) & (F.col("r") == F.col("_r"))
-        & (F.col("cut_at") == F.col("_at")) & (F.col("cut_i") == F.col("_i")),
-        "left",
-    ).withColumn(
-        "dmg_first",
-        F.coalesce("dmg_whole", F.lit(0.0)) + F.coalesce("dmg_through", F.lit(0.0)),
+        F.coalesce(F.sum(early_part), F.lit(0.0)).alias("dmg_first"),
     )
 
     n = F.col("n")
@@ -130,7 +157,7 @@ def sequence_features(
     ) / (n * 0.75)
     early = F.col("dmg_first") / F.floor(n / 2)
     late = (F.col("dmg_sum") - F.col("dmg_first")) / (n - F.floor(n / 2))
-    return cut.select(
+    return totals.select(
         *key,
         n.cast("double").alias("seq_storm_count_72h"),
         F.when(n >= 2, F.col("rises") / (n - 1)).otherwise(0.0).alias("seq_escalation_score"),
