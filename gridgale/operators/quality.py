@@ -10,7 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridgale.constants import ALERT_TYPES, STATION_RANGES
@@ -302,24 +302,28 @@ def ingest(
     write: Callable[[DataFrame], None],
     source: str,
 ) -> dict:
-    """Validate, shape and write a feed in one job; counts are observed on the way through."""
-    before, after = Observation(f"{source}_read"), Observation(f"{source}_valid")
-    rows = clean(raw).observe(before, F.count("*").alias("n"))
-    valid = rules(rows).valid(rows).observe(after, F.count("*").alias("n"))
+    """Validate, shape and write a feed; the run record holds its counts and status.
+
+    The counts are one aggregate over the columns the rules read. (Observing them during the
+    write would save that pass, but a session that has used an observation can no longer ship
+    some fitted models to its executors in this Spark version.)
+    """
+    rows = clean(raw)
+    checks = rules(rows)
     started = raw.sparkSession.sql("SELECT current_timestamp() AS t").first()["t"]
+    record = {
+        "source": source, "status": "failed", "started_at": started, "fetched": None,
+        "valid": None, "loaded": 0, "error": None,
+    }
     try:
-        write(shape(valid))
-        status, error = "success", None
+        counts = checks.report(rows).first()
+        record["fetched"], record["valid"] = counts["total_records"], counts["valid_records"]
+        if not record["valid"]:
+            record["status"] = "no_data"
+            return record
+        write(shape(checks.valid(rows)))
     except Exception as failure:  # the run record reports it; the caller decides
-        status, error = "failed", str(failure)[:500]
-        return {
-            "source": source, "status": status, "started_at": started, "fetched": None,
-            "valid": None, "loaded": 0, "error": error,
-        }
-    fetched, kept = before.get["n"], after.get["n"]
-    return {
-        "source": source, "status": status if kept else "no_data", "started_at": started,
-        "fetched": fetched, "valid": kept, "loaded": kept, "error": error,
-    }
-
-
+        record["error"] = str(failure)[:500]
+        return record
+    record["status"], record["loaded"] = "success", record["valid"]
+    return record
