@@ -147,6 +147,31 @@ REGION_THRESHOLDS = {
     "TX": (0.25, 0.55, 0.80), "CA": (0.20, 0.50, 0.75), "FL": (0.20, 0.50, 0.75),
 }
 DEFAULT_THRESHOLDS = (0.25, 0.55, 0.80)
+REGIONS = {
+    "TX": {
+        "name": "Texas", "states": ["48"],
+        "dominant": ["Hurricane", "Thunderstorm Wind", "Ice Storm", "Heat", "Tornado", "High Wind",
+                     "Winter Storm", "Hail"],
+        "seasons": {"summer": {"heat_weight": 1.5, "wind_weight": 0.8},
+                    "winter": {"ice_weight": 2.0, "heat_weight": 0.3}},
+    },
+    "CA": {
+        "name": "California", "states": ["06"],
+        "dominant": ["Wildfire", "Heat", "High Wind", "Drought", "Debris Flow", "Excessive Heat",
+                     "Flash Flood", "Strong Wind"],
+        "seasons": {"summer": {"heat_weight": 1.8, "wildfire_weight": 2.0, "wind_weight": 1.2},
+                    "autumn": {"wildfire_weight": 2.5, "wind_weight": 1.5},
+                    "winter": {"flood_weight": 1.5, "heat_weight": 0.2}},
+    },
+    "FL": {
+        "name": "Florida", "states": ["12"],
+        "dominant": ["Hurricane", "Thunderstorm Wind", "Flood", "Tornado", "Tropical Storm",
+                     "Lightning", "Storm Surge", "Heavy Rain"],
+        "seasons": {"summer": {"hurricane_weight": 2.0, "thunderstorm_weight": 1.5, "flood_weight": 1.3},
+                    "autumn": {"hurricane_weight": 2.5, "flood_weight": 1.5},
+                    "winter": {"hurricane_weight": 0.3, "thunderstorm_weight": 0.5}},
+    },
+}
 LEGACY_THRESHOLDS = (0.40, 0.60, 0.85)
 DEMO_THRESHOLDS = (0.25, 0.50, 0.75)
 

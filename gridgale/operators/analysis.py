@@ -130,7 +130,8 @@ def densest_window(weather: DataFrame, outages: DataFrame) -> DataFrame:
 
 def within(df: DataFrame, time: str, start, end) -> DataFrame:
     """Rows in the half-open [start, end)."""
-    return df.filter((F.col(time) >= F.lit(start)) & (F.col(time) < F.lit(end)))
+    low, high = (F.lit(v).cast("timestamp") for v in (start, end))
+    return df.filter((F.col(time) >= low) & (F.col(time) < high))
 
 
 def type_breakdown(weather: DataFrame) -> DataFrame:

@@ -10,24 +10,33 @@ from gridgale.operators.ordering import numbered, running_totals
 SEQUENCE_BLOCK = 4096
 
 
+def _literal(value) -> Column:
+    return F.timestamp_micros(F.lit(value[0])) if isinstance(value, tuple) else F.lit(value)
+
+
 def rows_at(df: DataFrame, positions: list[int], time: str, tie: str) -> list[tuple]:
     """The (time, tie) key of the row at each 0-based position of the (time, tie) order.
 
     Selection instead of a full sort: rows are counted per time (combined map-side), the counts
     are accumulated, and only the times that hold a wanted position are looked into. (time, tie)
-    must identify a row.
+    must identify a row. Timestamps travel through the driver as microseconds (a one-element
+    tuple), so the driver's own time zone plays no part.
     """
+    stamped = dict(df.dtypes)[time].startswith("timestamp")
+    shown = F.unix_micros(F.col("k").cast("timestamp")) if stamped else F.col("k")
     per_time = df.groupBy(F.col(time).alias("k")).agg(F.count("*").alias("n"))
     totals, _ = running_totals(per_time, ["k"], ["n"])
     wanted = F.explode(F.array(*[F.lit(p).cast("bigint") for p in sorted(set(positions))]))
     hits = (
         totals.select("k", "n", "n_before", wanted.alias("p"))
         .filter((F.col("p") >= F.col("n_before")) & (F.col("p") < F.col("n_before") + F.col("n")))
+        .select(shown.alias("k"), "n_before", "p")
         .collect()
     )
+    hits = [{"k": (h["k"],) if stamped else h["k"], "n_before": h["n_before"], "p": h["p"]} for h in hits]
     found = {}
     for hit in hits:
-        at_time = df.filter(F.col(time) == F.lit(hit["k"])).select(F.col(tie).alias("k"))
+        at_time = df.filter(F.col(time) == _literal(hit["k"])).select(F.col(tie).alias("k"))
         place = hit["p"] - hit["n_before"]
         row = numbered(at_time, ["k"]).filter(F.col("position") == place).first()
         found[hit["p"]] = (hit["k"], row["k"])
@@ -37,7 +46,7 @@ def rows_at(df: DataFrame, positions: list[int], time: str, tie: str) -> list[tu
 def _before(time: str, tie: str, key: tuple | None) -> Column:
     if key is None:  # past the last row
         return F.lit(True)
-    at = F.lit(key[0])
+    at = _literal(key[0])
     return (F.col(time) < at) | ((F.col(time) == at) & (F.col(tie) < F.lit(key[1])))
 
 

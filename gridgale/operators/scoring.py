@@ -17,6 +17,7 @@ from gridgale.constants import (
     FEATURE_DEFAULTS,
     LEVELS,
     REGION_THRESHOLDS,
+    REGIONS,
 )
 from gridgale.functions.clock import cyclical
 from gridgale.functions.weather import clip
@@ -30,14 +31,20 @@ def checked_thresholds(bounds: tuple[float, float, float]) -> tuple[float, float
     return bounds
 
 
-def thresholds_frame(spark, rules: dict[str, tuple[float, float, float]]) -> DataFrame:
-    """The threshold rules as a table, one row per (rule set, level)."""
+def region_table(spark) -> DataFrame:
+    """The region settings: states, level bounds, dominant event types, seasonal weights."""
     rows = [
-        (name, level, float(bound))
-        for name, bounds in rules.items()
-        for level, bound in zip(LEVELS, (0.0, *checked_thresholds(bounds)), strict=True)
+        (
+            code, r["name"], r["states"],
+            dict(zip(LEVELS, (0.0, *checked_thresholds(REGION_THRESHOLDS[code])), strict=True)),
+            r["dominant"], r["seasons"],
+        )
+        for code, r in REGIONS.items()
     ]
-    return spark.createDataFrame(rows, "rule string, level string, min_probability double")
+    return spark.createDataFrame(
+        rows, "region_code string, name string, states array<string>, risk_thresholds map<string, double>,"
+              " dominant_types array<string>, seasonal_weights map<string, map<string, double>>"
+    )
 
 
 def level_for(probability: Column, bounds: tuple[float, float, float]) -> Column:

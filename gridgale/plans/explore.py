@@ -93,9 +93,7 @@ _STORM = "event_time >= TIMESTAMP '2024-01-10 00:00:00' AND event_time < TIMESTA
 
 
 def _storm(s: Source) -> DataFrame:
-    from datetime import datetime
-
-    return an.within(s.weather, "event_time", datetime(2024, 1, 10), datetime(2024, 1, 12))
+    return an.within(s.weather, "event_time", "2024-01-10 00:00:00", "2024-01-12 00:00:00")
 
 
 @query("a6_type_breakdown", rounded(["weather"], f"""

@@ -458,9 +458,27 @@ def f19_cells_without_outage(s: Source) -> DataFrame:
     return pts.cells_without_outage(s.weather, s.outages)
 
 
-@query("f20_feature_catalog")
+def _group_case() -> str:
+    whens = " ".join(
+        f"WHEN feature_name IN ({', '.join(repr(c) for c in cols)}) THEN '{g}'"
+        for g, cols in feat.feature_groups(True).items()
+    )
+    return f"CASE {whens} END"
+
+
+@query("f20_feature_catalog", rounded(
+    _FULL_ROLES,
+    f"""SELECT feature_name, {_group_case()} AS feature_group, 'double' AS dtype,
+        min(v) AS min_value, max(v) AS max_value,
+        avg(CASE WHEN v <> 0 THEN 1.0E0 ELSE 0.0E0 END) AS nonzero_share
+        FROM (UNPIVOT (SELECT {', '.join(f'CAST(round({c} + 1e-9, 6) AS DOUBLE) AS {c}' for c in feat.FEATURES)}
+          FROM ({_FULL_SQL})) ON {', '.join(feat.FEATURES)} INTO NAME feature_name VALUE v)
+        GROUP BY 1""",
+    ["min_value", "max_value", "nonzero_share"], 4,
+))
 def f20_feature_catalog(s: Source) -> DataFrame:
-    return feat.feature_catalog(full_features(s))
+    # Rounded first: a sum that is zero in one engine may be a hair off zero in the other.
+    return tidy(feat.feature_catalog(tidy(full_features(s))), 4)
 
 
 @query("f22_store_latest", rounded(

@@ -278,6 +278,21 @@ def r4_risk_level(s: Source) -> DataFrame:
     return s.predictions.select("id", "region_code", level.alias("risk_level"))
 
 
+@query("r4_region_table_join", rounded(["predictions"], """
+    SELECT region_code, name, count(*) FILTER (risk_probability >= red) AS n_red,
+      count(*) FILTER (risk_probability >= yellow) AS n_alerting
+    FROM predictions JOIN (VALUES ('TX', 'Texas', 0.25E0, 0.80E0), ('CA', 'California', 0.20E0, 0.75E0),
+      ('FL', 'Florida', 0.20E0, 0.75E0)) t(region_code, name, yellow, red) USING (region_code)
+    GROUP BY 1, 2""", []))
+def r4_region_table_join(s: Source) -> DataFrame:
+    """Predictions against the region table: three rows, joined by Spark's own choice."""
+    p, bound = F.col("risk_probability"), F.col("risk_thresholds")
+    rows = s.predictions.join(sc.region_table(s.spark), "region_code")
+    return rows.groupBy("region_code", "name").agg(
+        F.count_if(p >= bound["RED"]).alias("n_red"), F.count_if(p >= bound["YELLOW"]).alias("n_alerting")
+    )
+
+
 def _simple_level(p: str, bounds: tuple[float, float, float]) -> str:
     y, o, r = bounds
     return f"CASE WHEN {p} >= {r}E0 THEN 'RED' WHEN {p} >= {o}E0 THEN 'ORANGE' WHEN {p} >= {y}E0 THEN 'YELLOW' ELSE 'GREEN' END"

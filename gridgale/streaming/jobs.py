@@ -156,9 +156,9 @@ def split_late(
             cutoff = None
             if tables.exists(spark, marks):
                 seen = spark.read.parquet(marks).filter(F.col("batch") < batch_id)
-                row = seen.agg((F.max("newest") - F.expr(f"INTERVAL {delay}")).alias("cutoff")).first()
-                cutoff = row["cutoff"]
-            is_late = F.lit(False) if cutoff is None else F.col(time) < F.lit(cutoff)
+                newest = F.max("newest") - F.expr(f"INTERVAL {delay}")
+                cutoff = seen.agg(F.unix_micros(newest).alias("cutoff")).first()["cutoff"]
+            is_late = F.lit(False) if cutoff is None else F.col(time) < F.timestamp_micros(F.lit(cutoff))
             batch.filter(is_late).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
             batch.filter(~is_late).write.mode("overwrite").parquet(f"{on_time}/batch={batch_id}")
             batch.agg(F.max(time).alias("newest")).write.mode("overwrite").parquet(
