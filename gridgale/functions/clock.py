@@ -22,10 +22,6 @@ def floor_micros(t: Column, step: int) -> Column:
     return t - F.pmod(t, F.lit(step).cast("bigint"))
 
 
-def floor_ts(ts: Column, step: int) -> Column:
-    return F.timestamp_micros(floor_micros(micros(ts), step))
-
-
 def slice_mark(t: Column, step: int) -> Column:
     """A representative instant for the slice of time that ``t`` falls in.
 

@@ -62,12 +62,6 @@ def centroid(q: Column, r: Column, res: int = 7) -> tuple[Column, Column]:
     return lat, lon
 
 
-def distance(q1: Column, r1: Column, q2: Column, r2: Column) -> Column:
-    """Steps between two cells."""
-    dq, dr = q1 - q2, r1 - r2
-    return F.greatest(F.abs(dq), F.abs(dr), F.abs(dq + dr))
-
-
 def offsets_array(k: int) -> Column:
     return F.array(*[
         F.struct(

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridgale.operators.merge import UPSERT_RULES, insert_ignore, last_per_key, upsert
+from gridgale.operators.merge import (
+    UPSERT_RULES,
+    infrastructure_rule,
+    insert_ignore,
+    last_per_key,
+    upsert,
+)
 from gridgale.plans.base import Source, query, rounded, tidy, with_roles
 from gridgale.session import staging_path
 from gridgale.sources import readers, tables
@@ -302,6 +308,26 @@ def s11_upsert_table(s: Source) -> DataFrame:
     return tidy(s.spark.read.parquet(path).drop("event_id", "month"))
 
 
+@query("s11_upsert_utilities", """
+    SELECT CAST(s_suppkey AS VARCHAR) AS utility_id, 2021 AS data_year, s_name AS utility_name,
+      CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal * 2 ELSE s_acctbal END AS peak_demand_mw,
+      CASE WHEN s_suppkey % 2 = 0 THEN 'first' ELSE 'second' END AS source
+    FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 3 = 0""")
+def s11_upsert_utilities(s: Source) -> DataFrame:
+    """Keyed by utility and year; everything but the source may change."""
+    def version(peak: Column, source: str) -> DataFrame:
+        return s.supplier.select(
+            F.col("s_suppkey").cast("string").alias("utility_id"), F.lit(2021).alias("data_year"),
+            F.col("s_name").alias("utility_name"), peak.alias("peak_demand_mw"),
+            F.lit(source).alias("source"), "s_suppkey",
+        )
+
+    stored = version(F.col("s_acctbal"), "first").filter("s_suppkey % 2 = 0").drop("s_suppkey")
+    updates = version(F.col("s_acctbal") * 2, "second").filter("s_suppkey % 3 = 0")
+    keys, changing = infrastructure_rule(stored)
+    return upsert(stored, updates, keys, changing, [F.col("s_suppkey")])
+
+
 @query("s12_month_partitions", rounded(
     ["scores"],
     """SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n, sum(y) AS positives FROM scores

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from gridgale.functions.clock import DAY, floor_micros, micros
+from gridgale.functions.clock import DAY, micros
 from gridgale.operators.quality import RuleSet
 from gridgale.sources import tables
 
@@ -170,6 +170,3 @@ def split_late(
     return stream.writeStream.foreachBatch(route).option("checkpointLocation", checkpoint) \
         .trigger(availableNow=True).start()
 
-
-def day_of(column: str) -> Column:
-    return F.timestamp_micros(floor_micros(micros(F.col(column)), DAY))
