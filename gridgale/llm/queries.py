@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridgale.llm import pii, secrets
+from gridgale.llm import minhash, pii, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_pii": pii.query,
     "op2_secrets": secrets.query,
+    "op4_minhash": minhash.query,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_minhash": minhash.SQL,
+}
