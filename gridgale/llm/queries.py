@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridgale.llm import minhash, packing, pii, secrets
+from gridgale.llm import decontamination, minhash, packing, pii, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ QUERIES: dict[str, Query] = {
     "op1_pii": pii.query,
     "op2_secrets": secrets.query,
     "op4_minhash": minhash.query,
+    "op9_decontamination": decontamination.query,
     "op10_packing": packing.query,
 }
 
