@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridgale.llm import decontamination, minhash, packing, pii, secrets
+from gridgale.llm import decontamination, minhash, packing, pii, quality, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_pii": pii.query,
     "op2_secrets": secrets.query,
+    "op3_simhash": simhash.query,
     "op4_minhash": minhash.query,
+    "op5_quality": quality.query,
     "op9_decontamination": decontamination.query,
     "op10_packing": packing.query,
 }
