@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridgale.llm import decontamination, minhash, packing, pii, quality, secrets, simhash
+from gridgale.llm import decontamination, minhash, packing, pii, quality, secrets, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,10 +16,12 @@ QUERIES: dict[str, Query] = {
     "op3_simhash": simhash.query,
     "op4_minhash": minhash.query,
     "op5_quality": quality.query,
+    "op8_urls": urls.query,
     "op9_decontamination": decontamination.query,
     "op10_packing": packing.query,
 }
 
 SQL: dict[str, str] = {
     "op4_minhash": minhash.SQL,
+    "op8_urls": urls.SQL,
 }
