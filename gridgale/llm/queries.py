@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridgale.llm import decontamination, langid, minhash, packing, pii, quality, secrets, simhash, urls
+from gridgale.llm import decontamination, html, langid, minhash, packing, pii, quality, secrets, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {
     "op4_minhash": minhash.query,
     "op5_quality": quality.query,
     "op6_langid": langid.query,
+    "op7_html": html.query,
     "op8_urls": urls.query,
     "op9_decontamination": decontamination.query,
     "op10_packing": packing.query,
@@ -25,5 +26,6 @@ QUERIES: dict[str, Query] = {
 SQL: dict[str, str] = {
     "op4_minhash": minhash.SQL,
     "op6_langid": langid.query,
+    "op7_html": html.query,
     "op8_urls": urls.SQL,
 }
