@@ -8,8 +8,8 @@ sketch. Two documents are linked when 100 * intersection >= ``PERCENT`` * union
 3. Longer lists are not paired out. A link needs ``_needed`` shared retained values, so a document with
    fewer frequent ones meets each partner in a short list. The rest (large groups of near copies, texts
    made of common passages) is linked to one pivot per long list, the document that shares most; then
-   only pairs that the links so far leave in different components are formed, by prefix filtering on
-   the frequent values, rarest first. So no pair is lost and no large group is paired with itself.
+   only pairs that the links so far leave in different components are formed, by prefix filtering of
+   their full sets, rarest shingles first. So no pair is lost and no large group is paired with itself.
 4. Pairs whose union sketch estimates less than ``LEAST`` are dropped: at a true 0.75 the estimate of
    64 values is 0.75 +- 0.054, so that one link in a few hundred thousand at the very edge could be
    missed, and practically none above 0.8. Sets of up to ``K`` shingles are estimated exactly.
@@ -25,6 +25,7 @@ equal texts (its component is theirs, else null, and then it is kept); extra col
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +36,7 @@ from gridgale.llm.common import id_and_text, staged, table
 from gridgale.llm.components import components
 
 WORDS, K, PERCENT = 5, 64, 75
-FREQUENT, LEAST = 64, 0.5
+FREQUENT, LEAST, STEP = 64, 0.5, 1.1
 
 
 def with_words(docs: DataFrame, name: str = "_words") -> DataFrame:
@@ -92,22 +93,49 @@ def _stars_of_long_lists(lists: DataFrame) -> DataFrame:
     return met.select(F.least("doc_id", "v").alias("u"), F.greatest("doc_id", "v").alias("v")).distinct()
 
 
-def _pairs_across(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of long lists whose documents are in different components so far."""
+def _bucket(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(STEP)).cast("int")
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(key, doc_id, n): the rarest shingles of each set, as many as a link needs one of to be shared.
+
+    A link with a set of size m shares t/(1+t) * (n + m) shingles, so two sets must meet within their
+    first n + 1 - that in a common order; partners of similar size (one bucket) share a key.
+    """
+    sized = sets.withColumn("n", F.size("items").cast("long"))
+    items = sized.select("doc_id", "n", F.explode("items").alias("value"))
+    counts = items.groupBy("value").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "value"))
-    placed = lists.withColumn("_rank", rank).where(F.col("_rank") <= F.col("n_frequent") - F.col("needed") + 1)
-    placed = placed.select("value", "doc_id", "n_shingles").join(
+    ranked = items.join(counts, "value").withColumn("_rank", rank).where("df > 1")
+    own, share = _bucket(F.col("n")), PERCENT / 100
+    for_sizes = ranked.withColumns({"own": own, "other": F.explode(
+        F.sequence(_bucket(F.greatest(F.floor(F.col("n") * share), F.lit(1))), _bucket(F.ceil(F.col("n") / share)))
+    )})
+    least = F.greatest(F.floor(F.pow(F.lit(STEP), F.col("other"))) - 1, F.ceil(F.col("n") * share - 1e-9))
+    needed = F.ceil((F.col("n") + least) * (share / (1 + share)) - 1e-9)
+    kept = for_sizes.where(F.col("_rank") <= F.col("n") - needed + 1)
+    return kept.select(
+        F.struct("value", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).alias("key"),
+        "doc_id", "n",
+    )
+
+
+def _pairs_across(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs that may be links and whose documents are in different components so far."""
+    placed = _prefixes(sets).join(
         roots.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left"
     ).withColumn("root", F.coalesce("root", "doc_id"))
-    open_ = placed.groupBy("value").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
-    placed = staged(placed.join(open_.select("value"), "value"), "across")
-    groups = placed.select("value", "root").distinct()
-    met = groups.select("value", F.col("root").alias("ru")).join(
-        groups.select("value", F.col("root").alias("rv")), "value"
+    placed = staged(placed, "prefixes")
+    open_ = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
+    placed = staged(placed.join(open_.select("key"), "key"), "across")
+    groups = placed.select("key", "root").distinct()
+    met = groups.select("key", F.col("root").alias("ru")).join(
+        groups.select("key", F.col("root").alias("rv")), "key"
     ).where("ru < rv")
-    left = placed.select("value", F.col("root").alias("ru"), F.col("doc_id").alias("du"), F.col("n_shingles").alias("nu"))
-    right = placed.select("value", F.col("root").alias("rv"), F.col("doc_id").alias("dv"), F.col("n_shingles").alias("nv"))
-    pairs = met.join(left, ["value", "ru"]).join(right, ["value", "rv"]).where(_fits("nu", "nv"))
+    left = placed.select("key", F.col("root").alias("ru"), F.col("doc_id").alias("du"), F.col("n").alias("nu"))
+    right = placed.select("key", F.col("root").alias("rv"), F.col("doc_id").alias("dv"), F.col("n").alias("nv"))
+    pairs = met.join(left, ["key", "ru"]).join(right, ["key", "rv"]).where(_fits("nu", "nv"))
     return pairs.select(F.least("du", "dv").alias("u"), F.greatest("du", "dv").alias("v")).distinct()
 
 
@@ -164,7 +192,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     links = staged(links, "links")
     roots = components(links)
-    more = staged(_likely(_pairs_across(hard, roots), reps), "pairs-across")
+    sets = staged(shingle_sets(texts.join(hard.select("doc_id").distinct(), "doc_id", "left_semi").distinct()), "sets")
+    more = staged(_likely(_pairs_across(sets, roots), reps), "pairs-across")
     if not more.isEmpty():
         roots = components(links.union(verified(more, texts)))
     out = members.select("doc_id", "n_shingles", "rep").join(
