@@ -1,24 +1,53 @@
 """Clean a text corpus and pack it for training: five stages, each on all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet to the shared
-folder and read again as the next one's input, so a lost executor never costs more than one stage.
+folder and read again as the next one's input, so a lost executor never costs more than one stage. All but
+the last return the columns of ``docs``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridgale.llm import pii
+from gridgale.llm import decontamination, minhash, packing, pii, quality
 from gridgale.llm.common import staged, table
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return minhash.deduplicated(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
-    return pii.redact(docs, pii.learn(docs))
+    """Personal data is replaced by its kind in brackets; the length follows."""
+    covered = pii.redact(docs, pii.learn(docs))
+    if "n_chars" not in docs.columns:
+        return covered
+    return covered.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequence and place."""
+    return packing.packed(docs)
 
 
 STAGES = [
+    ("quality", quality_filter),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", benchmark_leaks),
     ("personal_data", personal_data),
+    ("packing", packed),
 ]
 
 # Trained and iterative stages: SQL cannot express them; tests hold them against brute force.
