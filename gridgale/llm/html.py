@@ -104,7 +104,7 @@ def blocks(html: str) -> list[Block]:
         text = " ".join("".join(words).split())
         if text:
             held = [e for e in reversed(stack) if e.tag in _BLOCK and e.tag not in _PARAGRAPH]
-            out.append(Block(text, tuple((e.number, e.path) for e in held), linked))
+            out.append(Block(text, (*((e.number, e.path) for e in held), (0, "")), linked))
         words.clear()
         linked = 0
 

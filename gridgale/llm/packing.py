@@ -6,10 +6,10 @@
 2. Full pieces are sequences by themselves. The others are dealt round-robin into shards of about
    ``SHARD`` pieces, so tasks stay equal however documents are spread, and a task holds a fixed
    number of small rows. Nothing but lengths and numbers is shuffled.
-3. A shard is packed best-fit decreasing. Then the emptiest sequence gives its pieces away: by a move,
-   or by exchanging one for one, two for one or one for two with another underfull sequence, each time
-   the exchange that raises the sum of squared fills most. It ends when the number of sequences is the
-   least possible or ``PATIENCE`` sequences in a row could not be emptied.
+3. A shard is packed best-fit decreasing. Then pieces are exchanged between the ``REACH`` sequences with
+   most room: a move, one for one, two for one or one for two, given by the emptiest sequence that can,
+   each time the exchange that raises the sum of squared fills most. Room gathers in few sequences until
+   they empty. It ends at the least possible number, when nothing raises the sum, or after ``STEPS``.
 
 Defined cases: a null or empty text is the end id alone; rows without ``doc_id`` and repeated rows are
 packed like others; extra columns are ignored; an empty table gives no rows.
@@ -34,7 +34,8 @@ from gridgale.llm.common import id_and_text, staged, table
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH, END_ID = 2048, 0
-SHARD, CACHED, PATIENCE = 50_000, 500_000, 2
+SHARD, CACHED, AT_ONCE = 50_000, 400_000, 4_000_000
+STEPS, REACH, GIVERS, MOST = 400, 150, 30, 30
 _LONG_WORD = 64
 _HALVES = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 _SPACES = re.compile(r"[\t\n\r\x0b\x0c]")
@@ -96,11 +97,17 @@ def _split(text: str) -> list[str]:
 
 
 def encoded(texts: list[str], words: _Words) -> Iterator[bytes]:
-    """Each whole text's ids."""
-    split = [_split(t) for t in texts]
-    words.learn(set().union(*split).difference(words))
-    for parts in split:
-        yield b"".join(map(words.__getitem__, parts))
+    """Each whole text's ids. Words are gathered over some ``AT_ONCE`` characters of texts at a time."""
+    at = 0
+    while at < len(texts):
+        split, chars = [], 0
+        while at < len(texts) and chars < AT_ONCE:
+            split.append(_split(texts[at]))
+            chars += len(texts[at])
+            at += 1
+        words.learn(set().union(*split).difference(words))
+        for parts in split:
+            yield b"".join(map(words.__getitem__, parts))
 
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
@@ -147,70 +154,69 @@ def best_fit(sizes: np.ndarray, length: int) -> np.ndarray:
     return bins
 
 
-def _exchange(own: np.ndarray, sizes: np.ndarray, bins: np.ndarray, room: np.ndarray, t: int):
-    """The exchange between bin ``t`` (its pieces: ``own``) and another that puts most into the other:
-    pieces to give, pieces to take, other bin; None when nothing fits."""
+def _exchange(own: np.ndarray, sizes: np.ndarray, bins: np.ndarray, fill: np.ndarray, t: int, near: np.ndarray, length: int):
+    """The exchange between bin ``t`` (its pieces: ``own``) and one of the bins ``near`` that raises the sum
+    of squared fills most: pieces to give, pieces to take, other bin; None when none raises it."""
     best, found = 0, None
-    others = room.copy()
-    others[t] = -1
     gives = [((i,), int(sizes[i])) for i in own]
     pairs = [((i, j), int(sizes[i] + sizes[j])) for k, i in enumerate(own) for j in own[k + 1:]]
-    for give, size in gives:  # a move
-        fits = np.flatnonzero(others >= size)
-        if len(fits) and size > best:
-            best, found = size, (give, (), int(fits[others[fits].argmin()]))
-    rest = np.flatnonzero(others[bins] > 0)
-    rest = rest[np.argsort(bins[rest], kind="stable")]
-    size_r, bin_r = sizes[rest], bins[rest]
-    room_r = others[bin_r]
-    for give, size in gives + pairs:  # one or two for one
-        gain = size - size_r
-        gain = np.where(gain <= room_r, gain, 0)
-        if len(gain) and (k := int(gain.argmax())) >= 0 and gain[k] > best:
-            best, found = int(gain[k]), (give, (int(rest[k]),), int(bin_r[k]))
+
+    def look(give: tuple, gain: np.ndarray, others: np.ndarray) -> int | None:
+        # Moving g from fill a to fill b changes the sum by 2g(b - a + g).
+        worth = np.where((gain > 0) & (gain <= length - fill[others]), gain * (fill[others] - fill[t] + gain), 0)
+        k = int(worth.argmax()) if len(worth) else 0
+        nonlocal best
+        if len(worth) and worth[k] > best:
+            best = int(worth[k])
+            return k
+        return None
+
+    others = near[near != t]
+    item = np.flatnonzero(np.isin(bins, others))
+    item = item[np.argsort(bins[item], kind="stable")]
+    at, size = bins[item], sizes[item]
+    for give, total in gives:  # a move
+        if (k := look(give, np.full(len(others), total), others)) is not None:
+            found = (give, (), int(others[k]))
+    for give, total in gives + pairs:  # one or two for one
+        if (k := look(give, total - size, at)) is not None:
+            found = (give, (int(item[k]),), int(at[k]))
     shift = 1
-    while shift < len(rest) and (same := np.flatnonzero(bin_r[shift:] == bin_r[:-shift])).size:  # one for two
-        two, room_2 = size_r[same] + size_r[same + shift], room_r[same]
-        for give, size in gives:
-            gain = np.where(size - two <= room_2, size - two, 0)
-            if gain[k := int(gain.argmax())] > best:
-                a = same[k]
-                best, found = int(gain[k]), (give, (int(rest[a]), int(rest[a + shift])), int(bin_r[a]))
+    while shift < len(item) and (same := np.flatnonzero(at[shift:] == at[:-shift])).size:  # one for two
+        two = size[same] + size[same + shift]
+        for give, total in gives:
+            if (k := look(give, total - two, at[same])) is not None:
+                j = same[k]
+                found = (give, (int(item[j]), int(item[j + shift])), int(at[j]))
         shift += 1
     return found
 
 
-def local_search(sizes: np.ndarray, bins: np.ndarray, length: int, patience: int = PATIENCE) -> np.ndarray:
-    """Empty bins by exchanges that raise the sum of squared fills. Ends when the number of bins is the
-    least possible, when every bin has been tried, or after ``patience`` bins in a row that couldn't be
-    emptied (their exchanges are undone, so a bin's pieces stay as they were)."""
+def local_search(sizes: np.ndarray, bins: np.ndarray, length: int, steps: int = STEPS, reach: int = REACH) -> np.ndarray:
+    """Exchanges between the ``reach`` bins with most room, each raising the sum of squared fills, until no
+    bin can be emptied, none raises it, or ``steps`` are done. The number of bins never grows."""
     bins = bins.copy()
     if not len(bins):
         return bins
     fill = np.bincount(bins, sizes).astype(np.int64)
     least = math.ceil(int(sizes.sum()) / length)
-    failed: set[int] = set()
-    row = 0
-    while row < patience and np.count_nonzero(fill) > least:
-        open_ = [t for t in np.flatnonzero(fill)[np.argsort(fill[fill > 0], kind="stable")].tolist() if t not in failed]
-        if not open_ or int((length - fill[fill > 0]).sum()) - (length - fill[open_[0]]) < fill[open_[0]]:
+    for _ in range(steps):
+        used = np.flatnonzero((fill > 0) & (fill < length))
+        if np.count_nonzero(fill) <= least or len(used) < 2:
             break
-        t = open_[0]
-        before, old = fill.copy(), bins.copy()
-        while fill[t]:
-            room = np.where(fill > 0, length - fill, 0)
-            found = _exchange(np.flatnonzero(bins == t), sizes, bins, room, t)
-            if found is None:
+        near = used[np.argsort(fill[used], kind="stable")][:reach]
+        found = None
+        for t in near[:GIVERS].tolist():
+            own = np.flatnonzero(bins == t)
+            if (found := _exchange(own[:MOST], sizes, bins, fill, t, near, length)) is not None:
                 break
-            give, take, other = found
-            moved = int(sizes[list(give)].sum() - sizes[list(take)].sum())
-            bins[list(give)], bins[list(take)] = other, t
-            fill[other] += moved
-            fill[t] -= moved
-        row = 0 if not fill[t] else row + 1
-        if fill[t]:
-            failed.add(t)
-            fill, bins = before, old
+        if found is None:
+            break
+        give, take, other = found
+        moved = int(sizes[list(give)].sum() - sizes[list(take)].sum())
+        bins[list(give)], bins[list(take)] = other, t
+        fill[other] += moved
+        fill[t] -= moved
     return bins
 
 

@@ -1,0 +1,289 @@
+"""Trained and structural operators: held-out accuracy, exact round trips, and the defined cases."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from gridgale.llm import html, langid, packing, quality, urls
+from gridgale.llm.boosting import calibrated, fit
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_boosted_trees_learn_an_interaction_and_calibrate():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 4))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    trees = fit(x[:2000], y[:2000], trees=60)
+    assert ((trees.probability(x[2000:]) > 0.5) == y[2000:]).mean() > 0.95
+    steps, prob = calibrated(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1.0]))
+    assert steps.tolist() == [0.1, 0.2, 0.4] and prob.tolist() == [0, 0.5, 1]
+
+
+def quality_rows(n=400, seed=1):
+    rng = random.Random(seed)
+    good = ["sun", "river", "walks", "slowly", "garden", "book", "reads", "calm", "music", "house"]
+    docs, labels = [], []
+    for i in range(n):
+        words = [rng.choice(good) for _ in range(rng.randint(8, 40))]
+        kind = i % 5
+        if kind == 3:
+            words = [w + "***" for w in words]
+        if kind == 4:
+            words[rng.randrange(len(words))] = rng.choice(["vile", "scum"])
+        docs.append((i, " ".join(words), "en", f"h{i % 4}", None))
+        if i % 2:
+            labels.append((i, int(kind != 3), int(kind == 4)))
+    return docs, labels
+
+
+def test_quality_separates_unlabelled_documents(make):
+    docs, labels = quality_rows()
+    extra = [(1000, None, None, None), (1001, "", "en", "h1"), (None, "sun river walks slowly", "en", "h1"), (7, docs[7][1], "en", "h3")]
+    table = make("documents", docs + extra).withColumn("quality", F.lit("x")).withColumn("kept", F.lit(1))
+    out = quality.scores(table, make("labels", labels + [(None, 1, 0), (3, None, None)])).collect()
+    assert len(out) == len(docs) + len(extra)
+    held = {r.doc_id: r for r in out if r.doc_id is not None and r.doc_id < 400 and r.doc_id % 2 == 0}
+    right = sum(r.kept == (d % 5 < 3) for d, r in held.items())
+    assert right / len(held) > 0.97
+    assert all(0 <= r.quality <= 1 and 0 < r.path_quality < 1 for r in out)
+    kept = quality.accepted(table, make("labels", labels))
+    assert kept.columns == table.columns and 0 < kept.count() < len(docs)
+
+
+def test_quality_without_labels_keeps_everything(make):
+    docs, _ = quality_rows(40)
+    table = make("documents", docs)
+    assert quality.accepted(table, make("labels", [])).count() == 40
+    assert quality.accepted(table.limit(0), make("labels", [(1, 1, 0)])).count() == 0
+
+
+def test_sites_shrink_towards_their_host_and_the_global_mean(spark):
+    rows = [("a", "p", 1000, 900.0), ("b", "p", 1000, 300.0), ("c", "p", 1, 0.0), ("a", "q", 1, 0.0)]
+    paths, mean = quality.posteriors(spark.createDataFrame(rows, "host string, path string, n long, s double"))
+    out = {(r.host, r.path): r for r in paths.collect()}
+    assert abs(mean - 1200 / 2002) < 1e-12
+    assert out["a", "p"].host_quality > 0.85 and out["b", "p"].host_quality < 0.35
+    assert 0.2 < out["c", "p"].host_quality < mean  # one document says little
+
+
+def test_automaton_accepts_exactly_the_substrings():
+    rng = random.Random(1)
+    text = np.array([rng.randint(1, 4) for _ in range(200)], np.uint8)
+    way = langid.automaton(text)
+    subs = {tuple(text[i:j]) for i in range(200) for j in range(i + 1, min(i + 9, 200) + 1)}
+
+    def accepts(s):
+        state = 0
+        for c in s:
+            state = way[state, c]
+            if not state:
+                return False
+        return True
+
+    for _ in range(3000):
+        s = tuple(rng.randint(1, 5) for _ in range(rng.randint(1, 8)))
+        assert accepts(s) == (s in subs)
+
+
+def plain_phrases(text, sample):
+    """Greedy longest matches, by substring search."""
+    n, start = 1, 0
+    for at in range(len(text)):
+        if text[start:at + 1] not in sample:
+            n += 1
+            start = at if text[at] in sample else at + 1
+    return n
+
+
+def test_blocks_parse_like_a_plain_search(make):
+    samples = {"aa": "abcab" * 20 + "bca", "bb": "xyzzy" * 20 + "yx"}
+    ids = [i for i in range(50) if not langid_held(i)][:2]
+    rows = [(i, s, k) for i, (k, s) in zip(ids, samples.items())]
+    model = langid.learn(make("documents", rows))
+    assert model.languages == ("aa", "bb")
+    texts = ["abcabbca", "zyxzzyabc", "bcabcq", "abc" * 300]
+    costs = model.costs([model.codes(t) for t in texts])
+    for i, t in enumerate(texts):
+        for k, s in enumerate(samples.values()):
+            want = sum(plain_phrases(t[j:j + langid.BLOCK], s) for j in range(0, len(t), langid.BLOCK))
+            assert costs[i, k] == pytest.approx(want * model.bits[k] / len(t))
+
+
+def langid_held(i):
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
+def test_language_is_predicted_from_the_text_alone(spark, make):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = make("documents", [(-1, None, "en"), (-2, "", "en"), (-3, "12 + 34", "fr"), (-4, "x" * 200_000, "en"), (None, "the and", None)])
+    both = docs.unionByName(extra).withColumn("score", F.lit("s")).withColumn("lang_pred", F.lit("s"))
+    model = langid.learn(both)
+    out = {r.doc_id: r for r in langid.predicted(both, model).collect()}
+    held = [r for r in docs.collect() if langid_held(r.doc_id)]
+    assert all(out[r.doc_id].held_out for r in held)
+    assert sum(out[r.doc_id].lang_pred == r.lang for r in held) / len(held) > 0.97
+    assert [out[k].lang_pred for k in (-1, -2, -3)] == ["und"] * 3 and out[-1].score == 0.0
+    assert all(0 <= r.score <= 1 for r in out.values()) and out[None].held_out is False
+    hidden = both.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), F.lit("zz")).otherwise(F.col("lang")))
+    again = {r.doc_id: r.lang_pred for r in langid.predicted(both, langid.learn(hidden)).collect()}
+    assert again == {k: r.lang_pred for k, r in out.items()}
+    nothing = langid.learn(make("documents", [(1, "text", None)]))
+    assert langid.predicted(make("documents", [(1, "text")]), nothing).collect()[0].lang_pred == "und"
+
+
+PAGE = (
+    "<!DOCTYPE html><html><head><title>No</title><style>p{{}}</style><script>var t='</p>';</script></head><body>"
+    "<header><h1>Site</h1></header><nav><ul><li><a href='/x'>menu</a></li></ul></nav><div class='cookie-notice'>cookies</div>"
+    "<div class=\"content-{n}\"><h1>T&eacute;st &amp; {n}</h1><p><b>One &lt;two&gt;<br>  three<p>Four <a href=\"a>b\">five</a>"
+    "<ul><li>six<li>seven</ul><aside>side</aside><form><p>form</p></form></div>"
+    "<div class='comments'><p>{long}</p></div><footer>&copy; foot</footer></body></html>"
+)
+
+
+def test_pages_give_their_article(make):
+    pages = [(i, f"http://h.example/{i}", PAGE.format(n=i, long="a reader's remark " * 5)) for i in range(20)]
+    pages += [(90, None, None), (91, "http://h.example/e", ""), (92, "x", "<p>bare &amp; text"), (93, "http://h.example/n", "<nav>x</nav>"),
+              (94, "http://h.example/l", "<body><div class=content-1><p>" + "word " * 50_000 + "</div>"), (0, "http://h.example/0", PAGE.format(n=0, long="r"))]
+    df = make("pages", pages).withColumn("host", F.lit(1)).withColumn("path", F.lit(1)).withColumn("text", F.lit(1))
+    out = html.extracted(df).collect()
+    assert len(out) == len(pages)
+    text = {r.page_id: r.text for r in out}
+    for i in range(20):
+        assert text[i] == f"Tést & {i}\nOne <two> three\nFour five\nsix\nseven"
+    assert text[90] == text[91] == text[93] == "" and text[92] == "bare & text"
+    assert text[94] == " ".join(["word"] * 50_000)
+    assert all(r.n_chars == len(r.text) for r in out)
+    assert html.extracted(df.limit(0)).count() == 0
+
+
+def test_the_host_outvotes_a_page(make):
+    usual = "<body><main><p>" + "main text here " * 6 + "</main><section><p>small</section></body>"
+    odd = "<body><main><p>short main</main><section><p>" + "loud other text " * 9 + "</section></body>"
+    pages = make("pages", [(i, "http://a/", usual) for i in range(9)] + [(9, "http://a/", odd)])
+    assert {r.page_id: r.text for r in html.extracted(pages).collect()}[9] == "short main"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='a", "'>", "<", ">", "text", "&amp;", "&#x41;", "<b>", "</b", "<!--", "-->",
+                                 "<script>", "</script>", '"', "<li>", "</ul>", "<td>", "<br/>", "<a href=x>", " "]), max_size=40).map("".join))
+def test_any_markup_is_read(page):
+    html.main_text(page, html.best_container(html.blocks(page)))
+
+
+@pytest.mark.parametrize("page", ["<p>" * 30_000, "<" * 200_000, "<a \"" * 50_000, "<!--" * 50_000, "<a '\"" * 50_000, "<b>x" * 3_000])
+def test_hostile_pages_end(page):
+    html.blocks(page)
+
+
+def test_urls_follow_rules_then_templates(make):
+    pages = [
+        (1, "https://WWW.Example.ORG/es/1?x"), (2, "http://example.org/en/17"), (3, "http://example.org/en/2"), (4, "http://a.com/fr/1"),
+        (5, "http://a.com/de/1#x"), (6, "http://notexample.org/es/1"), (7, None), (8, "no host"), (9, "http://org"), (10, "http://c.net?/fr/"),
+        (10, "http://c.net?/fr/"), (None, "ftp://d.net/p/1"),
+    ]
+    pages += [(100 + i, f"http://s.net/bad/{i}.html") for i in range(40)] + [(200 + i, f"http://s.net/fine/{i}") for i in range(40, 80)]
+    labels = [(i, int(i >= 40), 0) for i in range(80)] + [(None, 0, 0), (5, 0, None)]
+    df = make("pages", pages).withColumn("rule", F.lit(1)).withColumn("purity", F.lit("x"))
+    rows = urls.judged(df, make("labels", labels)).collect()
+    assert len(rows) == len(pages)
+    out = {r.page_id: r for r in rows}
+    got = {i: (out[i].host, out[i].path, out[i].rule, out[i].verdict) for i in range(1, 11)}
+    assert got[1] == ("www.example.org", "/es/1", "example.org/es/", "block")
+    assert got[2] == ("example.org", "/en/17", "example.org/en/1", "block")
+    assert got[3] == ("example.org", "/en/2", "org/", "allow")
+    assert got[4][2:] == ("com/fr/", "allow") and got[5][2:] == ("com/de/", "block")
+    assert got[6][2:] == ("org/", "allow")
+    assert got[7][:3] == got[8][:3] == ("", "", None)
+    assert got[9][:3] == ("org", "", None) and got[10][:3] == ("c.net", "", None)
+    assert {out[100 + i].verdict for i in range(40)} == {"block"} and {out[200 + i].verdict for i in range(40, 80)} == {"allow"}
+    assert out[101].template == "s.net/bad/{n}.html" and out[250].template == "s.net/fine/{n}"
+    assert {r.verdict for r in urls.judged(df, make("labels", [])).where("rule IS NULL").collect()} == {"allow"}
+    assert urls.judged(df.limit(0), make("labels", labels)).count() == 0
+
+
+def test_similar_branches_merge(make):
+    pages = make("pages", [(i, f"http://h.net/{'abcdefgh'[i % 8]}/x{i}") for i in range(160)])
+    labels = make("labels", [(i, 1, 0) for i in range(160)])
+    assert {r.template for r in urls.judged(pages, labels).collect()} == {"h.net/*/x{n}"}
+
+
+def best_number(sizes, length):
+    """Least number of bins, by search over all ways."""
+    best = [len(sizes)]
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + sizes[i] <= length:
+                bins[k] += sizes[i]
+                place(i + 1, bins)
+                bins[k] -= sizes[i]
+        place(i + 1, bins + [sizes[i]])
+
+    place(0, [])
+    return best[0]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_packing_is_near_the_least(sizes):
+    bins = packing.pack_sizes(np.array(sorted(sizes, reverse=True)), 20)
+    assert (np.bincount(bins, sorted(sizes, reverse=True)) <= 20).all()
+    assert len(set(bins.tolist())) <= best_number(sorted(sizes, reverse=True), 20) + 1
+
+
+def test_exchanges_empty_a_bin_that_best_fit_leaves():
+    rng = np.random.default_rng(3)
+    saved = 0
+    for _ in range(30):
+        sizes = rng.integers(200, 900, 120)
+        first = packing.best_fit(sizes, 2048)
+        after = packing.local_search(sizes, first, 2048)
+        assert (np.bincount(after, sizes) <= 2048).all()
+        saved += len(set(first.tolist())) - len(set(after.tolist()))
+        assert saved >= 0
+    assert saved > 0
+
+
+def test_pieces_are_the_tokenizer_s_ids_and_sequences_are_gapless(spark, make):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    odd = ["", None, "  \n ", "don't I'LL it's", "a<|endoftext|>b", "日本 語123", "İ ſ ẞ é é ́x a\x1cb c\x85d\xa0e", "word " * 9000, "x" * 3000,
+           "THE!! ***the*** (x), “q”…"]
+    rows = [(i, t) for i, t in enumerate(odd)] + [(None, "no id"), (3, odd[3])]
+    docs = make("documents", rows).unionByName(spark.read.parquet(f"{SF}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 1000))
+    out = packing.packed(docs.withColumn("length", F.lit(1)), shard=60).toPandas()
+    texts = {(r.doc_id if r.doc_id is not None else None): r.text for r in docs.collect()}
+    for doc, text in texts.items():
+        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        own = out[out.doc_id.isna()] if doc is None else out[out.doc_id == doc].drop_duplicates("piece")
+        own = own.sort_values("piece")
+        assert own.length.sum() == len(ids) and own.start.tolist() == list(range(0, len(ids), 2048))
+        for r in own.itertuples():
+            assert r.ids_crc32 == zlib.crc32(ids[r.start:r.start + r.length].tobytes())
+    for _, seq in out.groupby("sequence_id"):
+        seq = seq.sort_values("offset")
+        assert seq.length.sum() <= 2048
+        assert seq.offset.tolist() == [0, *np.cumsum(seq.length)[:-1].tolist()]
+    assert packing.packed(make("documents", [])).count() == 0
+
+
+def test_words_beyond_the_cache_are_encoded_anew(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 5)
+    words = packing._Words(packing.VOCABULARY)
+    texts = ["alpha beta, gamma delta!", "epsilon zeta eta theta", "alpha theta, iota"]
+    for t in texts * 2:
+        ids = words.tokenizer.encode(t, add_special_tokens=False).ids
+        assert next(packing.encoded([t], words)) == np.array(ids, "<u4").tobytes()
