@@ -10,8 +10,17 @@ from gridgale.operators.ordering import numbered, running_totals
 SEQUENCE_BLOCK = 4096
 
 
-def _literal(value) -> Column:
-    return F.timestamp_micros(F.lit(value[0])) if isinstance(value, tuple) else F.lit(value)
+_NEVER = (1 << 63) - 1
+
+
+def _placed(df: DataFrame, time: str) -> Column:
+    """The time as a number that sorts alike, unknown times last."""
+    kind = dict(df.dtypes)[time]
+    if kind.startswith("timestamp"):
+        return F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(_NEVER))
+    if kind == "date":
+        return F.coalesce(F.unix_date(time).cast("bigint"), F.lit(_NEVER))
+    return F.coalesce(F.col(time).cast("double"), F.lit(float("inf")))
 
 
 def rows_at(df: DataFrame, positions: list[int], time: str, tie: str) -> list[tuple]:
@@ -19,35 +28,34 @@ def rows_at(df: DataFrame, positions: list[int], time: str, tie: str) -> list[tu
 
     Selection instead of a full sort: rows are counted per time (combined map-side), the counts
     are accumulated, and only the times that hold a wanted position are looked into. (time, tie)
-    must identify a row. Timestamps travel through the driver as microseconds (a one-element
-    tuple), so the driver's own time zone plays no part.
+    must identify a row. Times travel through the driver as numbers, so the driver's own time zone
+    plays no part; rows without a time come after all others.
     """
-    stamped = dict(df.dtypes)[time].startswith("timestamp")
-    shown = F.unix_micros(F.col("k").cast("timestamp")) if stamped else F.col("k")
-    per_time = df.groupBy(F.col(time).alias("k")).agg(F.count("*").alias("n"))
+    per_time = df.groupBy(_placed(df, time).alias("k")).agg(F.count("*").alias("n"))
     totals, _ = running_totals(per_time, ["k"], ["n"])
     wanted = F.explode(F.array(*[F.lit(p).cast("bigint") for p in sorted(set(positions))]))
     hits = (
         totals.select("k", "n", "n_before", wanted.alias("p"))
         .filter((F.col("p") >= F.col("n_before")) & (F.col("p") < F.col("n_before") + F.col("n")))
-        .select(shown.alias("k"), "n_before", "p")
+        .select("k", "n_before", "p")
         .collect()
     )
-    hits = [{"k": (h["k"],) if stamped else h["k"], "n_before": h["n_before"], "p": h["p"]} for h in hits]
     found = {}
     for hit in hits:
-        at_time = df.filter(F.col(time) == _literal(hit["k"])).select(F.col(tie).alias("k"))
+        at_time = df.filter(_placed(df, time) == F.lit(hit["k"])).select(F.col(tie).alias("k"))
         place = hit["p"] - hit["n_before"]
         row = numbered(at_time, ["k"]).filter(F.col("position") == place).first()
         found[hit["p"]] = (hit["k"], row["k"])
     return [found.get(p) for p in positions]
 
 
-def _before(time: str, tie: str, key: tuple | None) -> Column:
+def _before(df: DataFrame, time: str, tie: str, key: tuple | None) -> Column:
+    """Whether a row comes before the key; a null tie comes first among equal times."""
     if key is None:  # past the last row
         return F.lit(True)
-    at = _literal(key[0])
-    return (F.col(time) < at) | ((F.col(time) == at) & (F.col(tie) < F.lit(key[1])))
+    place, at = _placed(df, time), F.lit(key[0])
+    earlier = F.lit(False) if key[1] is None else F.coalesce(F.col(tie) < F.lit(key[1]), F.lit(True))
+    return (place < at) | ((place == at) & earlier)
 
 
 def temporal_split(
@@ -58,8 +66,8 @@ def temporal_split(
     cuts = rows_at(df, [int(n * train), int(n * (train + val))], time, tie)
     return df.withColumn(
         "split",
-        F.when(_before(time, tie, cuts[0]), "train")
-        .when(_before(time, tie, cuts[1]), "val").otherwise("test"),
+        F.when(_before(df, time, tie, cuts[0]), "train")
+        .when(_before(df, time, tie, cuts[1]), "val").otherwise("test"),
     )
 
 
@@ -72,7 +80,7 @@ def expanding_folds(
     starts = [n - (k - i) * size for i in range(k)]
     keys = rows_at(df, [*starts, n], time, tie)
     return [
-        (_before(time, tie, keys[i]), ~_before(time, tie, keys[i]) & _before(time, tie, keys[i + 1]))
+        (_before(df, time, tie, keys[i]), ~_before(df, time, tie, keys[i]) & _before(df, time, tie, keys[i + 1]))
         for i in range(k)
     ]
 

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridgale.operators.points import point_grid
+from gridgale.functions.clock import HOUR
+from gridgale.operators.points import TICK, point_grid, time_span
 from gridgale.session import prepare
 
 TABLES = [
@@ -163,14 +165,17 @@ ROLES: dict[str, str] = {
         FROM {part}""",
 }
 
-GRID_START, GRID_END, GRID_STEP = "2024-01-04 00:00:00", "2024-01-28 18:00:00", "6 hours"
+GRID_STEP = "6 hours"
 
 # The grid of points is exploded natively in Spark; this is its text for the checking engine.
 ORACLE_ONLY = {
-    "points": f"""
+    "points": """
         SELECT c.cell, c.q, c.r, t.ts FROM (SELECT DISTINCT cell, q, r FROM weather) c
-        CROSS JOIN (SELECT unnest(generate_series(TIMESTAMP '{GRID_START}',
-          TIMESTAMP '{GRID_END}', INTERVAL 6 HOUR)) AS ts) t""",
+        CROSS JOIN (SELECT unnest(generate_series(
+          time_bucket(INTERVAL 6 HOUR, min(event_time) + INTERVAL 72 HOUR - INTERVAL 1 MICROSECOND, TIMESTAMP '1970-01-01')
+            + INTERVAL 6 HOUR,
+          time_bucket(INTERVAL 6 HOUR, max(event_time) - INTERVAL 24 HOUR, TIMESTAMP '1970-01-01'),
+          INTERVAL 6 HOUR)) AS ts FROM weather) t""",
 }
 DEPENDS = {"alerts": ["predictions"], "points": ["weather"], "raw_storms": ["geo"]}
 
@@ -185,12 +190,23 @@ class Source:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def _grid(self) -> tuple[str, str]:
+        """First and last tick with 72 h of history and 24 h of future in the data: one row to the driver."""
+        if "_ticks" not in self.__dict__:
+            lo, hi = time_span(self.weather)
+            first, last = -((lo + 72 * HOUR) // -TICK) * TICK, (hi - 24 * HOUR) // TICK * TICK
+            self._ticks = tuple(
+                datetime.fromtimestamp(t // 1_000_000, timezone.utc).strftime("%Y-%m-%d %H:%M:%S") for t in (first, last)
+            )
+        return self._ticks
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.table(name)
         if name == "points":
             cells = self.weather.select("cell", "q", "r").distinct()
-            return point_grid(cells, start=GRID_START, end=GRID_END, step=GRID_STEP)
+            start, end = self._grid()
+            return point_grid(cells, start=start, end=end, step=GRID_STEP)
         if name in ROLES:
             text = ROLES[name]
             used = {n: getattr(self, n) for n in [*TABLES, *ROLES] if "{%s}" % n in text}

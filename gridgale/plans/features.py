@@ -21,7 +21,11 @@ from gridgale.plans.base import Source, query, rounded, tidy
 # The oracle joins every point with every event of its disk, the plain reading of the
 # definitions; the Spark side never forms those pairs.
 
-_DISK = "abs(p.q - {e}.q) <= 2 AND abs(p.r - {e}.r) <= 2 AND abs(p.q - {e}.q + p.r - {e}.r) <= 2"
+# An equality join through the list of disk offsets, so that it ends in good time.
+_OFFSETS = "(VALUES " + ", ".join(
+    f"({dq}, {dr})" for dq in range(-2, 3) for dr in range(-2, 3) if abs(dq + dr) <= 2
+) + ") AS o(dq, dr)"
+_DISK = "{e}.q = p.q + o.dq AND {e}.r = p.r + o.dr"
 
 
 def _case_category() -> str:
@@ -39,15 +43,15 @@ _NEAR_WEATHER = f"""
       w.damage_property AS d, {CATEGORY_SQL.replace('event_type', 'w.event_type')} AS cat,
       (p.q = w.q AND p.r = w.r) AS is_self,
       epoch_us(p.ts) - epoch_us(w.event_time) AS age
-    FROM points p JOIN weather w ON {_DISK.format(e='w')}
+    FROM points p CROSS JOIN {_OFFSETS} JOIN weather w ON {_DISK.format(e='w')}
       AND w.event_time >= p.ts - INTERVAL 72 HOUR AND w.event_time <= p.ts"""
 
 _NEAR_OUTAGES = f"""
-    SELECT p.cell, p.q, p.r, p.ts, o.cell AS ocell, o.outage_fraction AS f,
-      (p.q = o.q AND p.r = o.r) AS is_self,
-      (epoch_us(p.ts) - epoch_us(o.observed_at)) / 3600000000.0 AS age
-    FROM points p JOIN outages o ON {_DISK.format(e='o')}
-      AND o.observed_at >= p.ts - INTERVAL 169 HOUR AND o.observed_at <= p.ts"""
+    SELECT p.cell, p.q, p.r, p.ts, e.cell AS ocell, e.outage_fraction AS f,
+      (p.q = e.q AND p.r = e.r) AS is_self,
+      (epoch_us(p.ts) - epoch_us(e.observed_at)) / 3600000000.0 AS age
+    FROM points p CROSS JOIN {_OFFSETS} JOIN outages e ON {_DISK.format(e='e')}
+      AND e.observed_at >= p.ts - INTERVAL 169 HOUR AND e.observed_at <= p.ts"""
 
 _H = 3_600_000_000
 
@@ -247,18 +251,20 @@ def f1_rolling_weather(s: Source) -> DataFrame:
     return tidy(feat.rolling_weather(s.points, s.weather).drop("q", "r"))
 
 
+_DISTINCT = [c for c in feat.ROLLING if "distinct" in c]
+
+
 @query("f1_distinct_types_any_vocabulary", rounded(
     ["weather", "points"],
-    f"""SELECT cell, ts, {', '.join(x for x in _rolling_sql() if 'distinct' in x)}
-        FROM ({_NEAR_WEATHER}) GROUP BY cell, ts""",
-    [],
+    _point_oracle(_per_point([x for x in _rolling_sql() if "distinct" in x], _NEAR_WEATHER), _DISTINCT), [],
 ))
 def f1_distinct_types(s: Source) -> DataFrame:
     from gridgale.operators.disk import checked_points, distinct_type_counts
 
     keys = checked_points(s.points, feat.DEFAULT_TICK)
     found = distinct_type_counts(keys, s.weather, feat.DEFAULT_TICK)
-    return feat.keyed(s.points).join(found, ["q", "r", "t"]).drop("q", "r", "t")
+    out = feat.keyed(s.points).join(found, ["q", "r", "t"], "left")
+    return out.select("cell", "ts", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in _DISTINCT])
 
 
 @query("f2_outage_lags", rounded(

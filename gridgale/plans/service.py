@@ -15,6 +15,7 @@ from gridgale.constants import (
 )
 from gridgale.operators import scoring as sc
 from gridgale.operators import tables as tb
+from gridgale.operators.ordering import numbered
 from gridgale.plans.base import Source, query, rounded, tidy
 from gridgale.plans.features import (
     _NEAR_OUTAGES,
@@ -137,16 +138,16 @@ _RANK = "CASE severity WHEN 'RED' THEN 0 WHEN 'ORANGE' THEN 1 WHEN 'YELLOW' THEN
 
 @query("q11_alert_feed", rounded(["alerts"], f"""
     SELECT id, severity, created_at, row_number() OVER (ORDER BY {_RANK}, created_at DESC, id) AS place
-    FROM alerts ORDER BY place LIMIT 200""", []))
+    FROM alerts""", []))
 def q11_alert_feed(s: Source) -> DataFrame:
-    top = tb.alert_feed(s.alerts).limit(200).select("id", "severity", "created_at")
-    # Two hundred rows: numbering them in one task is bounded by the page.
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.lit(0)).orderBy(
-        tb.severity_rank(F.col("severity")), F.col("created_at").desc(), "id"
+    """The whole feed; its order is shown as a place, numbered without a single-task window."""
+    feed = tb.alert_feed(s.alerts).select(
+        "id", "severity", "created_at", tb.severity_rank(F.col("severity")).alias("_rank"),
+        (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("_age"),
+    )
+    return numbered(feed, ["_rank", "_age", "id"]).select(
+        "id", "severity", "created_at", (F.col("position") + 1).alias("place")
     )
-    return top.withColumn("place", F.row_number().over(w))
 
 
 @query("q12_page", rounded(["predictions"], """

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridgale.constants import ALERT_TTL_HOURS, DEFAULT_ALERT_TTL_HOURS
 from gridgale.operators import normalize as norm
 from gridgale.operators import quality as q
 from gridgale.operators import scoring as sc
@@ -32,7 +33,9 @@ def _deliver(parts: list[DataFrame], path: str) -> None:
 
 
 def _halves(df: DataFrame, time: str, cut: str = "2024-01-16") -> list[DataFrame]:
-    return [df.filter(F.col(time) < cut), df.filter(F.col(time) >= cut)]
+    """An early and a late delivery; rows without a time come with the late one."""
+    early = F.coalesce(F.col(time) < cut, F.lit(False))
+    return [df.filter(early), df.filter(~early)]
 
 
 @query("t1_incremental_ingest", rounded(["raw_outages"], """
@@ -83,7 +86,7 @@ def t3_unique_alerts(s: Source) -> DataFrame:
 def t4_streaming_upsert(s: Source) -> DataFrame:
     incoming, out, progress = _paths(s, "t4")
     stored, updates = _s11_inputs(s)
-    _deliver([stored.select(updates.columns).coalesce(1)], incoming)
+    _deliver([stored.select(updates.columns)], incoming)
     keys, changing = UPSERT_RULES["outage_observations"]
 
     def run() -> None:
@@ -93,7 +96,7 @@ def t4_streaming_upsert(s: Source) -> DataFrame:
         ))
 
     run()
-    _deliver([updates.coalesce(1)], incoming)
+    _deliver([updates], incoming)
     run()
     return tidy(s.spark.read.parquet(out).drop("event_id", "month"))
 
@@ -111,9 +114,10 @@ def t5_tumbling_bins(s: Source) -> DataFrame:
     """Bins that the watermark (newest time less 6 h) has closed."""
     incoming, out, progress = _paths(s, "t5")
     rows = s.outages.select("observed_at", "outage_fraction")
-    _deliver([p.coalesce(1) for p in _halves(rows, "observed_at")], incoming)
-    stream = jobs.file_stream(s.spark, incoming, rows.schema, files_per_batch=1)
-    jobs.drain(jobs.to_files(jobs.tumbling_outages(stream, "3 hours", "6 hours"), out, progress))
+    for part in _halves(rows, "observed_at"):
+        _deliver([part], incoming)
+        stream = jobs.file_stream(s.spark, incoming, rows.schema)
+        jobs.drain(jobs.to_files(jobs.tumbling_outages(stream, "3 hours", "6 hours"), out, progress))
     return tidy(s.spark.read.parquet(out))
 
 
@@ -125,10 +129,11 @@ def t5_tumbling_bins(s: Source) -> DataFrame:
 def t5_rolling_counts(s: Source) -> DataFrame:
     incoming, out, progress = _paths(s, "t5r")
     rows = s.weather.select("event_time", "cell", "magnitude")
-    _deliver([p.coalesce(1) for p in _halves(rows, "event_time")], incoming)
-    stream = jobs.file_stream(s.spark, incoming, rows.schema, files_per_batch=1)
-    found = jobs.rolling_counts(stream, "24 hours", "6 hours", "6 hours")
-    jobs.drain(jobs.to_files(found, out, progress))
+    for part in _halves(rows, "event_time"):
+        _deliver([part], incoming)
+        stream = jobs.file_stream(s.spark, incoming, rows.schema)
+        found = jobs.rolling_counts(stream, "24 hours", "6 hours", "6 hours")
+        jobs.drain(jobs.to_files(found, out, progress))
     return tidy(s.spark.read.parquet(out))
 
 
@@ -170,19 +175,38 @@ def t6_score_stream(s: Source) -> DataFrame:
     return tidy(s.spark.read.parquet(out))
 
 
-@query("t7_alert_lifecycle")
+_TTL_SQL = "CASE severity " + " ".join(f"WHEN '{k}' THEN {h}" for k, h in ALERT_TTL_HOURS.items()) + (
+    f" ELSE {DEFAULT_ALERT_TTL_HOURS} END"
+)
+
+
+@query("t7_alert_lifecycle", rounded(["predictions"], f"""
+    SELECT region_code, cell, alert_id, make_timestamp(at_ms * 1000) AS at, change, severity FROM (
+      SELECT *, epoch_us(predicted_at) // 1000 AS at_ms, 'created' AS change FROM raised
+      UNION ALL SELECT *, epoch_us(predicted_at) // 1000 + 6 * 3600000, 'acknowledged' FROM raised WHERE alert_id % 7 = 0
+      UNION ALL SELECT * FROM (SELECT *, epoch_us(predicted_at) // 1000 + {_TTL_SQL} * 3600000 AS at_ms, 'expired' FROM raised
+        WHERE alert_id % 7 <> 0) WHERE at_ms < (SELECT max(epoch_us(predicted_at) // 1000
+          + CASE WHEN alert_id % 7 = 0 THEN 6 * 3600000 ELSE 0 END) - 3600000 FROM raised))""", []).replace(
+    "result AS (", f"""raised AS (SELECT * FROM (SELECT region_code, cell, id AS alert_id, predicted_at,
+      {_level_sql('risk_probability', 'region_code')} AS severity FROM predictions) WHERE severity <> 'GREEN'),
+    result AS (""", 1))
 def t7_alert_lifecycle(s: Source) -> DataFrame:
-    """Raised from predictions above GREEN; every seventh event acknowledges instead."""
+    """Raised from predictions above GREEN; every seventh is acknowledged after six hours. Two deliveries
+    and two runs, so that open alerts are carried over."""
     incoming, out, progress = _paths(s, "t7")
-    rows = s.predictions.select(
-        "region_code", "cell", F.col("predicted_at").alias("event_time"),
-        F.when(F.col("id") % 7 == 0, "ack").otherwise("raise").alias("kind"),
+    raised = s.predictions.select(
+        "region_code", "cell", F.col("predicted_at").alias("event_time"), F.lit("raise").alias("kind"),
         sc.risk_level(F.col("risk_probability"), F.col("region_code")).alias("severity"),
-        F.col("id").alias("seq"),
-    ).filter("severity <> 'GREEN' OR kind = 'ack'")
-    _deliver([p.coalesce(1) for p in _halves(rows, "event_time")], incoming)
-    stream = jobs.file_stream(s.spark, incoming, rows.schema, files_per_batch=1)
-    jobs.drain(jobs.to_files(alert_lifecycle(stream), out, progress))
+        F.col("id").alias("alert_id"),
+    ).filter("severity <> 'GREEN'")
+    acks = raised.filter("alert_id % 7 = 0").withColumns({
+        "event_time": F.col("event_time") + F.expr("INTERVAL 6 HOURS"), "kind": F.lit("ack"),
+    })
+    rows = raised.unionByName(acks)
+    for part in _halves(rows, "event_time"):
+        _deliver([part], incoming)
+        stream = jobs.file_stream(s.spark, incoming, rows.schema)
+        jobs.drain(jobs.to_files(alert_lifecycle(stream), out, progress))
     return s.spark.read.parquet(out)
 
 
@@ -218,9 +242,9 @@ def t8_channel_report(s: Source) -> DataFrame:
 
 
 @query("t9_retained_log", rounded(["predictions"], """
-    SELECT id, predicted_at FROM predictions ORDER BY predicted_at DESC, id DESC LIMIT 5000""", []))
+    SELECT id, predicted_at FROM predictions ORDER BY predicted_at DESC, id DESC LIMIT 100000""", []))
 def t9_retained_log(s: Source) -> DataFrame:
-    return jobs.retained(s.predictions, 5000).select("id", "predicted_at")
+    return jobs.retained(s.predictions).select("id", "predicted_at")
 
 
 @query("t10_late_rows", rounded(["weather"], """
@@ -233,11 +257,12 @@ def t10_late_rows(s: Source) -> DataFrame:
     held = (F.col("event_id") % 50 == 0) & (F.col("event_time") < "2024-01-10")
     prompt = rows.filter(~held)
     parts = [*_halves(prompt, "event_time"), rows.filter(held)]
-    _deliver([p.coalesce(1) for p in parts], incoming)
-    stream = jobs.file_stream(s.spark, incoming, rows.schema, files_per_batch=1)
-    jobs.drain(jobs.split_late(
-        stream, "event_time", "3 DAYS", f"{out}/on_time", f"{out}/late", f"{out}/marks", progress
-    ))
+    for part in parts:
+        _deliver([part], incoming)
+        stream = jobs.file_stream(s.spark, incoming, rows.schema)
+        jobs.drain(jobs.split_late(
+            stream, "event_time", "3 DAYS", f"{out}/on_time", f"{out}/late", f"{out}/marks", progress
+        ))
     late = s.spark.read.parquet(f"{out}/late").select("event_id", F.lit(True).alias("late"))
     prompt = s.spark.read.parquet(f"{out}/on_time").select("event_id", F.lit(False).alias("late"))
     return late.unionByName(prompt)

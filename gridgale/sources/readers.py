@@ -19,15 +19,49 @@ GRID_TIMES = ["timestamp", "datetime", "interval_start", "time"]
 STATION_TIMES = ["valid", "valid(utc)", "timestamp", "datetime"]
 
 
-def read_csvs(spark: SparkSession, paths: list[str] | str, rename) -> DataFrame:
-    """Union by column name of CSV sets. Files under one path share a header; different paths
-    (say, one per year) may differ in columns and order."""
+def files_by_header(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Data files under the paths (files, folders or globs), by their first line. Only that line
+    of each file is read; a feed has a file per day or year, so the list is short."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    out: dict[str, list[str]] = {}
+    for entry in paths:
+        at = jvm.org.apache.hadoop.fs.Path(entry)
+        fs = at.getFileSystem(conf)
+        waiting = list(fs.globStatus(at) or [])
+        if not waiting:
+            raise FileNotFoundError(entry)
+        while waiting:
+            status = waiting.pop()
+            path = status.getPath()
+            if path.getName()[0] in "._":
+                continue
+            if status.isDirectory():
+                waiting += list(fs.listStatus(path))
+                continue
+            codec, raw = codecs.getCodec(path), fs.open(path)
+            lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
+                codec.createInputStream(raw) if codec else raw, "UTF-8"
+            ))
+            try:
+                header = lines.readLine()
+            finally:
+                lines.close()
+            if header:
+                out.setdefault(header.lstrip("\ufeff").rstrip("\r"), []).append(path.toString())
+    return out
+
+
+def read_csvs(spark: SparkSession, paths: list[str] | str, rename, free_text: bool = False) -> DataFrame:
+    """Union by column name of CSV files, whatever their columns and order: one scan per distinct
+    header. ``free_text`` feeds may break lines inside quotes; their files are read whole by one
+    task each."""
     entries = [paths] if isinstance(paths, str) else list(paths)
     frames = []
-    for path in entries:
-        df = spark.read.option("header", True).option("multiLine", False).option(
+    for _, files in sorted(files_by_header(spark, entries).items()):
+        df = spark.read.option("header", True).option("multiLine", free_text).option(
             "escape", '"'
-        ).csv(path)
+        ).option("enforceSchema", False).csv(sorted(files))
         frames.append(df.toDF(*[rename(c) for c in df.columns]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
@@ -51,7 +85,7 @@ def read_storms(
     spark: SparkSession, paths, start: str | None = None, end: str | None = None,
     region: str | None = None,
 ) -> DataFrame:
-    df = read_csvs(spark, paths, lambda c: c.strip().upper())
+    df = read_csvs(spark, paths, lambda c: c.strip().upper(), free_text=True)
     df = _timed(df, ["BEGIN_DATE_TIME"], "BEGIN_DATE_TIME", start, end)
     if region and "STATE_FIPS" in df.columns:
         df = df.withColumn("STATE_FIPS", pad(F.col("STATE_FIPS"), 2)).filter(

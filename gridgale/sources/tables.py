@@ -47,12 +47,28 @@ def read_range(
     return df.filter(in_dates(F.col(time), start, end)).drop("month")
 
 
+def touched_months(rows: DataFrame) -> list[str | None]:
+    """Months that the rows fall in, None for unknown times: a list bounded by the calendar, so it may
+    stand in a filter."""
+    return [r["month"] for r in rows.select("month").distinct().collect()]
+
+
+def in_months(target: DataFrame, months: list[str | None]) -> DataFrame:
+    """Rows of these months. Literal months prune folders."""
+    wanted = F.col("month").isin(sorted(m for m in months if m is not None))
+    return target.filter(wanted | F.col("month").isNull() if None in months else wanted)
+
+
 def append_new(df: DataFrame, path: str, time: str, keys: list[str], order: list) -> None:
-    """Append the rows whose key the table lacks."""
+    """Append the rows whose key the table lacks. When the time is part of the key, only the months
+    of the new rows are read from the table."""
     spark = df.sparkSession
     if exists(spark, path):
+        target = spark.read.parquet(path)
+        if time in keys:
+            target = in_months(target, touched_months(with_month(df, time)))
         # The target is read and appended to in one job, so the rows to add are fixed first.
-        df = settle(insert_ignore(spark.read.parquet(path), df, keys, order))
+        df = settle(insert_ignore(target, df, keys, order))
     else:
         from gridgale.operators.merge import first_per_key
 
@@ -77,9 +93,8 @@ def upsert_into(
 
         last_per_key(updates, [*keys, "month"], order).write.partitionBy("month").parquet(path)
         return
-    touched = updates.select("month").distinct()
     target = spark.read.parquet(path)
-    current = target.join(touched, "month", "left_semi").select(*target.columns)
+    current = in_months(target, touched_months(updates))
     extra = [c for c in target.columns if c not in updates.columns]
     updates = updates.withColumns({c: F.lit(None).cast(dict(target.dtypes)[c]) for c in extra})
     merged = settle(upsert(current, updates, [*keys, "month"], update_columns, order))

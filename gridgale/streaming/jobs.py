@@ -147,23 +147,28 @@ def split_late(
 ) -> StreamingQuery:
     """Route rows older than (newest time seen before the batch - delay) to a side table.
 
-    Each batch writes its own folder and its own mark, so a replay overwrites what it wrote.
+    Each batch writes its own folder, and as its mark the newest time so far, so a replay overwrites
+    what it wrote and only the last mark is read. Rows without a time are on time.
     """
     def route(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         try:
-            cutoff = None
-            if tables.exists(spark, marks):
-                seen = spark.read.parquet(marks).filter(F.col("batch") < batch_id)
-                newest = F.max("newest") - F.expr(f"INTERVAL {delay}")
-                cutoff = seen.agg(F.unix_micros(newest).alias("cutoff")).first()["cutoff"]
-            is_late = F.lit(False) if cutoff is None else F.col(time) < F.timestamp_micros(F.lit(cutoff))
+            cutoff, before = None, f"{marks}/batch={batch_id - 1}"
+            if batch_id and tables.exists(spark, before):
+                newest = spark.read.parquet(before)
+                cutoff = newest.select(
+                    F.unix_micros(F.col("newest") - F.expr(f"INTERVAL {delay}")).alias("cutoff")
+                ).first()["cutoff"]
+            is_late = F.lit(False) if cutoff is None else F.coalesce(
+                F.col(time) < F.timestamp_micros(F.lit(cutoff)), F.lit(False)
+            )
             batch.filter(is_late).write.mode("overwrite").parquet(f"{late}/batch={batch_id}")
             batch.filter(~is_late).write.mode("overwrite").parquet(f"{on_time}/batch={batch_id}")
-            batch.agg(F.max(time).alias("newest")).write.mode("overwrite").parquet(
-                f"{marks}/batch={batch_id}"
-            )
+            so_far = batch.agg(F.max(time).alias("newest"))
+            if cutoff is not None:
+                so_far = so_far.union(newest.select("newest")).agg(F.max("newest").alias("newest"))
+            so_far.write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
         finally:
             batch.unpersist()
 

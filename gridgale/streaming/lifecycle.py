@@ -1,7 +1,8 @@
-"""Alert lifecycle as a stateful stream: create, acknowledge, expire by level.
+"""Alert lifecycle as a stateful stream: every raise creates an alert, an acknowledgement closes the one
+it names, and what nobody acknowledged expires by its level.
 
-State per (region, cell) is the open alert, if any. Events of a batch are played in time order;
-an alert that nobody acknowledged ends by an event-time timer at its expiry.
+State per (region, cell) is the list of open alerts with their expiries. An acknowledgement counts when
+its event time is before the expiry; expiries are told by the watermark through event-time timers.
 """
 
 from __future__ import annotations
@@ -15,55 +16,52 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridgale.constants import ALERT_TTL_HOURS, DEFAULT_ALERT_TTL_HOURS
 
-STATE = "severity string, expires_ms long"
-CHANGES = "region_code string, cell long, at timestamp, change string, severity string"
-
-
-def _step(key, at_ms: int, kind: str, severity: str | None, open_alert, out: list) -> tuple | None:
-    """Apply one event to the open alert and record what changed."""
-    def record(ms: int, change: str, level: str) -> None:
-        out.append((key[0], key[1], pd.Timestamp(ms, unit="ms"), change, level))
-
-    if open_alert and open_alert[1] <= at_ms:
-        record(open_alert[1], "expired", open_alert[0])
-        open_alert = None
-    if kind == "ack":
-        if open_alert:
-            record(at_ms, "acknowledged", open_alert[0])
-        return None
-    if open_alert is None:
-        hours = ALERT_TTL_HOURS.get(severity, DEFAULT_ALERT_TTL_HOURS)
-        record(at_ms, "created", severity)
-        return (severity, at_ms + hours * 3_600_000)
-    return open_alert
+STATE = "ids array<long>, levels array<string>, expires_ms array<long>"
+CHANGES = "region_code string, cell long, alert_id long, at timestamp, change string, severity string"
 
 
 def _play(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     out: list[tuple] = []
-    open_alert = state.get if state.exists else None
+    # Expiry and level of each open alert, in the order they were raised.
+    open_alerts = {i: (x, level) for i, level, x in zip(*state.get, strict=True)} if state.exists else {}
+
+    def record(alert: int, ms: int, change: str, level: str) -> None:
+        out.append((key[0], key[1], alert, pd.Timestamp(ms, unit="ms"), change, level))
+
     if state.hasTimedOut:
-        if open_alert:
-            out.append((key[0], key[1], pd.Timestamp(open_alert[1], unit="ms"), "expired", open_alert[0]))
-        state.remove()
+        now = state.getCurrentWatermarkMs()
+        for alert, (expiry, level) in list(open_alerts.items()):
+            if expiry < now:
+                record(alert, expiry, "expired", level)
+                del open_alerts[alert]
     else:
-        rows = pd.concat(list(batches)).sort_values(["at_ms", "seq"])
+        rows = pd.concat(list(batches)).sort_values(["at_ms", "is_ack", "alert_id"])
         for row in rows.itertuples(index=False):
-            open_alert = _step(key, int(row.at_ms), row.kind, row.severity, open_alert, out)
-        if open_alert:
-            state.update(open_alert)
-            # A timer must lie ahead of the watermark; one already due fires at the next batch.
-            state.setTimeoutTimestamp(max(open_alert[1], state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-    names = ["region_code", "cell", "at", "change", "severity"]
+            alert, at = int(row.alert_id), int(row.at_ms)
+            if not row.is_ack:
+                hours = ALERT_TTL_HOURS.get(row.severity, DEFAULT_ALERT_TTL_HOURS)
+                open_alerts[alert] = (at + hours * 3_600_000, row.severity)
+                record(alert, at, "created", row.severity)
+            elif alert in open_alerts and at < open_alerts[alert][0]:
+                record(alert, at, "acknowledged", open_alerts.pop(alert)[1])
+    if open_alerts:
+        state.update((
+            list(open_alerts), [level for _, level in open_alerts.values()], [x for x, _ in open_alerts.values()],
+        ))
+        # A timer must lie ahead of the watermark; one already due fires at the next batch.
+        soonest = min(x for x, _ in open_alerts.values())
+        state.setTimeoutTimestamp(max(soonest, state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
+        state.remove()
+    names = [c.split()[0] for c in CHANGES.split(", ")]
     yield pd.DataFrame(out, columns=names).astype({"at": "datetime64[ns]"})
 
 
 def alert_lifecycle(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """``events``: region_code, cell, event_time, kind ('raise' | 'ack'), severity, seq."""
-    rows = events.withWatermark("event_time", delay).select(
-        "region_code", "cell", "event_time", "kind", "severity", "seq",
-        F.unix_millis("event_time").alias("at_ms"),
+    """``events``: region_code, cell, event_time, kind ('raise' | 'ack'), severity, alert_id."""
+    rows = events.withWatermark("event_time", delay).filter("alert_id IS NOT NULL").select(
+        "region_code", "cell", "event_time", "severity", "alert_id",
+        (F.col("kind") == "ack").alias("is_ack"), F.unix_millis("event_time").alias("at_ms"),
     )
     return rows.groupBy("region_code", "cell").applyInPandasWithState(
         _play, CHANGES, STATE, "append", GroupStateTimeout.EventTimeTimeout

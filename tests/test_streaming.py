@@ -10,29 +10,25 @@ from gridgale.constants import ALERT_TTL_HOURS
 from gridgale.streaming import jobs
 from gridgale.streaming.lifecycle import alert_lifecycle
 
-SCHEMA = "region_code string, cell long, event_time timestamp, kind string, severity string, seq long"
+SCHEMA = "region_code string, cell long, event_time timestamp, kind string, severity string, alert_id long"
 T0 = datetime(2024, 1, 1)
 
 
 def replay(rows):
     """The lifecycle of every (region, cell), event by event."""
     out, last = [], max(r[2] for r in rows)
-    for key in {(r[0], r[1]) for r in rows}:
-        alert = None
-        for r in sorted((r for r in rows if (r[0], r[1]) == key), key=lambda r: (r[2], r[5])):
-            if alert and alert[1] <= r[2]:
-                out.append((*key, alert[1], "expired", alert[0]))
-                alert = None
-            if r[3] == "ack":
-                if alert:
-                    out.append((*key, r[2], "acknowledged", alert[0]))
-                alert = None
-            elif alert is None:
-                out.append((*key, r[2], "created", r[4]))
-                alert = (r[4], r[2] + timedelta(hours=ALERT_TTL_HOURS[r[4]]))
+    acks = {(r[0], r[1], r[5]): r[2] for r in rows if r[3] == "ack"}
+    for r in rows:
+        if r[3] == "ack":
+            continue
+        key = (r[0], r[1], r[5])
+        out.append((*key, r[2], "created", r[4]))
+        expiry = r[2] + timedelta(hours=ALERT_TTL_HOURS[r[4]])
+        if key in acks and acks[key] < expiry:
+            out.append((*key, acks[key], "acknowledged", r[4]))
         # The watermark trails the newest event by an hour; an expiry before it has fired.
-        if alert and alert[1] < last - timedelta(hours=1):
-            out.append((*key, alert[1], "expired", alert[0]))
+        elif expiry < last - timedelta(hours=1):
+            out.append((*key, expiry, "expired", r[4]))
     return sorted(out)
 
 
@@ -41,11 +37,15 @@ def test_alert_lifecycle(spark, tmp_path):
     rows = []
     for i in range(400):
         cell = 1 if rng.random() < 0.33 else rng.randrange(2, 12)
-        kind = "ack" if rng.random() < 0.2 else "raise"
-        rows.append(("TX", cell, T0 + timedelta(minutes=30 * i), kind, rng.choice(list(ALERT_TTL_HOURS)), i))
+        at, level = T0 + timedelta(minutes=30 * i), rng.choice(list(ALERT_TTL_HOURS))
+        rows.append(("TX", cell, at, "raise", level, i))
+        if rng.random() < 0.4:  # some acknowledge too late
+            rows.append(("TX", cell, at + timedelta(hours=rng.randrange(1, 60)), "ack", None, i))
+    rows.append(("TX", 3, T0, "ack", None, 10_000))  # names no alert
+    rows.sort(key=lambda r: r[2])
     path = str(tmp_path / "in")
-    for k in range(4):
-        spark.createDataFrame(rows[k * 100:(k + 1) * 100], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    for k in range(0, len(rows), 120):
+        spark.createDataFrame(rows[k:k + 120], SCHEMA).coalesce(1).write.mode("append").parquet(path)
     stream = jobs.file_stream(spark, path, spark.createDataFrame([], SCHEMA).schema, files_per_batch=1)
     jobs.drain(jobs.to_files(alert_lifecycle(stream), str(tmp_path / "out"), str(tmp_path / "cp")))
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
