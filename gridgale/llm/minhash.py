@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridgale.llm.common import id_and_text, staged, table
-from gridgale.llm.components import components
+from gridgale.llm.components import components, extended
 
 WORDS, K, PERCENT = 5, 64, 75
 FREQUENT, LEAST, STEP = 64, 0.5, 1.1
@@ -98,7 +98,8 @@ def _bucket(n: Column) -> Column:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(key, doc_id, n): the rarest shingles of each set, as many as a link needs one of to be shared.
+    """(key, doc_id, n, met, rank): the rarest shingles of each set, as many as a link needs one of to be shared;
+    ``met`` counts those that any other set has.
 
     A link with a set of size m shares t/(1+t) * (n + m) shingles, so two sets must meet within their
     first n + 1 - that in a common order; partners of similar size (one bucket) share a key.
@@ -107,7 +108,9 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     items = sized.select("doc_id", "n", F.explode("items").alias("value"))
     counts = items.groupBy("value").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "value"))
-    ranked = items.join(counts, "value").withColumn("_rank", rank).where("df > 1")
+    ranked = items.join(counts, "value").withColumns({
+        "_rank": rank, "met": F.count_if(F.col("df") > 1).over(Window.partitionBy("doc_id")),
+    }).where("df > 1")
     own, share = _bucket(F.col("n")), PERCENT / 100
     for_sizes = ranked.withColumns({"own": own, "other": F.explode(
         F.sequence(_bucket(F.greatest(F.floor(F.col("n") * share), F.lit(1))), _bucket(F.ceil(F.col("n") / share)))
@@ -117,10 +120,24 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     kept = for_sizes.where(F.col("_rank") <= F.col("n") - needed + 1)
     return kept.select(
         F.struct("value", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).alias("key"),
-        "doc_id", "n",
+        "doc_id", "n", "met", F.col("_rank").alias("rank"),
     )
 
 
+def _can_meet(u: dict[str, str], v: dict[str, str]) -> Column:
+    """Whether sets (or the best of two groups) can share enough for a link, the shingle at hand first:
+    it must stand early enough in both, and enough shingles must be in other sets too."""
+    needed = F.ceil((F.col(u["least"]) + F.col(v["least"])) * (PERCENT / (100 + PERCENT)) - 1e-9)
+    ok = F.least(u["met"], v["met"]) >= needed
+    for side in (u, v):
+        ok &= F.col(side["rank"]) <= F.col(side["most"]) - needed + 1
+    return ok
+
+
+def _sided(df: DataFrame, side: str) -> DataFrame:
+    return df.select("key", *[F.col(c).alias(c + side) for c in df.columns if c != "key"])
+
+
 def _pairs_across(sets: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs that may be links and whose documents are in different components so far."""
     placed = _prefixes(sets).join(
@@ -129,14 +146,28 @@ def _pairs_across(sets: DataFrame, roots: DataFrame) -> DataFrame:
     placed = staged(placed, "prefixes")
     open_ = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b")
     placed = staged(placed.join(open_.select("key"), "key"), "across")
-    groups = placed.select("key", "root").distinct()
-    met = groups.select("key", F.col("root").alias("ru")).join(
-        groups.select("key", F.col("root").alias("rv")), "key"
-    ).where("ru < rv")
-    left = placed.select("key", F.col("root").alias("ru"), F.col("doc_id").alias("du"), F.col("n").alias("nu"))
-    right = placed.select("key", F.col("root").alias("rv"), F.col("doc_id").alias("dv"), F.col("n").alias("nv"))
-    pairs = met.join(left, ["key", "ru"]).join(right, ["key", "rv"]).where(_fits("nu", "nv"))
-    return pairs.select(F.least("du", "dv").alias("u"), F.greatest("du", "dv").alias("v")).distinct()
+    groups = placed.groupBy("key", "root").agg(
+        F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.max("met").alias("met"), F.min("rank").alias("rank"),
+    )
+    # Components first, then documents: the smaller side of two components is spread out before the larger.
+    names = ("least", "most", "met", "rank")
+    met = _sided(groups, "_u").join(_sided(groups, "_v"), "key").where(
+        (F.col("root_u") < F.col("root_v")) & _can_meet({c: c + "_u" for c in names}, {c: c + "_v" for c in names})
+    )
+    first = F.col("size_u") <= F.col("size_v")
+    met = met.select(
+        "key", F.when(first, F.col("root_u")).otherwise(F.col("root_v")).alias("root_s"),
+        F.when(first, F.col("root_v")).otherwise(F.col("root_u")).alias("root_l"),
+    )
+    small, large = _sided(placed, "_s"), _sided(placed, "_l")
+    sides = [{"least": "n" + x, "most": "n" + x, "met": "met" + x, "rank": "rank" + x} for x in ("_s", "_l")]
+    pairs = met.join(small, ["key", "root_s"]).join(large, ["key", "root_l"]).where(
+        _fits("n_s", "n_l") & _can_meet(*sides)
+    )
+    return pairs.select(
+        F.least("doc_id_s", "doc_id_l").alias("u"), F.greatest("doc_id_s", "doc_id_l").alias("v")
+    ).distinct()
 
 
 def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -195,7 +226,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = staged(shingle_sets(texts.join(hard.select("doc_id").distinct(), "doc_id", "left_semi").distinct()), "sets")
     more = staged(_likely(_pairs_across(sets, roots), reps), "pairs-across")
     if not more.isEmpty():
-        roots = components(links.union(verified(more, texts)))
+        roots = extended(roots, verified(more, texts))
     out = members.select("doc_id", "n_shingles", "rep").join(
         roots.withColumnRenamed("node", "rep"), "rep", "left"
     ).select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))

@@ -8,7 +8,7 @@ import re
 import pytest
 
 from gridgale.llm import decontamination, minhash, simhash
-from gridgale.llm.components import components
+from gridgale.llm.components import components, extended
 
 
 def shingles(text):
@@ -102,6 +102,24 @@ def test_components_of_long_chains(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_components_and_their_extension_equal_a_plain_search(spark, seed):
+    rng = random.Random(seed)
+    links = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)]
+
+    def plain(pairs):
+        root = list(range(120))
+        for _ in range(120):
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return {n: r for n, r in enumerate(root) if n != r}
+
+    first, more = (spark.createDataFrame(x, "u long, v long") for x in (links[:60], links[60:]))
+    roots = components(first)
+    assert {r.node: r.root for r in roots.collect()} == plain(links[:60])
+    assert {r.node: r.root for r in extended(roots, more).collect()} == plain(links)
+
+
 def simhash_of(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r.doc_id: r.fingerprint for r in simhash.fingerprints(df, ["doc_id"]).collect()}
