@@ -29,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -181,34 +182,31 @@ def indexes(benchmark: DataFrame, chunk: int = CHUNK) -> list[Index]:
     ]
 
 
+def _finder(docs: DataFrame, index: Index):
+    """A text's leaks as a column function; the index is broadcast."""
+    held = docs.sparkSession.sparkContext.broadcast(index)
+
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([held.value.leaks(t) for t in batch], dtype=object)
+
+    return F.pandas_udf(find, "array<struct<item_id: long, start_word: int, n_words: int, similarity: double>>")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, similarity) for every document and item that it leaks."""
-    spark, out = docs.sparkSession, None
     texts = id_and_text(docs).where("text IS NOT NULL")
-    for index in indexes(benchmark, chunk):
-        held = spark.sparkContext.broadcast(index)
-
-        @F.pandas_udf("array<struct<item_id: long, start_word: int, n_words: int, similarity: double>>")
-        def find(batches: Iterator[pd.Series], held=held) -> Iterator[pd.Series]:
-            for batch in batches:
-                yield pd.Series([held.value.leaks(t) for t in batch], dtype=object)
-
-        found = texts.select("doc_id", F.explode(find("text")).alias("leak")).select("doc_id", "leak.*")
-        out = found if out is None else out.unionByName(found)
-    return out
+    found = [
+        texts.select("doc_id", F.explode(_finder(docs, index)("text")).alias("leak")).select("doc_id", "leak.*")
+        for index in indexes(benchmark, chunk)
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``docs`` without those that leak an item; all columns stay."""
     for index in indexes(benchmark, chunk):
-        held = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], held=held) -> Iterator[pd.Series]:
-            for batch in batches:
-                yield pd.Series([not held.value.leaks(t) for t in batch], dtype=bool)
-
-        docs = docs.where(clean(F.col("text")))
+        docs = docs.where(F.size(_finder(docs, index)(F.coalesce("text", F.lit("")))) == 0)
     return docs
 
 
