@@ -208,7 +208,7 @@ def test_leaks_equal_brute_force(spark, make):
         words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 80))]
         if i % 2:
             passage = rng.choice(items[:25])[1].split()
-            for _ in range(rng.randint(0, 3)):
+            for _ in range(rng.choice([0, 0, 0, 1, 2, 3])):
                 passage[rng.randrange(len(passage))] = rng.choice(vocabulary)
             at = rng.randint(0, len(words))
             words[at:at] = passage
