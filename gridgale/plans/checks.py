@@ -171,6 +171,74 @@ def v8_weather_constraints(s: Source) -> DataFrame:
     return q.constraint_failures(rows.withColumns(missing), "weather_events", "event_id")
 
 
+@query("v8_grid_constraints", rounded(["raw_grid"], """
+    SELECT event_id, column_name, check_name FROM (
+      SELECT event_id, 'frequency_hz' AS column_name, 'ge(59.0)' AS check_name FROM raw_grid WHERE event_id % 50 = 0
+        AND frequency_hz - 1 < 59.0
+      UNION ALL SELECT event_id, 'load_mw', 'gt(0)' FROM raw_grid WHERE load_mw - 30000 <= 0
+      UNION ALL SELECT event_id, 'source', 'isin' FROM raw_grid WHERE event_id % 10 = 0
+      UNION ALL SELECT event_id, 'grid_stress_flag', 'coerce' FROM raw_grid WHERE event_id % 11 = 0
+      UNION ALL SELECT event_id, 'grid_stress_flag', 'isin' FROM raw_grid WHERE event_id % 11 <> 0 AND event_id % 3 = 2
+      UNION ALL SELECT event_id, 'region_code', 'column_present' FROM raw_grid
+      UNION ALL SELECT event_id, 'reserve_margin_pct', 'ge(-50)' FROM raw_grid
+        WHERE (capacity_mw - load_mw) / capacity_mw * 100 < -50)""", []))
+def v8_grid_constraints(s: Source) -> DataFrame:
+    """A feed without the region column, with flags that are no numbers."""
+    flag = F.when(F.col("event_id") % 11 == 0, "x").otherwise((F.col("event_id") % 3).cast("string"))
+    rows = s.raw_grid.select(
+        "event_id", "recorded_at", (F.col("load_mw") - 30000).alias("load_mw"), "capacity_mw",
+        F.when(F.col("event_id") % 50 == 0, F.col("frequency_hz") - 1).otherwise(F.col("frequency_hz")).alias("frequency_hz"),
+        ((F.col("capacity_mw") - F.col("load_mw")) / F.col("capacity_mw") * 100).alias("reserve_margin_pct"),
+        F.when(F.col("event_id") % 10 == 0, "other").otherwise("ercot").alias("source"), flag.alias("grid_stress_flag"),
+    )
+    return q.constraint_failures(rows, "grid_load", "event_id")
+
+
+@query("v8_infrastructure_constraints", rounded(["raw_utilities"], """
+    SELECT id, column_name, check_name FROM (
+      SELECT id, 'county_fips' AS column_name, 'matches' AS check_name FROM raw_utilities
+        WHERE NOT regexp_matches(county_fips, '^[0-9]{5}$')
+      UNION ALL SELECT id, 'transmission_line_km', 'ge(0)' FROM raw_utilities
+        WHERE CAST(transmission_line_miles AS DOUBLE) < 0
+      UNION ALL SELECT id, 'data_year', 'coerce' FROM raw_utilities WHERE period = 'n/a'
+      UNION ALL SELECT id, 'utility_name', 'length' FROM raw_utilities WHERE id % 6 = 0
+      UNION ALL SELECT id, 'source', 'not_null' FROM raw_utilities WHERE id % 4 = 0)""", []))
+def v8_infrastructure_constraints(s: Source) -> DataFrame:
+    rows = s.raw_utilities.select(
+        "id", "county_fips", F.lit("48").alias("state_fips"), "utility_id",
+        F.when(F.col("id") % 6 == 0, F.repeat("utility_name", F.lit(60))).otherwise(F.col("utility_name")).alias("utility_name"),
+        F.col("transmission_line_miles").alias("transmission_line_km"), "substations_count",
+        F.col("generation").alias("generation_capacity_mw"), F.col("period").alias("data_year"),
+        F.when(F.col("id") % 4 != 0, "eia").alias("source"),
+        F.lit(None).cast("double").alias("total_customers"), F.lit(None).cast("double").alias("peak_demand_mw"),
+    )
+    return q.constraint_failures(rows, "infrastructure", "id")
+
+
+@query("v8_socioeconomic_constraints", rounded(["raw_census"], """
+    SELECT id, column_name, check_name FROM (
+      SELECT id, 'county_fips' AS column_name, 'matches' AS check_name FROM raw_census
+        WHERE NOT regexp_matches(county_fips, '^[0-9]{5}$')
+      UNION ALL SELECT id, 'state_fips', 'matches' FROM raw_census WHERE county_fips = 'bad'
+      UNION ALL SELECT id, 'total_population', 'gt(0)' FROM raw_census WHERE CAST(total_population AS BIGINT) <= 0
+      UNION ALL SELECT id, 'median_household_income', 'le(500000)' FROM raw_census
+        WHERE CAST(median_household_income AS BIGINT) * 12 > 500000
+      UNION ALL SELECT id, 'median_year_structure_built', 'le(2025)' FROM raw_census
+        WHERE CAST(median_year_structure_built AS BIGINT) > 2025
+      UNION ALL SELECT id, 'poverty_rate', 'le(1)' FROM raw_census WHERE id % 700 > 500
+      UNION ALL SELECT id, 'data_year', 'ge(2000)' FROM raw_census WHERE id % 40 < 10)""", []))
+def v8_socioeconomic_constraints(s: Source) -> DataFrame:
+    rows = s.raw_census.select(
+        "id", "county_fips", F.left("county_fips", F.lit(2)).alias("state_fips"), F.col("NAME").alias("county_name"),
+        "total_population", (F.col("median_household_income").cast("bigint") * 12).alias("median_household_income"),
+        "median_year_structure_built", (F.col("id") % 700 / 500).alias("poverty_rate"),
+        (F.col("id") % 40 + 1990).alias("data_year"), F.lit("census_acs5").alias("source"),
+        *[F.lit(None).cast("double").alias(c) for c in (
+            "population_density", "avg_housing_age_years", "vacancy_rate", "median_age")],
+    )
+    return q.constraint_failures(rows, "socioeconomic", "id")
+
+
 @query("v9_report", rounded(["raw_outages"], f"""
     SELECT total_records, valid_records, invalid_records, drop_rate FROM ({_report_sql(
         'raw_outages', _OUTAGE_RULES)})""", ["drop_rate"]))

@@ -72,6 +72,15 @@ def test_split_with_one_hot_tick(spark):
         assert got[key] == ("train" if i < 70 else "val" if i < 85 else "test")
 
 
+def test_split_puts_unknown_times_last(spark):
+    rows = [(DAY0 + timedelta(hours=i), i) for i in range(8)] + [(None, 8), (None, 9)]
+    df = spark.createDataFrame(rows, "ts timestamp, cell long")
+    got = {r["cell"]: r["split"] for r in ds.temporal_split(df).collect()}
+    assert [got[i] for i in range(10)] == ["train"] * 7 + ["val"] + ["test"] * 2
+    got = {r["cell"]: r["split"] for r in ds.temporal_split(df, train=0.9, val=0.05).collect()}
+    assert got[8] == "train" and got[9] == "test"  # both cuts are int(9.x), on a row without a time
+
+
 def test_sequences_cross_block_edges(spark, monkeypatch):
     monkeypatch.setattr(ds, "SEQUENCE_BLOCK", 30)
     rows = [(i, float(i), i % 2) for i in range(100)]

@@ -38,6 +38,39 @@ def test_storm_files_with_different_headers(spark, tmp_path):
     assert row["cell_res7"].startswith("7:") and row["cell_res9"].startswith("9:")
 
 
+def test_one_folder_with_two_headers_and_a_broken_line(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(
+        'BEGIN_DATE_TIME,EVENT_TYPE,STATE_FIPS,EVENT_NARRATIVE\n2022-01-05 10:00:00,Hail,48,"one\ntwo ""quoted"", three"\n'
+    )
+    (tmp_path / "b.csv").write_text("STATE_FIPS,EVENT_TYPE,BEGIN_DATE_TIME\n6,Tornado,2022-02-05 10:00:00\n")
+    (tmp_path / "c.csv").write_text("STATE_FIPS,EVENT_TYPE,BEGIN_DATE_TIME\n12,Flood,2022-03-05 10:00:00\n")
+    (tmp_path / "_SUCCESS").write_text("")
+    rows = {r["EVENT_TYPE"]: r for r in readers.read_storms(spark, str(tmp_path)).collect()}
+    assert set(rows) == {"Hail", "Tornado", "Flood"}
+    assert rows["Hail"]["EVENT_NARRATIVE"] == 'one\ntwo "quoted", three' and rows["Hail"]["STATE_FIPS"] == "48"
+    assert rows["Tornado"]["STATE_FIPS"] == "6" and rows["Tornado"]["BEGIN_DATE_TIME"] == datetime(2022, 2, 5, 10)
+    assert rows["Flood"]["EVENT_NARRATIVE"] is None
+    assert len(readers.files_by_header(spark, [str(tmp_path)])) == 2
+
+
+def test_upsert_reads_only_touched_months(spark):
+    rows = spark.createDataFrame([("2024-01", 1), ("2024-02", 2), (None, 3)], "month string, v int")
+    assert sorted(tables.touched_months(rows), key=str) == ["2024-01", "2024-02", None]
+    kept = tables.in_months(rows, ["2024-01"]).collect()
+    assert [r["v"] for r in kept] == [1]
+    assert sorted(r["v"] for r in tables.in_months(rows, ["2024-02", None]).collect()) == [2, 3]
+
+
+def test_the_plan_lists_touched_months(spark, tmp_path):
+    path = str(tmp_path / "t")
+    base = spark.range(90).selectExpr("id", "timestampadd(DAY, CAST(id AS INT), TIMESTAMP '2024-01-01') AS at")
+    tables.append(base, path, "at")
+    found = tables.in_months(spark.read.parquet(path), ["2024-02"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "2024-02" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert found.count() == 29
+
+
 def alert(ident, onset, geometry, **more):
     props = {"id": ident, "event": "Flood Watch", "severity": "Severe", "onset": onset,
              "effective": "2024-01-02T00:00:00+00:00", "affectedZones": ["a", "b"], **more}
