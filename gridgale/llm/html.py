@@ -202,9 +202,10 @@ def winning_paths(pages: DataFrame) -> DataFrame:
     )
     total = votes.agg(F.sum("n")).first()[0] or 1
     common = votes.groupBy("path").agg((F.sum("n") * (PULL / total)).alias("pull"))
-    return votes.join(common, "path").groupBy("host").agg(
+    # Written out, so that the size check that decides on broadcasting sees how small it is.
+    return staged(votes.join(common, "path").groupBy("host").agg(
         F.max_by("path", F.struct(F.round(F.col("n") + F.col("pull"), 9), "path")).alias("path")
-    )
+    ), "winners")
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -130,7 +130,8 @@ def posteriors(sums: DataFrame) -> tuple[DataFrame, float]:
     )
     paths = sums.join(hosts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
     k = _strength(mean, _between(paths, F.col("host_quality")))
-    return paths.withColumn("strength", F.lit(k)), mean
+    # Written out, so that the size check that decides on broadcasting sees how small it is.
+    return staged(paths.withColumn("strength", F.lit(k)), "sites"), mean
 
 
 def _judged(docs: DataFrame, model: Model) -> DataFrame:
@@ -161,8 +162,12 @@ def _prepared(docs: DataFrame, host: str, path: str) -> DataFrame:
 
 def scores(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """(doc_id, p_text, host_quality, path_quality, quality, kept), one row per document."""
-    return _judged(_prepared(docs.select("doc_id", "text", host, path), host, path), learn(docs, labels)).select(
-        "_row.doc_id", F.col("_p").alias("p_text"), "host_quality", F.col("_site").alias("path_quality"),
+    rows = docs.select(
+        F.col("doc_id").alias("_doc_id"), F.coalesce("text", F.lit("")).alias("_text"),
+        F.col(host).alias("_host"), F.col(path).alias("_path"),
+    )
+    return _judged(rows, learn(docs, labels)).select(
+        F.col("_doc_id").alias("doc_id"), F.col("_p").alias("p_text"), "host_quality", F.col("_site").alias("path_quality"),
         F.col("_quality").alias("quality"), F.col("_kept").alias("kept"),
     )
 
