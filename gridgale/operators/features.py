@@ -70,10 +70,37 @@ COMPOUND_GROUP = (
 FEATURES = TEMPORAL_GROUP + SPATIAL_GROUP + COMPOUND_GROUP + SOCIO
 
 
+WEATHER_REACH_H = max(WEATHER_WINDOWS_H)
+OUTAGE_REACH_H = max(OUTAGE_LAGS_H) + 0.5
+
+
 def keyed(points: DataFrame) -> DataFrame:
     return points.withColumn("t", micros(F.col("ts")))
 
 
+Span = tuple[int, int, int]
+
+
+def span_of(points: DataFrame) -> Span:
+    """First and last time of the points in microseconds, and about how many disks they have: one row to
+    the driver."""
+    row = points.agg(
+        F.min(micros(F.col("ts"))).alias("lo"), F.max(micros(F.col("ts"))).alias("hi"),
+        F.approx_count_distinct(F.struct("q", "r")).alias("disks"),
+    ).first()
+    return (row["lo"], row["hi"], row["disks"]) if row["lo"] is not None else (1, 0, 0)
+
+
+def reached(events: DataFrame, time: str, span: Span, before_h: float, after_h: float = 0.0) -> DataFrame:
+    """Events that some point can see. The bounds are literals, so folders and row groups outside are
+    never read, however long the history is."""
+    low, high = span[0] - int(before_h * HOUR), span[1] + int(after_h * HOUR)
+    if span[0] > span[1]:
+        return events.filter(F.lit(False))
+    at = F.col(time)
+    return events.filter((at >= F.timestamp_micros(F.lit(low))) & (at <= F.timestamp_micros(F.lit(high))))
+
+
 def attach(points: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
     """Left-join per-(q, r, t) results; a point with nothing found gets zeros."""
     out = keyed(points).join(found, ["q", "r", "t"], "left").drop("t")
@@ -83,30 +110,36 @@ def attach(points: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
 # --- single groups -------------------------------------------------------------------------
 
 def rolling_weather(points: DataFrame, weather: DataFrame, tick: int = DEFAULT_TICK, k: int = DISK_K) -> DataFrame:
+    weather = reached(weather, "event_time", span_of(points), WEATHER_REACH_H)
     found = weather_aggregates(checked_points(points, tick), weather, tick, k)
     return attach(points, found, ROLLING).select(*points.columns, *ROLLING)
 
 
 def neighbour_weather(points: DataFrame, weather: DataFrame, tick: int = DEFAULT_TICK, k: int = DISK_K) -> DataFrame:
+    weather = reached(weather, "event_time", span_of(points), WEATHER_REACH_H)
     found = weather_aggregates(checked_points(points, tick), weather, tick, k)
     out = attach(points, found, NEIGHBOUR_WEATHER).withColumn("neighbor_ring_k", F.lit(float(k)))
     return out.select(*points.columns, *NEIGHBOUR_WEATHER, "neighbor_ring_k")
 
 
 def per_category(points: DataFrame, weather: DataFrame, tick: int = DEFAULT_TICK, k: int = DISK_K) -> DataFrame:
+    weather = reached(weather, "event_time", span_of(points), WEATHER_REACH_H)
     found = weather_aggregates(checked_points(points, tick), weather, tick, k)
     return attach(points, found, PER_CATEGORY).select(*points.columns, *PER_CATEGORY)
 
 
 def outage_history(points: DataFrame, outages: DataFrame, tick: int = DEFAULT_TICK, k: int = DISK_K) -> DataFrame:
     names = LAGS + TRENDS + NEIGHBOUR_OUTAGE
+    outages = reached(outages, "observed_at", span_of(points), OUTAGE_REACH_H)
     found = outage_aggregates(checked_points(points, tick), outages, tick, k)
     return attach(points, found, names).select(*points.columns, *names)
 
 
 def event_sequence(points: DataFrame, weather: DataFrame, tick: int = DEFAULT_TICK, k: int = DISK_K) -> DataFrame:
     keys = checked_points(points, tick)
-    found = sequence_features(keys, weather, tick, k).join(
+    span = span_of(points)
+    weather = reached(weather, "event_time", span, WEATHER_REACH_H)
+    found = sequence_features(keys, weather, tick, k, n_disks=span[2]).join(
         weather_aggregates(keys, weather, tick, k).select(
             "q", "r", "t", F.col("weather_distinct_types_72h").alias("seq_distinct_types")
         ),
@@ -115,6 +148,18 @@ def event_sequence(points: DataFrame, weather: DataFrame, tick: int = DEFAULT_TI
     return attach(points, found, SEQUENCE).select(*points.columns, *SEQUENCE)
 
 
+def severity_index(points: DataFrame, weather: DataFrame, tick: int = DEFAULT_TICK, k: int = DISK_K) -> DataFrame:
+    """The compound severity index alone: one pass for the categories, one for the sequence."""
+    keys = checked_points(points, tick)
+    span = span_of(points)
+    weather = reached(weather, "event_time", span, WEATHER_REACH_H)
+    found = weather_aggregates(keys, weather, tick, k).join(
+        sequence_features(keys, weather, tick, k, n_disks=span[2]), ["q", "r", "t"], "left"
+    ).withColumn("seq_distinct_types", F.col("weather_distinct_types_72h"))
+    out = attach(points, found, PER_CATEGORY + SEQUENCE)
+    return with_severity(with_interactions(with_cooccurrence(out))).select(*points.columns, "compound_severity_index")
+
+
 def grid_load_as_of(points: DataFrame, load: DataFrame, leak_safe: bool = False) -> DataFrame:
     """Latest load within an hour of each point's time, on either side unless ``leak_safe``.
 
@@ -255,9 +300,14 @@ def feature_table(
     leak_safe: bool = False,
 ) -> DataFrame:
     """All features for each point: one row per input row, never null."""
-    keys = checked_points(points, tick)
+    keys, span = checked_points(points, tick), span_of(points)
+    weather = reached(weather, "event_time", span, WEATHER_REACH_H)
+    outages = reached(outages, "observed_at", span, OUTAGE_REACH_H)
+    load = reached(load, "recorded_at", span, 1, 1)
     found = weather_aggregates(keys, weather, tick, k, vocabulary)
-    found = found.join(sequence_features(keys, weather, tick, k), ["q", "r", "t"], "left")
+    found = found.join(
+        sequence_features(keys, weather, tick, k, n_disks=span[2]), ["q", "r", "t"], "left"
+    )
     found = found.join(outage_aggregates(keys, outages, tick, k), ["q", "r", "t"], "full_outer")
     found = found.withColumn("seq_distinct_types", F.col("weather_distinct_types_72h"))
     names = ROLLING + NEIGHBOUR_WEATHER + PER_CATEGORY + SEQUENCE + LAGS + TRENDS + NEIGHBOUR_OUTAGE
@@ -292,6 +342,7 @@ def labels(
     leak_safe: bool = False,
 ) -> DataFrame:
     """Add ``target_outage`` and ``target_max_outage_fraction``."""
+    outages = reached(outages, "observed_at", span_of(points), 0, horizon_h)
     found = outage_labels(checked_points(points, tick), outages, tick, horizon_h, leak_safe)
     out = keyed(points).join(found, ["q", "r", "t"], "left")
     return out.select(

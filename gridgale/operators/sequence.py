@@ -16,6 +16,7 @@ from gridgale.operators.range_join import range_join
 
 LOOKBACK_H = 72
 MAX_SLICE_ROWS = 2_000_000
+FEW_DISKS = 500_000
 
 
 def suitable_width(weather: DataFrame, step: int, target: int = MAX_SLICE_ROWS) -> int:
@@ -56,8 +57,9 @@ def half_cuts(points: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def ordered_events(weather: DataFrame, step: int, k: int, tie: str) -> DataFrame:
-    """Each event in every disk that holds it, ranked inside (disk, slice)."""
+def ordered_events(weather: DataFrame, step: int, k: int, tie: str, disks: DataFrame | None = None) -> DataFrame:
+    """Each event in every disk that holds it, ranked inside (disk, slice). With ``disks`` (q, r), which
+    must be few, copies for other disks are dropped before anything is shuffled."""
     base = weather.select(
         "q", "r",
         micros(F.col("event_time")).alias("t"),
@@ -66,6 +68,8 @@ def ordered_events(weather: DataFrame, step: int, k: int, tie: str) -> DataFrame
         F.coalesce(F.col("damage_property"), F.lit(0.0)).alias("dmg"),
     ).withColumn("at", slice_mark(F.col("t"), step))
     spread = with_disk(base, k).drop("q", "r").withColumnsRenamed({"nq": "q", "nr": "r"})
+    if disks is not None:
+        spread = spread.join(F.broadcast(disks), ["q", "r"], "left_semi")
     w = Window.partitionBy("q", "r", "at").orderBy("t", "tie")
     return spread.withColumns({
         "i": (F.row_number().over(w) - 1).cast("bigint"),
@@ -105,11 +109,13 @@ def sequence_features(
     k: int = 2,
     tie: str = "event_id",
     slice_width: int | None = None,
+    n_disks: int = 0,
 ) -> DataFrame:
     """Order-dependent features per (q, r, t); ties in time are broken by ``tie``.
 
     A slice is as wide as the tick, or narrower where the busiest cell needs its events split over
-    more tasks (``suitable_width``, unless the caller fixes ``slice_width``).
+    more tasks (``suitable_width``, unless the caller fixes ``slice_width``). ``n_disks``, when known, is
+    about how many disks have points: few of them (16 bytes each) are broadcast to drop other copies early.
 
     The events of a disk are shuffled and sorted once. Where each point's first half of events
     ends follows from counts alone, so it is worked out beforehand and the running damage at
@@ -122,7 +128,8 @@ def sequence_features(
     wanted = cuts.filter(F.col("cut_at").isNotNull()).groupBy("q", "r", F.col("cut_at").alias("at")).agg(
         F.collect_set("cut_i").alias("ranks")
     )
-    summaries = slice_summaries(ordered_events(weather, step, k, tie), wanted)
+    disks = points.select("q", "r").distinct() if 0 < n_disks <= FEW_DISKS else None
+    summaries = slice_summaries(ordered_events(weather, step, k, tie, disks), wanted)
     key = ["q", "r", "t"]
     pairs = range_join(
         cuts, summaries, ["q", "r"], "at", F.col("t") - reach, F.col("t"), reach

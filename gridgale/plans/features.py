@@ -372,12 +372,7 @@ def f12_event_sequence(s: Source) -> DataFrame:
     ["compound_severity_index"],
 ))
 def f13_severity_index(s: Source) -> DataFrame:
-    keys = s.points
-    both = feat.per_category(keys, s.weather).join(
-        feat.event_sequence(keys, s.weather).drop("q", "r"), ["cell", "ts"]
-    )
-    out = feat.with_severity(feat.with_interactions(feat.with_cooccurrence(both)))
-    return tidy(out.select("cell", "ts", "compound_severity_index"))
+    return tidy(feat.severity_index(s.points, s.weather).select("cell", "ts", "compound_severity_index"))
 
 
 @query("f14_vulnerability", rounded(

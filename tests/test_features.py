@@ -297,3 +297,18 @@ def test_balanced_points(spark):
     assert first == again and len(first) == 90
     assert 0 < sum(r[4] == "positive" for r in first) <= 30
     assert all(r[3].hour % 6 == 0 and r[3].minute == 0 for r in first)
+
+
+def test_history_outside_the_reach_is_not_read(spark, tmp_path):
+    at = "TIMESTAMP '2024-01-01' + make_interval(0, 0, 0, CAST(id AS INT))"
+    spark.range(400).selectExpr(
+        "id AS event_id", f"{at} AS event_time", "0L AS q", "0L AS r", "'Hail' AS event_type", "1.0D AS magnitude",
+        "0.0D AS damage_property",
+    ).write.parquet(str(tmp_path / "w"))
+    points = spark.sql("SELECT 0L AS cell, 0L AS q, 0L AS r, TIMESTAMP '2024-06-01 06:00:00' AS ts")
+    weather = spark.read.parquet(str(tmp_path / "w"))
+    for out in (feat.rolling_weather(points, weather), feat.event_sequence(points, weather)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        scans = [line for line in plan.split("\n") if "FileScan" in line]
+        assert scans and all("GreaterThanOrEqual(event_time,2024-05-29" in line for line in scans)
+        assert out.count() == 1
