@@ -22,7 +22,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Two columns under the usual names; other columns, whatever they are called, stay out of the way."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # An alias to the same name would hide from Spark that two reads of a table are the same.
+    names = {"doc_id": id_col, "text": text_col}
+    return docs.select(*[F.col(c) if c == n else F.col(c).alias(n) for n, c in names.items()])
 
 
 def hash_sample(docs: DataFrame, rows: int, seed: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -84,20 +84,23 @@ def _quarter(n: Column) -> Column:
 def with_edited(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_id, edited) of each row."""
     texts = id_and_text(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    ids = texts.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(_quarter(F.length("text"))).alias("_need"))
+    known, cut = texts.where("doc_id IS NOT NULL"), _quarter(F.length("text"))
+    ids = known.groupBy("doc_id").agg(F.max(cut).alias("_need"))
     order = staged(following(ids), "order")
     wanted = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("_to"), F.col("_need").alias("_lend"))
-    links = order.select("doc_id", "next_id").join(wanted, "doc_id", "left")
-    linked = texts.join(links, "doc_id", "left")
-    lent = linked.where("_to IS NOT NULL").groupBy(F.col("_to").alias("doc_id")).agg(
+    # Both joins deal the texts by doc_id alike, so the texts are shuffled once for the two of them.
+    lent = known.join(wanted, "doc_id").groupBy(F.col("_to").alias("doc_id")).agg(
         F.min(F.substring(F.col("text"), F.lit(1), F.col("_lend"))).alias("_start")
     )
-    cut = _quarter(F.length("text"))
+    kept = F.substring(F.col("text"), F.lit(1), F.length("text") - cut)
     start = F.coalesce(F.substring(F.col("_start"), F.lit(1), cut), F.lit(""))
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - cut), start)
-    return linked.select("doc_id", "text", "next_id").join(lent, "doc_id", "left").select(
-        "doc_id", "text", "next_id", edited.alias("edited")
+    edited = known.join(order.select("doc_id", "next_id"), "doc_id").join(lent, "doc_id", "left").select(
+        "doc_id", "text", "next_id", F.concat(kept, start).alias("edited")
     )
+    alone = texts.where("doc_id IS NULL").select(
+        "doc_id", "text", F.lit(None).cast("long").alias("next_id"), kept.alias("edited")
+    )
+    return edited.unionByName(alone)
 
 
 def likeness(a: str, b: str) -> Column:
