@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridgale.llm.common import table
+from gridgale.llm.common import staged, table
 
 DOCS, CHARS = 80, 30_000
 SYMBOLS, COMMON, SPACE = 64, 47, 1  # symbol 0 is unused; 2.. are the commonest letters; the rest shares the others
@@ -143,9 +143,9 @@ def learn(docs: DataFrame, per_language: int = DOCS, chars: int = CHARS, seed: i
     near = rows.join(share, "lang").where(F.pmod("_hash", F.lit(1_000_000)) < F.col("_share") * 1_000_000)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_hash", "doc_id"))
     picked = near.dropDuplicates(["doc_id"]).withColumn("_rank", rank).where(F.col("_rank") <= per_language)
-    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(
-        picked.select("doc_id", "lang", "_rank"), "doc_id"
-    ).dropDuplicates(["doc_id"]).orderBy("lang", "_rank").collect()  # at most per_language of each language
+    # Written out, so that the size check that decides on broadcasting sees how small it is.
+    picked = staged(picked.select("doc_id", "lang", "_rank"), "picked")
+    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(picked, "doc_id").dropDuplicates(["doc_id"]).orderBy("lang", "_rank").collect()  # at most per_language of each language
     texts: dict[str, str] = {}
     for r in found:
         if len(texts.setdefault(r["lang"], "")) < chars:
