@@ -64,6 +64,13 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/staging/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def clear_staging(spark: SparkSession) -> None:
+    """Remove what this session has staged. To be called when no DataFrame over it is needed any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/staging")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder so later jobs read the same rows."""
     shared_dir(df.sparkSession)

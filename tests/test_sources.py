@@ -186,3 +186,13 @@ def test_ingest_reports_failure_and_success(spark, tmp_path):
     def broken(_):
         raise OSError("disk")
     assert q.ingest(*args, broken, "outages")["status"] == "failed"
+
+
+def test_staged_files_can_be_removed(spark):
+    from gridgale.session import clear_staging, staging_path
+
+    path = staging_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert tables.exists(spark, path)
+    clear_staging(spark)
+    assert not tables.exists(spark, path)
