@@ -4,7 +4,8 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles; the
 sketch. Two documents are linked when 100 * intersection >= ``PERCENT`` * union of the full sets.
 
 1. Documents with equal sets become one class, stood for by its smallest id; only these go on.
-2. Inverted lists of the retained values: a value in up to ``FREQUENT`` sketches pairs its documents.
+2. Inverted lists of the retained values: a value in up to ``FREQUENT`` sketches pairs its documents, and
+   pairs are counted; too few shared values for a link end a pair before its sketches are fetched.
 3. Longer lists are not paired out. A link needs ``_needed`` shared retained values, so a document with
    fewer frequent ones meets each partner in a short list. The rest (large groups of near copies, texts
    made of common passages) is linked to one pivot per long list, the document that shares most; then
@@ -78,10 +79,20 @@ def _fits(n: str, other: str) -> Column:
     return F.least(n, other) * 100 >= F.greatest(n, other) * PERCENT
 
 
-def _pairs_of_short_lists(lists: DataFrame) -> DataFrame:
+def _pairs_of_short_lists(lists: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Pairs that share enough retained values: those counted here, and at most as many frequent ones as
+    the document with fewer of them (``frequent``: doc_id, n_frequent) has."""
     left = lists.select("value", F.col("doc_id").alias("u"), F.col("n_shingles").alias("nu"))
     right = lists.select("value", F.col("doc_id").alias("v"), F.col("n_shingles").alias("nv"))
-    return left.join(right, "value").where((F.col("u") < F.col("v")) & _fits("nu", "nv")).select("u", "v").distinct()
+    met = left.join(right, "value").where((F.col("u") < F.col("v")) & _fits("nu", "nv"))
+    counted = met.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("shared"))
+    for side in ("u", "v"):
+        counted = counted.join(
+            frequent.select(F.col("doc_id").alias(side), F.col("n_frequent").alias("f" + side)), side, "left"
+        )
+    more = F.least(F.coalesce("fu", F.lit(0)), F.coalesce("fv", F.lit(0)))
+    needed = F.greatest(_needed(F.col("nu")), _needed(F.col("nv")))
+    return counted.where(F.col("shared") + more >= needed).select("u", "v")
 
 
 def _stars_of_long_lists(lists: DataFrame) -> DataFrame:
@@ -213,13 +224,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     lists = staged(entries.join(counts, "value"), "lists")
     short, long_ = lists.where(F.col("df") <= FREQUENT), lists.where(F.col("df") > FREQUENT)
 
-    frequent = long_.groupBy("doc_id", "n_shingles").agg(
+    frequent = staged(long_.groupBy("doc_id", "n_shingles").agg(
         F.count("*").alias("n_frequent"), F.sum("df").alias("weight")
-    ).withColumn("needed", _needed(F.col("n_shingles"))).where("n_frequent >= needed")
-    hard = staged(long_.join(frequent, ["doc_id", "n_shingles"]), "long-lists")
+    ).withColumn("needed", _needed(F.col("n_shingles"))), "frequent")
+    hard = staged(long_.join(frequent.where("n_frequent >= needed"), ["doc_id", "n_shingles"]), "long-lists")
 
     links = verified(
-        staged(_likely(_pairs_of_short_lists(short).union(_stars_of_long_lists(hard)).distinct(), reps), "pairs"), texts
+        staged(_likely(_pairs_of_short_lists(short, frequent).union(_stars_of_long_lists(hard)).distinct(), reps), "pairs"), texts
     )
     links = staged(links, "links")
     roots = components(links)
