@@ -25,7 +25,5 @@ QUERIES: dict[str, Query] = {
 
 SQL: dict[str, str] = {
     "op4_minhash": minhash.SQL,
-    "op6_langid": langid.query,
-    "op7_html": html.query,
     "op8_urls": urls.SQL,
 }
