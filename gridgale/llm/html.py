@@ -8,7 +8,8 @@
    container where the page has no such path.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are told by tag,
-class and id and never kept. Votes are pre-aggregated, so a hot host costs one row per path and task; the
+class and id and not kept. A tag or the ``hidden`` attribute always tells; a name tells by how it is written and
+by how little of the page's text it holds (``_told``), and nothing by name on html, body, main and article. Votes are pre-aggregated, so a hot host costs one row per path and task; the
 winners join the pages by host, and Spark broadcasts them only while they are small.
 
 Defined cases: a null or empty page has an empty text; a null url belongs to the empty host; a page without
@@ -49,6 +50,16 @@ _UNWANTED = frozenset(
     "comment comments commentlist discussion disqus replies share sharing social related recommended newsletter subscribe "
     "subscription signup login search toolbar pagination pager widget hidden".split()
 )
+# Names that mean little else: enough as a whole class or id, and as a part of one up to _MOST of the text.
+_PLAIN = frozenset(
+    "ad ads adv advert adverts advertisement advertising cookie cookies consent gdpr comment comments commentlist disqus "
+    "replies newsletter breadcrumb breadcrumbs pagination pager".split()
+)
+# Beside one of these a word tells of the page's state, not of what the element is.
+_STATE = frozenset("no non not without has have with show hide open opened closed enabled disabled free off".split())
+_FRAME = frozenset("html body main article".split())
+# By (plain, whole class or id): the share of the page's unlinked text below which the word tells.
+_MOST = {(True, True): float("inf"), (True, False): 0.9, (False, True): 0.75, (False, False): 0.5}
 # An opening tag ends what is open of its kind, up to the nearest element that may hold another.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
          "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -58,9 +69,14 @@ _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S | re.I
 )
-_NAMES = re.compile(r"""\b(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""(?<![\w-])(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _DIGITS = re.compile(r"[0-9]+")
 _PARTS = re.compile(r"[^a-z]+")
+_QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)", re.I)
+
+_Mark = tuple[str, bool]  # an unwanted word, and whether it is the whole class or id
+_NONE: frozenset[_Mark] = frozenset()
 
 
 @dataclass
@@ -70,6 +86,7 @@ class _Open:
     number: int
     shut: bool  # nothing inside is kept
     link: bool
+    marks: frozenset[_Mark]  # of this element and those around it
 
 
 @dataclass
@@ -79,42 +96,66 @@ class Block:
     linked: int  # characters inside links
 
 
-def _label(tag: str, attributes: str) -> tuple[str, bool]:
-    """Generalised ``tag.class`` name, and whether the element is unwanted by its names."""
-    classes, unwanted = "", False
+def _label(tag: str, attributes: str) -> tuple[str, frozenset[_Mark], bool]:
+    """Generalised ``tag.class`` name, the unwanted words among the names, and whether the element is hidden."""
+    classes, marks = "", _NONE
     for m in _NAMES.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").strip().lower()
-        unwanted |= not _UNWANTED.isdisjoint(_PARTS.split(value))
+        if tag not in _FRAME and not _UNWANTED.isdisjoint(_PARTS.split(value)):
+            for name in value.split():
+                parts = [p for p in _PARTS.split(name) if p]
+                if _STATE.isdisjoint(parts):
+                    marks |= {(p, len(parts) == 1) for p in parts if p in _UNWANTED}
         if m[1].lower() == "class" and value:
             classes = "." + _DIGITS.sub("N", value.split()[0])
-    if not unwanted and re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes, re.I):
-        unwanted = True
-    return tag + classes, unwanted
+    hidden = "hidden" in attributes.lower() and tag not in ("html", "body") and _HIDDEN.search(_QUOTED.sub("=", attributes))
+    return tag + classes, marks, bool(hidden)
+
+
+def _told(pieces: list[tuple[str, frozenset[_Mark], bool]]) -> set[_Mark]:
+    """The marks whose elements are unwanted on this page.
+
+    Plain words go before others and whole names before parts, those that hold least first; each is held
+    against the unlinked text that is left, all elements it marks together. So no page is emptied by names
+    that are no whole plain word, however many elements carry them."""
+    marked = [(len(text.strip()), marks) for text, marks, link in pieces if not link]
+    rest = sum(n for n, _ in marked)
+    open_ = set().union(*(marks for _, marks, _ in pieces))
+    told: set[_Mark] = set()
+    for tier, most in _MOST.items():
+        left = {k for k in open_ if (k[0] in _PLAIN, k[1]) == tier}
+        while left:
+            held = dict.fromkeys(sorted(left), 0)
+            for n, marks in marked:
+                for k in marks & left:
+                    held[k] += n
+            k = min(held, key=held.__getitem__)
+            left.remove(k)
+            if held[k] < most * rest or not held[k]:
+                told.add(k)
+                rest -= held[k]
+                marked = [(n, marks) for n, marks in marked if k not in marks]
+    return told
 
 
 def blocks(html: str) -> list[Block]:
     """The page's wanted blocks of text in page order."""
-    stack = [_Open("", "", 0, False, False)]
-    out: list[Block] = []
-    words: list[str] = []
-    linked = number = at = 0
+    stack = [_Open("", "", 0, False, False, _NONE)]
+    read: list[tuple[list[tuple[str, frozenset[_Mark], bool]], tuple[tuple[int, str], ...]]] = []
+    words: list[tuple[str, frozenset[_Mark], bool]] = []
+    number = at = 0
 
     def flush() -> None:
-        nonlocal linked
-        text = " ".join("".join(words).split())
-        if text:
+        nonlocal words
+        if any(not w[0].isspace() for w in words):
             held = [e for e in reversed(stack) if e.tag in _BLOCK and e.tag not in _PARAGRAPH]
-            out.append(Block(text, (*((e.number, e.path) for e in held), (0, "")), linked))
-        words.clear()
-        linked = 0
+            read.append((words, (*((e.number, e.path) for e in held), (0, ""))))
+        words = []
 
     def say(raw: str) -> None:
-        nonlocal linked
-        if raw and not stack[-1].shut:
-            text = unescape(raw) if "&" in raw else raw
-            words.append(text)
-            if stack[-1].link:
-                linked += len(text)
+        above = stack[-1]
+        if raw and not above.shut:
+            words.append((unescape(raw) if "&" in raw else raw, above.marks, above.link))
 
     def end(to: int) -> None:
         if any(e.tag in _BLOCK for e in stack[to:]):
@@ -148,16 +189,24 @@ def blocks(html: str) -> list[Block]:
                 break
         if tag in _BLOCK:
             flush()
-        name, unwanted = _label(tag, m[4])
+        name, marks, hidden = _label(tag, m[4])
         inside = any(e.tag in ("article", "main") for e in stack)
         number += 1
         above = stack[-1]
         stack.append(_Open(
             tag, f"{above.path}/{name}" if tag in _BLOCK else above.path, number,
-            above.shut or unwanted or tag in _NEVER or (tag == "header" and not inside), above.link or tag == "a",
+            above.shut or hidden or tag in _NEVER or (tag == "header" and not inside), above.link or tag == "a",
+            above.marks | marks if marks else above.marks,
         ))
     say(html[at:])
     flush()
+    said = [w for pieces, _ in read for w in pieces]
+    told = _told(said) if any(marks for _, marks, _ in said) else set()
+    out = []
+    for pieces, holders in read:
+        kept = [w for w in pieces if told.isdisjoint(w[1])] if told else pieces
+        if text := " ".join("".join(w[0] for w in kept).split()):
+            out.append(Block(text, holders, sum(len(w[0]) for w in kept if w[2])))
     return out
 
 

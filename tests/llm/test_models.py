@@ -162,6 +162,27 @@ def test_pages_give_their_article(make):
     assert html.extracted(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<body class='single no-sidebar'><article>{}</article></body>",
+    "<body><div class='elementor-widget-container'><article>{}</article></div></body>",
+    "<body><article class='post comments-open'>{}</article></body>",
+    "<body><div id='search-result-article'>{}</div></body>",
+    "<html class='js cookie-notice'><body class='widget'><main id='search'>{}</main></body></html>",
+    "<body><div data-id='search' title='the hidden truth'>{}</div></body>",
+    "<body><div class='sidebar'><p>" + "aside " * 40 + "</p></div><div class='widget-text'>{}</div><div id='comments'><p>"
+    + "remark " * 900 + "</p></div></body>",
+])
+def test_names_do_not_shut_the_article(page):
+    paragraphs = [f"{w} paragraph " * 12 for w in ("First", "Second", "Third")]
+    page = page.format("".join(f"<p>{p}</p>" for p in paragraphs))
+    assert html.main_text(page, html.best_container(html.blocks(page))).split("\n") == [p.strip() for p in paragraphs]
+
+
+def test_one_name_on_every_part_shuts_none():
+    page = "<main>" + "".join(f"<div class='elementor-widget elementor-widget-text'><p>part {i} of it</p></div>" for i in range(9)) + "</main>"
+    assert [b.text for b in html.blocks(page)] == [f"part {i} of it" for i in range(9)]
+
+
 def test_the_host_outvotes_a_page(make):
     usual = "<body><main><p>" + "main text here " * 6 + "</main><section><p>small</section></body>"
     odd = "<body><main><p>short main</main><section><p>" + "loud other text " * 9 + "</section></body>"
