@@ -5,7 +5,10 @@
 2. The best container's path is the page's vote. Spark counts votes by host and path; a host's winner is
    the path with most votes, a host with few pages leaning on all hosts' shares (``PULL`` votes).
 3. Pages are read again and the blocks inside the winning path are kept, or inside the page's own best
-   container where the page has no such path.
+   container where the page has no such path; then so is what stands around it (``main_text``), up to the
+   main or article that holds it.
+
+Lists, tables and figures are parts of a text and no containers.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are told by tag,
 class and id and not kept. A tag or the ``hidden`` attribute always tells; a name tells by how it is written and
@@ -40,6 +43,7 @@ _BLOCK = _PARAGRAPH | frozenset(
     "html body main article section div ul ol dl table thead tbody tfoot tr figure details nav header footer aside "
     "form fieldset center hr".split()
 )
+_HOLDER = frozenset("html body main article section div details center".split())
 _NEVER = frozenset(
     "head title nav footer aside form button select textarea fieldset noscript template iframe svg object canvas "
     "dialog menu".split()
@@ -92,7 +96,7 @@ class _Open:
 @dataclass
 class Block:
     text: str
-    holders: tuple[tuple[int, str], ...]  # (number, path) of the containers around it, innermost first
+    holders: tuple[tuple[int, str, str], ...]  # (number, path, tag) of the containers around it, innermost first
     linked: int  # characters inside links
 
 
@@ -141,15 +145,15 @@ def _told(pieces: list[tuple[str, frozenset[_Mark], bool]]) -> set[_Mark]:
 def blocks(html: str) -> list[Block]:
     """The page's wanted blocks of text in page order."""
     stack = [_Open("", "", 0, False, False, _NONE)]
-    read: list[tuple[list[tuple[str, frozenset[_Mark], bool]], tuple[tuple[int, str], ...]]] = []
+    read: list[tuple[list[tuple[str, frozenset[_Mark], bool]], tuple[tuple[int, str, str], ...]]] = []
     words: list[tuple[str, frozenset[_Mark], bool]] = []
     number = at = 0
 
     def flush() -> None:
         nonlocal words
         if any(not w[0].isspace() for w in words):
-            held = [e for e in reversed(stack) if e.tag in _BLOCK and e.tag not in _PARAGRAPH]
-            read.append((words, (*((e.number, e.path) for e in held), (0, ""))))
+            held = [e for e in reversed(stack) if e.tag in _HOLDER]
+            read.append((words, (*((e.number, e.path, e.tag) for e in held), (0, "", ""))))
         words = []
 
     def say(raw: str) -> None:
@@ -212,23 +216,46 @@ def blocks(html: str) -> list[Block]:
 
 def best_container(found: list[Block]) -> str | None:
     """Path of the container that holds most text outside links; the first of equals."""
-    score: dict[tuple[int, str], float] = defaultdict(float)
+    score: dict[tuple[int, str, str], float] = defaultdict(float)
     for b in found:
         for share, holder in zip((1.0, 0.5), b.holders, strict=False):
             score[holder] += share * max(len(b.text) - b.linked, 0)
     return max(score, key=lambda k: (score[k], -k[0]))[1] if score else None
 
 
-def inside(found: list[Block], path: str | None) -> str:
-    """Blocks in containers of that path, one a line."""
-    return "\n".join(b.text for b in found if any(p == path for _, p in b.holders))
+def _has(b: Block, path: str | None) -> bool:
+    return any(p == path for _, p, _ in b.holders)
+
+
+def _around(found: list[Block], path: str | None) -> list[tuple[str, str]]:
+    """(path, tag) of the container and of those around it, out to the main or else article that holds it."""
+    first = next((b.holders for b in found if _has(b, path)), ())
+    chain = [(p, t) for _, p, t in first]
+    chain = chain[next((i for i, c in enumerate(chain) if c[0] == path), 0):]
+    for tag in ("main", "article"):
+        if ends := [i for i, (_, t) in enumerate(chain) if t == tag]:
+            return chain[:ends[-1] + 1]
+    return chain
 
 
 def main_text(html: str, winner: str | None) -> str:
+    """Blocks of the winning container, or else of the page's best one, and of those around it, one a line.
+
+    The widest container whose blocks outside the winner are not mainly links is kept whole; of the
+    containers around that one, the blocks that are not mainly links themselves."""
     found = blocks(html)
-    if winner is not None and any(p == winner for b in found for _, p in b.holders):
-        return inside(found, winner)
-    return inside(found, best_container(found)) if found else ""
+    if not found:
+        return ""
+    path = winner if winner is not None and any(_has(b, winner) for b in found) else best_container(found)
+    around = [p for p, _ in _around(found, path)]
+    whole = path
+    for p in around:
+        outside = [b for b in found if _has(b, p) and not _has(b, path)]
+        if sum(2 * b.linked - len(b.text) for b in outside) <= 0:
+            whole = p
+    return "\n".join(
+        b.text for b in found if _has(b, whole) or _has(b, around[-1]) and 2 * b.linked <= len(b.text)
+    )
 
 
 def _vote(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

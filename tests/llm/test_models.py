@@ -183,6 +183,30 @@ def test_one_name_on_every_part_shuts_none():
     assert [b.text for b in html.blocks(page)] == [f"part {i} of it" for i in range(9)]
 
 
+def test_the_whole_article_is_kept_around_its_largest_part(make):
+    one, two, long = "introduction " * 30, "conclusion " * 30, "entry of the list " * 22
+    bodies = [
+        ("<article><p>{one}</p><ul>" + "<li>{long}</li>" * 5 + "</ul><p>{two}</p></article>", 5),
+        ("<article><p>{one}</p><table>" + "<tr><td>{long}" * 5 + "</table><p>{two}</p></article>", 5),
+        ("<article><p>{one}</p><section class='body'>" + "<p>{long}" * 5 + "</section><p>{two}</p><p><a href=t>tag links</a></p></article>", 5),
+        ("<p>{one}</p><div class='body'>" + "<p>{long}" * 5 + "</div><div class='end'><p>{two}</p></div>", 5),
+        ("<main><section class='a'><p>{one}</section><section class='b'>" + "<p>{long}" * 5 + "</section><section class='c'><p>{two}</section></main>", 5),
+    ]
+    fill = {"one": one, "two": two, "long": long}
+    pages = [(i, f"http://own{i}.org/", "<body>" + b.format(**fill) + "</body>") for i, (b, _) in enumerate(bodies)]
+    pages += [(10 * j + i, "http://one.org/", h) for j in range(1, 4) for i, _, h in pages]
+    text = {r.page_id: r.text for r in html.extracted(make("pages", pages)).collect()}
+    for n, found in text.items():
+        want = [one.strip(), *[long.strip()] * bodies[n % 10][1], two.strip()]
+        assert [x for x in found.split("\n") if x != "tag links"] == want, n
+
+
+def test_link_blocks_around_the_text_stay_out():
+    links = "<div class='more'>" + "<p><a href=x>another page of this site</a></p>" * 9 + "</div>"
+    page = "<body>" + links + "<h1>Title</h1><div class='text'><p>" + "words " * 40 + "</p></div>" + links + "</body>"
+    assert html.main_text(page, html.best_container(html.blocks(page))) == "Title\n" + ("words " * 40).strip()
+
+
 def test_the_host_outvotes_a_page(make):
     usual = "<body><main><p>" + "main text here " * 6 + "</main><section><p>small</section></body>"
     odd = "<body><main><p>short main</main><section><p>" + "loud other text " * 9 + "</section></body>"
