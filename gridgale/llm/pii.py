@@ -3,8 +3,10 @@
 1. ``rule_spans`` finds the four kinds by fixed rules; these spans always stay.
 2. ``candidates`` proposes many more spans of the same kinds (looser separators, spelled-out signs,
    numbers that fail a checksum), overlapping or not.
-3. ``learn`` takes a bounded sample of documents, labels each candidate by whether a rule span lies
-   in it, fits boosted trees on format and context features (the checks of the rules are no
+3. ``learn`` takes a bounded sample of documents and labels candidates. Positive are those that a rule span
+   lies in, and every rule span rewritten where it stands into the forms that no rule finds (``rewritten``:
+   spelled-out signs, colon-hex, other separators, no +). Negative are those that fail their kind's check,
+   and those without a cue next to them; what overlaps a rule span or has a cue is no negative. It fits boosted trees on format and context features (the checks of the rules are no
    features), calibrates the scores on the third of the documents that the trees haven't seen, and
    picks per kind the lowest cut whose calibrated probability reaches ``PRECISION``.
 4. Candidates above the cut join the rule spans.
@@ -19,8 +21,11 @@ sampled; repeated rows each get their own row; extra columns are ignored by ``fi
 
 from __future__ import annotations
 
+import bisect
+import hashlib
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -117,6 +122,7 @@ _CUES = (
 _GROUPS = re.compile(r"[0-9]+")
 _REACH = 40
 WIDTH = 24
+_CUE = 22  # place of the cue among the features
 
 
 def features(text: str, span: Span) -> list[float]:
@@ -140,6 +146,62 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
+def rewritten(kind: int, span: str) -> list[str]:
+    """A rule span in the forms that the generators propose and no rule finds."""
+    if kind == EMAIL:
+        local, _, domain = span.partition("@")
+        return [f"{local} [at] {domain.replace('.', ' [dot] ')}", f"{local}(at){domain}", f"{local} @ {domain}",
+                f"{local} (at) {domain.replace('.', '(dot)')}"]
+    digits = _NO_DIGIT.sub("", span)
+    if kind == IP:
+        h = hashlib.sha256(span.encode()).hexdigest()
+        groups = [h[i:i + 4].lstrip("0") or "0" for i in range(0, 24, 4)]
+        return [f"2001:db8:{':'.join(groups)}", f"fe80::{':'.join(groups[:4])}", f"2001:{':'.join(groups[:2])}::{groups[2]}"]
+    if kind == CARD:
+        fours = [digits[i:i + 4] for i in range(0, len(digits), 4)]
+        return [".".join(fours), "/".join(fours)]
+    country, a, b, c = digits[:-10], digits[-10:-7], digits[-7:-4], digits[-4:]
+    return [f"00{span[1:]}", f"00{country}{a}{b}{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}"]
+
+
+def _impossible(kind: int, s: str) -> bool:
+    """The span fails its kind's check, whatever stands next to it."""
+    if kind == CARD:
+        return not luhn(_NO_DIGIT.sub("", s))
+    return kind == IP and ":" not in s and any(int(p) > 255 for p in s.split("."))
+
+
+def _overlaps(base: list[Span]) -> Callable[[Span], list[Span]]:
+    """The rule spans that overlap a candidate, found by search."""
+    ends = list(itertools.accumulate((e for _, _, e in base), max))
+
+    def near(s: Span) -> list[Span]:
+        at = base[bisect.bisect_right(ends, s[0]):bisect.bisect_left(base, (s[2],))]
+        return [r for r in at if r[2] > s[0]]
+
+    return near
+
+
+def labels(text: str) -> Iterator[tuple[Span, int, int, list[float]]]:
+    """(span, form, label, features): form 0 as it stands in the text, others rewritten."""
+    base = rule_spans(text)
+    overlaps = _overlaps(base)
+    for s in candidates(text):
+        near = overlaps(s)
+        if any(k == s[1] and s[0] <= b and e <= s[2] for b, k, e in near):
+            yield s, 0, 1, features(text, s)
+        elif not near and (_impossible(s[1], text[s[0]:s[2]]) or not features(text, s)[_CUE]):
+            yield s, 0, 0, features(text, s)
+    for b, kind, e in base:
+        before, after = text[max(0, b - 2 * _REACH):b], text[e:e + 2 * _REACH]
+        for form, new in enumerate(rewritten(kind, text[b:e]), 1):
+            there, start, end = before + new + after, len(before), len(before) + len(new)
+            for s in candidates(there):
+                if s[1] == kind and s[0] <= start and end <= s[2]:
+                    yield (b, kind, e), form, 1, features(there, s)
+                    break
+
+
 @dataclass(frozen=True)
 class Model:
     trees: Trees | None
@@ -153,20 +215,20 @@ class Model:
         return [s for s, m in zip(found, margin, strict=True) if m >= self.cuts[s[1]]]
 
     def all_spans(self, text: str) -> tuple[list[Span], list[Span]]:
-        """Rule spans, and these together with the selected candidates."""
+        """Rule spans, and these together with the selected candidates that reach beyond them."""
         base = rule_spans(text)
-        return base, sorted({*base, *self.select(text)})
+        overlaps = _overlaps(base)
+        more = [s for s in self.select(text) if not any(b <= s[0] and s[2] <= e for b, _, e in overlaps(s))]
+        return base, sorted({*base, *more})
 
 
 def _labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-            base = rule_spans(text)
-            for s in candidates(text):
-                inside = any(k == s[1] and s[0] <= b and e <= s[2] for b, k, e in base)
-                rows.append((doc, s[0], s[1], int(inside), features(text, s)))
-        yield pd.DataFrame(rows, columns=["doc_id", "start", "kind", "y", "x"])
+        rows = [
+            (doc, *s, form, y, x)
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True) for s, form, y, x in labels(text)
+        ]
+        yield pd.DataFrame(rows, columns=["doc_id", "start", "kind", "end", "form", "y", "x"])
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAMPLE_SPANS,
@@ -174,10 +236,10 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_spans: int = S
     texts = id_and_text(docs).where("text IS NOT NULL")
     ids = hash_sample(texts, sample_docs, seed)
     sample = texts.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])  # at most sample_docs ids
+    key = ["doc_id", "start", "kind", "end", "form"]
     rows = (
-        sample.mapInPandas(_labelled, "doc_id long, start int, kind int, y int, x array<double>")
-        .orderBy(F.xxhash64(F.lit(seed), "doc_id", "start", "kind"), "doc_id", "start", "kind")
-        .limit(sample_spans).toPandas().sort_values(["doc_id", "start", "kind"])
+        sample.mapInPandas(_labelled, "doc_id long, start int, kind int, end int, form int, y int, x array<double>")
+        .orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(sample_spans).toPandas().sort_values(key)
     )
     none = (float("inf"),) * len(KINDS)
     if rows.empty or rows["y"].nunique() < 2:

@@ -111,3 +111,22 @@ def test_secrets_query_counts(make):
     assert (out[1].n_assign, out[1].n_access, out[1].n_hex) == (1, 0, 1)
     assert out[3].n_access == 1 and out[2].spans == "" and out[None].n_hex == 0
     assert out[1].base_sha256 == digest(plain_secrets(rows[0][1]), secrets.KINDS)
+
+
+def test_planted_forms_that_no_rule_finds_are_selected(make):
+    rows = [(i, f"mail jo.{i}@site{i % 7}.example.com now, from host 10.{i % 200}.3.{i % 50} and call +1 (50{i % 10}) 555-{1000 + i} today. "
+                f"Build {i}.{i % 9}.{300 + i}.{i % 7} of 2024-10-{10 + i % 20} took 11:{10 + i % 50}:12:{10 + i % 40} for part {10**15 + i * 7919}."
+             ) for i in range(400)]
+    model = pii.learn(make("documents", rows))
+    planted = ["mail ann.lee [at] mail [dot] example [dot] org now", "mail ann.lee(at)corp.example.net now",
+               "from host 2001:db8:85a3:8d3:1319:8a2e:370:7348 and", "call 001 (503) 555-1234 today", "call (503) 555-1234 today",
+               "call 503.555.1234 today"]
+    assert [t for t in planted if pii.rule_spans(t) == [] and not model.select(t)] == []
+    clean = ["Build 7.1.345.2 of 2024-10-17 took 11:15:12:20 for part 1000000000079191.", "Chapter 12 of 2023-01-05, pages 100-110 and 115"]
+    assert [t for t in clean if model.select(t)] == []
+
+
+def test_candidates_in_a_rule_span_teach_nothing():
+    text = "call +1 (017) 555-7713 today"
+    assert {y for _, _, y, _ in pii.labels(text)} == {1}
+    assert any(s[0] > 5 for s in pii.candidates(text))
