@@ -1,8 +1,9 @@
 """Secrets: fixed rules, and random strings told by how badly a public vocabulary compresses them.
 
-A token-like string (letters, digits and ``+/_=-``) is proposed whole. Known digests (hex of the usual
-lengths), UUIDs, plain numbers and identifiers (words joined by case, ``_``, ``-``, ``.`` or ``/``) are
-left out; the rest is encoded with a public byte-pair vocabulary, and a string with fewer than
+A token-like string (letters, digits and ``+/_=-``) is proposed whole, and what is not random as a whole
+in its parts between ``=``, then ``/``, then ``_`` and ``-``. Known digests (hex of the usual lengths),
+UUIDs, plain numbers and identifiers (words joined by case, ``_``, ``-``, ``.`` or ``/``) are left out; a
+run of ``MIN_LETTERS`` letters of one case is a word only when the vocabulary compresses it like one; the rest is encoded with a public byte-pair vocabulary, and a string with fewer than
 ``MAX_RATIO`` characters a token is random: text and names give about three and more, random base-62
 strings about one and a half.
 
@@ -32,7 +33,7 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN, ACCESS, HEX, RANDOM = range(4)
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MIN_CHARS, MAX_RATIO = 20, 2.0
+MIN_CHARS, MIN_LETTERS, MAX_RATIO = 16, 20, 2.0
 
 _ASSIGN = re.compile(
     r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -44,6 +45,7 @@ _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 _HEX_ONLY = re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z")
 _DIGEST_CHARS = frozenset((32, 40, 48, 56, 64, 96, 128))
 _WORDS = re.compile(r"[_\-+/=]+|(?<=[a-z])(?=[A-Z])")
+_JOINTS = (re.compile(r"[^=]+"), re.compile(r"[^/]+"), re.compile(r"[^_-]+"))
 _WORD = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})\Z")
 
 
@@ -56,13 +58,6 @@ def rule_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
-def excluded(s: str) -> bool:
-    """Known digests and identifiers."""
-    if _HEX_ONLY.match(s) and len(s) in _DIGEST_CHARS or _UUID.match(s):
-        return True
-    return all(_WORD.match(w) for w in _WORDS.split(s) if w)
-
-
 @functools.lru_cache(maxsize=2)
 def _encoding(vocabulary: str):
     import public_tokenizers
@@ -75,14 +70,40 @@ def _encoding(vocabulary: str):
     )
 
 
-def random_spans(text: str, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> list[Span]:
-    found = [m for m in _TOKEN.finditer(text) if not excluded(m[0])]
-    if not found:
-        return []
+def ratio(s: str, vocabulary: str = VOCABULARY) -> float:
+    """Characters a token."""
     encode = _encoding(vocabulary).encode_ordinary
     # In pieces: the encoder's time grows with the square of a run without a break.
-    ratio = [len(s) / sum(len(encode(s[i:i + 256])) for i in range(0, len(s), 256)) for s in (m[0] for m in found)]
-    return [(m.start(), RANDOM, m.end()) for m, r in zip(found, ratio, strict=True) if r < max_ratio]
+    return len(s) / sum(len(encode(s[i:i + 256])) for i in range(0, len(s), 256))
+
+
+def known(s: str) -> bool:
+    """Known digests, UUIDs and plain numbers too short to be told from random ones."""
+    return bool(_HEX_ONLY.match(s) and len(s) in _DIGEST_CHARS or _UUID.match(s) or len(s) < 20 and s.isdigit())
+
+
+def excluded(s: str, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> bool:
+    """Known digests and identifiers."""
+    if known(s):
+        return True
+    words = [w for w in _WORDS.split(s) if w]
+    return all(_WORD.match(w) for w in words) and all(
+        len(w) < MIN_LETTERS or ratio(w, vocabulary) >= max_ratio for w in words
+    )
+
+
+def _random(s: str, start: int, joint: int, vocabulary: str, max_ratio: float) -> Iterator[Span]:
+    if len(s) < MIN_CHARS or excluded(s, vocabulary, max_ratio):
+        return
+    if ratio(s, vocabulary) < max_ratio:
+        yield start, RANDOM, start + len(s)
+    elif joint < len(_JOINTS):
+        for m in _JOINTS[joint].finditer(s):
+            yield from _random(m[0], start + m.start(), joint + 1, vocabulary, max_ratio)
+
+
+def random_spans(text: str, vocabulary: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> list[Span]:
+    return [s for m in _TOKEN.finditer(text) for s in _random(m[0], m.start(), 0, vocabulary, max_ratio)]
 
 
 _FOUND = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"

@@ -1,7 +1,9 @@
 """Personal data and secrets: rule spans against plain regular expressions, and the added spans."""
 
 import hashlib
+import random
 import re
+import string
 
 import pytest
 from hypothesis import given, settings
@@ -130,3 +132,25 @@ def test_candidates_in_a_rule_span_teach_nothing():
     text = "call +1 (017) 555-7713 today"
     assert {y for _, _, y, _ in pii.labels(text)} == {1}
     assert any(s[0] > 5 for s in pii.candidates(text))
+
+
+@pytest.mark.parametrize(("alphabet", "n", "before", "least"), [
+    (string.ascii_lowercase, 32, "", 0.9), (string.ascii_uppercase, 32, "", 0.95), (string.ascii_letters + string.digits, 16, "", 0.95),
+    (string.ascii_letters + string.digits, 24, "/services/integration/webhook/", 0.95),
+    (string.ascii_letters + string.digits, 24, "production_database_connection_key=", 0.95),
+    (string.ascii_uppercase + string.digits, 24, "production-database-connection-key-", 0.95),
+])
+def test_random_strings_are_found_in_any_place(alphabet, n, before, least):
+    rng = random.Random(5)
+    made = ["".join(rng.choices(alphabet, k=n)) for _ in range(300)]
+    hits = [any(s <= len(before) + 4 and e == len(before) + 4 + n for s, _, e in secrets.random_spans(f"see {before}{x} now")) for x in made]
+    assert sum(hits) >= least * len(made)
+
+
+@pytest.mark.parametrize("text", [
+    "Rechtsschutzversicherungsgesellschaften and internationalization of telecommunications", "CONFIGURATIONMANAGEMENTSYSTEM",
+    "/usr/local/share/documentation/configuration", "connection_timeout=configuration_default_value", "1234567890123456 12345678901234567",
+    "/users/profile/settings/123e4567-e89b-12d3-a456-426614174000", "responsibilities-and-qualifications",
+])
+def test_words_paths_and_numbers_are_not_random(text):
+    assert secrets.random_spans(text) == []
