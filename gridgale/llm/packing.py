@@ -6,10 +6,11 @@
 2. Full pieces are sequences by themselves. The others are dealt round-robin into shards of about
    ``SHARD`` pieces, so tasks stay equal however documents are spread, and a task holds a fixed
    number of small rows. Nothing but lengths and numbers is shuffled.
-3. A shard is packed best-fit decreasing. Then pieces are exchanged between the ``REACH`` sequences with
-   most room: a move, one for one, two for one or one for two, given by the emptiest sequence that can,
-   each time the exchange that raises the sum of squared fills most. Room gathers in few sequences until
-   they empty. It ends at the least possible number, when nothing raises the sum, or after ``STEPS``.
+3. A shard is packed best-fit decreasing. Then pieces are exchanged between all sequences with room: a
+   move, one for one, two for one or one for two. Each sequence, the fullest first, takes from the emptiest
+   that holds a fitting size, each time by the exchange that raises the sum of squared fills most, so room
+   gathers in few sequences until they empty. Partners are looked up by size. Passes end at the least
+   possible number, when nothing raises the sum, or after ``STEPS`` exchanges a sequence with room.
 
 Defined cases: a null or empty text is the end id alone; rows without ``doc_id`` and repeated rows are
 packed like others; extra columns are ignored; an empty table gives no rows.
@@ -18,6 +19,8 @@ packed like others; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import heapq
+import itertools
 import math
 import os
 import re
@@ -35,7 +38,7 @@ from gridgale.llm.common import id_and_text, staged, table
 VOCABULARY = "word_bpe_49k.json"
 LENGTH, END_ID = 2048, 0
 SHARD, CACHED, AT_ONCE = 50_000, 400_000, 4_000_000
-STEPS, REACH, GIVERS, MOST = 400, 150, 30, 30
+STEPS, PAIRED = 20, 12
 _LONG_WORD = 64
 _HALVES = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
 _SPACES = re.compile(r"[\t\n\r\x0b\x0c]")
@@ -154,69 +157,90 @@ def best_fit(sizes: np.ndarray, length: int) -> np.ndarray:
     return bins
 
 
-def _exchange(own: np.ndarray, sizes: np.ndarray, bins: np.ndarray, fill: np.ndarray, t: int, near: np.ndarray, length: int):
-    """The exchange between bin ``t`` (its pieces: ``own``) and one of the bins ``near`` that raises the sum
-    of squared fills most: pieces to give, pieces to take, other bin; None when none raises it."""
-    best, found = 0, None
-    gives = [((i,), int(sizes[i])) for i in own]
-    pairs = [((i, j), int(sizes[i] + sizes[j])) for k, i in enumerate(own) for j in own[k + 1:]]
-
-    def look(give: tuple, gain: np.ndarray, others: np.ndarray) -> int | None:
-        # Moving g from fill a to fill b changes the sum by 2g(b - a + g).
-        worth = np.where((gain > 0) & (gain <= length - fill[others]), gain * (fill[others] - fill[t] + gain), 0)
-        k = int(worth.argmax()) if len(worth) else 0
-        nonlocal best
-        if len(worth) and worth[k] > best:
-            best = int(worth[k])
-            return k
-        return None
-
-    others = near[near != t]
-    item = np.flatnonzero(np.isin(bins, others))
-    item = item[np.argsort(bins[item], kind="stable")]
-    at, size = bins[item], sizes[item]
-    for give, total in gives:  # a move
-        if (k := look(give, np.full(len(others), total), others)) is not None:
-            found = (give, (), int(others[k]))
-    for give, total in gives + pairs:  # one or two for one
-        if (k := look(give, total - size, at)) is not None:
-            found = (give, (int(item[k]),), int(at[k]))
-    shift = 1
-    while shift < len(item) and (same := np.flatnonzero(at[shift:] == at[:-shift])).size:  # one for two
-        two = size[same] + size[same + shift]
-        for give, total in gives:
-            if (k := look(give, total - two, at[same])) is not None:
-                j = same[k]
-                found = (give, (int(item[j]), int(item[j + shift])), int(at[j]))
-        shift += 1
-    return found
-
-
-def local_search(sizes: np.ndarray, bins: np.ndarray, length: int, steps: int = STEPS, reach: int = REACH) -> np.ndarray:
-    """Exchanges between the ``reach`` bins with most room, each raising the sum of squared fills, until no
-    bin can be emptied, none raises it, or ``steps`` are done. The number of bins never grows."""
+def _lots(own: list[int], size: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """What a sequence can give, one lot of each size: a piece, or two of its ``PAIRED`` largest."""
+    lots: dict[int, tuple[int, ...]] = {}
+    for i in own:
+        lots.setdefault(size[i], (i,))
+    big = sorted(own, key=size.__getitem__, reverse=True)[:PAIRED]
+    for i, j in itertools.combinations(big, 2):
+        lots.setdefault(size[i] + size[j], (i, j))
+    yield from lots.items()
+
+
+def local_search(sizes: np.ndarray, bins: np.ndarray, length: int, steps: int = STEPS) -> np.ndarray:
+    """Exchanges between bins with room, each raising the sum of squared fills, until as few as possible are
+    left, none raises it, or ``steps`` a bin with room are done. The number of bins never grows."""
     bins = bins.copy()
     if not len(bins):
         return bins
-    fill = np.bincount(bins, sizes).astype(np.int64)
-    least = math.ceil(int(sizes.sum()) / length)
-    for _ in range(steps):
-        used = np.flatnonzero((fill > 0) & (fill < length))
-        if np.count_nonzero(fill) <= least or len(used) < 2:
-            break
-        near = used[np.argsort(fill[used], kind="stable")][:reach]
-        found = None
-        for t in near[:GIVERS].tolist():
-            own = np.flatnonzero(bins == t)
-            if (found := _exchange(own[:MOST], sizes, bins, fill, t, near, length)) is not None:
-                break
+    size = sizes.tolist()
+    fill = np.bincount(bins, sizes).astype(np.int64).tolist()
+    least, smallest = math.ceil(sum(size) / length), min(size)
+    count = sum(f > 0 for f in fill)
+    held: dict[int, list[int]] = {b: [] for b, f in enumerate(fill) if 0 < f < length}
+    for i, b in enumerate(bins.tolist()):
+        if b in held:
+            held[b].append(i)
+    # By size of a lot: (fill, bin, version) of the bins that hold one, emptiest first; old versions are passed over.
+    offers: dict[int, list[tuple[int, int, int]]] = {}
+    version = dict.fromkeys(held, 0)
+    lots: dict[int, dict[int, tuple[int, ...]]] = {}
+
+    def offer(b: int) -> None:
+        version[b] += 1
+        lots[b] = dict(_lots(held[b], size)) if 0 < fill[b] < length else {}
+        for total in lots[b]:
+            heapq.heappush(offers.setdefault(total, []), (fill[b], b, version[b]))
+
+    def emptiest(total: int, but: int) -> int | None:
+        heap = offers.get(total)
+        while heap and version[heap[0][1]] != heap[0][2]:
+            heapq.heappop(heap)
+        if not heap:
+            return None
+        if heap[0][1] != but:
+            return heap[0][1]
+        return min((x for x in heap[1:3] if version[x[1]] == x[2]), default=(0, None))[1]
+
+    def exchange(b: int) -> int | None:
+        """Best exchange that fills bin ``b``; the other bin."""
+        best, found = 0, None
+        for given, give in ((0, ()), *lots[b].items()):
+            # Moving gain from fill c to fill b changes the sum by 2 gain (b - c + gain).
+            for gain in range(length - fill[b], max(0, smallest - given - 1), -1):
+                if gain * (fill[b] - given) <= best:  # fill c is given + gain at least
+                    break
+                if given + gain not in offers or (c := emptiest(given + gain, b)) is None:
+                    continue
+                take = lots[c][given + gain]
+                if len(give) + len(take) < 4 and (worth := gain * (fill[b] - fill[c] + gain)) > best:
+                    best, found = worth, (c, give, take, gain)
         if found is None:
-            break
-        give, take, other = found
-        moved = int(sizes[list(give)].sum() - sizes[list(take)].sum())
-        bins[list(give)], bins[list(take)] = other, t
-        fill[other] += moved
-        fill[t] -= moved
+            return None
+        c, give, take, gain = found
+        for x, y, out in ((b, c, give), (c, b, take)):
+            held[x] = [i for i in held[x] if i not in out]
+            held[y] += out
+            bins[list(out)] = y
+        fill[b] += gain
+        fill[c] -= gain
+        offer(b)
+        offer(c)
+        return c
+
+    for b in held:
+        offer(b)
+    left, todo = steps * len(held), set(held)
+    while todo and left > 0 and count > least:
+        changed = set()
+        for b in sorted(todo, key=lambda b: -fill[b]):
+            while 0 < fill[b] < length and left > 0 and count > least and (c := exchange(b)) is not None:
+                left -= 1
+                count -= fill[c] == 0
+                changed |= {b, c}
+        # What changed may offer something new to any bin, so all with room look again.
+        todo = {b for b in held if 0 < fill[b] < length} if changed else set()
     return bins
 
 

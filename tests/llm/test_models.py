@@ -300,6 +300,15 @@ def test_exchanges_empty_a_bin_that_best_fit_leaves():
     assert saved > 0
 
 
+def test_exchanges_reach_all_bins_of_a_large_shard():
+    sizes = np.random.default_rng(1).integers(400, 801, 12_000)
+    first = packing.best_fit(sizes, 2048)
+    after = packing.local_search(sizes, first, 2048)
+    assert np.bincount(after, sizes).max() <= 2048 and np.bincount(after).sum() == len(sizes)
+    gap = len(set(first.tolist())) - -(-int(sizes.sum()) // 2048)
+    assert len(set(first.tolist())) - len(set(after.tolist())) > 0.6 * gap
+
+
 def test_pieces_are_the_tokenizer_s_ids_and_sequences_are_gapless(spark, make):
     import public_tokenizers
     from tokenizers import Tokenizer
