@@ -34,3 +34,12 @@ def hash_sample(docs: DataFrame, rows: int, seed: int, keys: tuple[str, ...] = (
     ).limit(rows)
 
 
+
+
+def salted_lookup(rows: DataFrame, found: DataFrame, key: str, by: str, salts: int = 256) -> DataFrame:
+    """``rows`` with the columns of ``found`` (one row a key) beside theirs, null where there is none. A key that
+    holds a large share of ``rows`` is dealt to ``salts`` tasks by the hash of ``by``; only the (key, salt) pairs
+    that occur are copied."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    keys = salted.where(F.col(key).isNotNull()).select(key, "_salt").distinct().join(found, key)
+    return salted.join(keys, [key, "_salt"], "left").drop("_salt")
