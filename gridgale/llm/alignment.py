@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +42,11 @@ from gridgale.llm.common import id_and_text, staged, table
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 WORK, FREQUENT = 16_384, 500_000
-CACHED_TOKENS, AT_ONCE, ENDS_AT_ONCE, KEYS_HELD = 2_000_000, 2_000_000, 1_000_000, 4_000_000
+CACHED_TOKENS, JOINED, AT_ONCE, ENDS_AT_ONCE, KEYS_HELD = 1_000_000, 200, 1_000_000, 250_000, 1_000_000
 # A pair of ids as one number; both vocabularies must stay below this.
 _IDS = 1 << 20
 
+_SPACE = re.compile(r"\s")
 _SLOW = re.compile(r"^ | $| \s")
 _SINGLE_SPACE = re.compile(r"(?<=[^ ]) (?=\S)")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -97,6 +100,8 @@ class Vocabularies:
     def clear(self) -> None:
         self.number: dict[str, int] = {}
         self.exact = np.zeros(0, bool)
+        self.added: dict[object, list[np.ndarray]] = defaultdict(list)
+        self.total = {"a": 0, "b": 0}
         self.ids = {s: np.zeros(0, np.int32) for s in "ab"}
         self.starts = {s: np.zeros(1, np.int64) for s in "ab"}
 
@@ -107,26 +112,54 @@ class Vocabularies:
         return _SINGLE_SPACE.split(text) if _SLOW.search(text) else text.split(" ")
 
     def learn(self, words: set[str]) -> None:
+        """Encode new words, ``JOINED`` at a time as one text: tokens that end where a word ends are that word's.
+        Words with white space inside, and texts whose token bytes come out different, go word by word."""
         new = [w for w in words if w not in self.number]
-        if not new:
-            return
-        ids = {
-            "a": [e.ids for e in self.a.encode_batch_fast([" " + w for w in new], add_special_tokens=False)],
-            "b": self.b.encode(new, num_threads=1),
-        }
-        exact = []
-        for w, a, b in zip(new, ids["a"], ids["b"], strict=True):
-            self.number[w] = len(self.number)
-            whole = (" " + w).encode()
-            exact.append(all(
-                b"".join(parts := [names[i] for i in own]) == whole and b"" not in parts
-                for names, own in ((self.bytes_a, a), (self.bytes_b, b))
-            ))
-        self.exact = np.concatenate([self.exact, np.array(exact, bool)])
-        for s, own in ids.items():
-            flat = np.fromiter((i for w in own for i in w), np.int32)
-            ends = self.starts[s][-1] + np.cumsum([len(w) for w in own])
-            self.ids[s], self.starts[s] = np.concatenate([self.ids[s], flat]), np.concatenate([self.starts[s], ends])
+        apart = [w for w in new if not w or _SPACE.search(w)] if self.cuts else new
+        whole = list(set(new).difference(apart))
+        for at in range(0, len(whole), JOINED):
+            own = whole[at:at + JOINED]
+            text = " ".join(own)
+            raw = (" " + text).encode()
+            ids = self._ids([text])
+            ends = np.cumsum([1 + len(w.encode()) for w in own])
+            sides = []
+            for names, length, flat in ((self.bytes_a, self.length_a, ids[0][0]), (self.bytes_b, self.length_b, ids[1][0])):
+                token_ends = np.cumsum(length[flat])
+                cut = np.searchsorted(token_ends, ends)
+                good = b"".join([names[i] for i in flat]) == raw and (length[flat] > 0).all()
+                sides.append((flat, cut + 1) if good and (token_ends[cut] == ends).all() else None)
+            if None in sides:
+                apart += own
+            else:
+                self._add(own, np.ones(len(own), bool), *sides)
+        if apart:
+            exact, sides = [], []
+            ids = self._ids(apart)
+            for w, a, b in zip(apart, *ids, strict=True):
+                exact.append(all(
+                    b"".join(parts := [names[i] for i in own]) == (" " + w).encode() and b"" not in parts
+                    for names, own in ((self.bytes_a, a), (self.bytes_b, b))
+                ))
+            sides = [([i for w in own for i in w], np.cumsum([len(w) for w in own])) for own in ids]
+            self._add(apart, np.array(exact, bool), *sides)
+        for s in "ab":
+            self.ids[s] = np.concatenate([self.ids[s], *self.added[s, "ids"]])
+            self.starts[s] = np.concatenate([self.starts[s], *self.added[s, "ends"]])
+        self.exact = np.concatenate([self.exact, *self.added["exact"]])
+        self.added.clear()
+
+    def _ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        return [e.ids for e in a], self.b.encode(texts, num_threads=1)
+
+    def _add(self, words: list[str], exact: np.ndarray, *sides: tuple[list[int], np.ndarray]) -> None:
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        self.added["exact"].append(exact)
+        for s, (flat, ends) in zip("ab", sides, strict=True):
+            self.added[s, "ids"].append(np.array(flat, np.int32))
+            self.added[s, "ends"].append(self.total[s] + ends)
+            self.total[s] += len(flat)
 
     def encode(self, texts: list[str | None]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
         """Ids of all texts in a row, and how many each text has, by side."""
@@ -134,7 +167,7 @@ class Vocabularies:
             self.clear()
         split = [self.words(t) if t else [] for t in texts]
         self.learn(set().union(*split))
-        found = np.fromiter((self.number[w] for words in split for w in words), np.int64)
+        found = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(split)), np.int64)
         text = np.repeat(np.arange(len(texts)), [len(w) for w in split])
         # A word of another form after encoding takes its whole text out, unless the text comes out right.
         for t in np.unique(text[~self.exact[found]]).tolist():
