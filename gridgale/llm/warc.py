@@ -11,11 +11,10 @@ Reading. Files come through ``binaryFile``, are decompressed as a stream (one or
 cut by Content-Length, so nothing inside a payload can end a record. A task holds the files of its split and one
 record; files should be far smaller than an executor's memory. Any WARC writer's files can be read.
 
-Assembly. ``captures`` joins records through their concurrent-to identifiers, whichever side names the other:
-first those one step from a response (or revisit, resource), then those one step further, such as a metadata
-record that names the request. Identifiers named by a large share of all records are salted. A record that
-leads to no response makes a row of its own without one. More than ``MEMBERS`` records of one capture are
-dealt to several rows (``part``), so no group is unbounded.
+Assembly. ``captures`` joins records through their concurrent-to identifiers: first those that name a response
+(or revisit, resource), then those that a response names, and those one step further, such as a metadata
+record that names the request. A record that leads to no response makes a row of its own without one. More
+than ``MEMBERS`` records of one capture are dealt to several rows (``part``), so no group is unbounded.
 
 Defined cases: a null html is an empty payload; a null url leaves out WARC-Target-URI; line ends in a url are
 percent-encoded, white space at its ends is lost; a null ``page_id`` comes back as null and is never the largest
@@ -47,6 +46,7 @@ DATE = "1970-01-01T00:00:00Z"
 # Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 MAIN = ("response", "revisit", "resource")
 
 _LINE, _BATCH_ROWS, _BATCH_BYTES = 1 << 20, 2_000, 16 << 20
@@ -60,11 +60,11 @@ _NAMES = [c.split()[0] for c in _RECORD.replace("<string,string>", "").split(",
 
 
 def base32(hexadecimal: Column) -> Column:
-    """Upper-case base32 of 40 hexadecimal digits: five of them are four characters."""
-    fives = [F.conv(F.substr(hexadecimal, F.lit(1 + 5 * g), F.lit(5)), 16, 10).cast("int") for g in range(8)]
-    return F.concat(*[
-        F.substr(F.lit(BASE32), F.shiftright(n, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for n in fives for s in (15, 10, 5, 0)
-    ])
+    """Upper-case base32 of 40 hexadecimal digits: five of them are four digits to the base of 32."""
+    fours = [
+        F.lpad(F.conv(F.substr(hexadecimal, F.lit(1 + 5 * g), F.lit(5)), 16, 32), 4, "0") for g in range(8)
+    ]
+    return F.translate(F.concat(*fours), DIGITS, BASE32)
 
 
 def _identifier(archive: str, role: str, capture: str) -> Column:
@@ -89,7 +89,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, records:
         F.octet_length(html).cast("long").alias("bytes"), F.sha1(html).alias("sha1"),
     ), "payloads")
     narrow = rows.where(F.col("bytes") >= least_bytes).select(
-        "capture", "page_id", F.concat("sha1", F.lit(" "), F.col("bytes").cast("string")).alias("payload")
+        "capture", "page_id", F.struct("bytes", F.unhex("sha1")).alias("payload")
     )
     firsts = narrow.groupBy("payload").agg(
         F.max(F.struct("page_id", "capture"))["capture"].alias("first"), F.count("*").alias("n")
@@ -213,62 +213,80 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
 
 def captures(records: DataFrame, members: int = MEMBERS) -> DataFrame:
-    """(capture, part, response, requests, metadata): one nested row per capture, joined through
-    concurrent-to identifiers."""
-    main = records.where(F.col("type").isin(*MAIN))
-    others = records.where(F.col("record_id").isNotNull() & F.col("type").isNotNull() & ~F.col("type").isin(*MAIN, "damaged"))
-    named = records.select("record_id", F.explode("concurrent_to").alias("other"))
-    ways = named.union(named.select("other", "record_id")).where("record_id != other").distinct()
-
-    def nearest(ways: DataFrame, reached: DataFrame) -> DataFrame:
-        """The smallest capture one step away."""
-        met = salted_lookup(ways, reached.select(F.col("record_id").alias("other"), "capture"), "other", "record_id")
-        return met.where("capture IS NOT NULL").groupBy("record_id").agg(F.min("capture").alias("capture"))
-
-    starts = main.select("record_id", F.col("record_id").alias("capture")).where("record_id IS NOT NULL").distinct()
-    loose = ways.join(starts.select("record_id"), "record_id", "left_anti")
-    near = staged(nearest(loose, starts), "near-records")
-    far = nearest(loose.join(near.select("record_id"), "record_id", "left_anti"), near)
-    placed = others.join(near.union(far), "record_id", "left").withColumn("capture", F.coalesce("capture", "record_id"))
+    """(capture, part, response, requests, metadata): one nested row per capture, joined through concurrent-to
+    identifiers. All columns of ``records`` but those identifiers are carried into the nested structs, so select
+    what is wanted beforehand; ``type``, ``record_id`` and ``concurrent_to`` must be there."""
+    named = records.where(F.col("record_id").isNotNull() & F.col("type").isNotNull() & (F.col("type") != "damaged"))
+    inner = [c for c in records.columns if c != "concurrent_to"]
+    main, others = named.where(F.col("type").isin(*MAIN)), named.where(~F.col("type").isin(*MAIN))
+    starts = main.select(F.col("record_id").alias("capture"))
+    direct = others.withColumn("target", F.get("concurrent_to", F.lit(0)))
+    # Most records name their response first; that one join carries them. Its keys are split by adaptive
+    # execution where one is hot; doubled identifiers of responses would double rows, so they meet once.
+    placed = staged(direct.join(
+        starts.groupBy("capture").agg(F.lit(True).alias("known")), F.col("target") == F.col("capture"), "left"
+    ).drop("target", "known"), "placed-records")
+    found, loose = placed.where("capture IS NOT NULL"), placed.where("capture IS NULL")
+    placed = found.unionByName(_reached(loose, main, found, starts.distinct()).withColumn("capture", F.coalesce("capture", "record_id")))
 
     parts = placed.groupBy("capture").agg(F.ceil(F.count("*") / members).alias("parts")).where("parts > 1")
-    placed = salted_lookup(placed, parts, "capture", "record_id").withColumn(
-        "part", F.pmod(F.xxhash64("record_id"), F.coalesce("parts", F.lit(1))).cast("int")
+    part = F.pmod(F.xxhash64("record_id"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = placed.join(staged(parts, "large-captures"), "capture", "left").withColumn("part", part)
+    rows = dealt.select("capture", "part", F.struct(*inner).alias("r")).union(
+        main.select("record_id", F.lit(0), F.struct(*inner))
     )
-    inner = [c for c in records.columns if c not in ("type", "concurrent_to")]
 
     def by_id(x: Column, y: Column) -> Column:
         return F.when(x["record_id"] < y["record_id"], -1).when(x["record_id"] > y["record_id"], 1).otherwise(0)
 
     def listed(which: Column) -> Column:
-        return F.array_sort(F.collect_list(F.when(which, F.struct(*inner))), by_id)
-
-    is_request = F.col("type") == "request"
-    grouped = placed.groupBy("capture", "part").agg(listed(is_request).alias("requests"), listed(~is_request).alias("metadata"))
-    responses = main.select(F.col("record_id").alias("capture"), F.struct("type", *inner).alias("response"))
-    return responses.join(grouped, "capture", "full").select(
-        "capture", F.coalesce("part", F.lit(0)).alias("part"), "response",
-        *[F.coalesce(c, F.array()).alias(c) for c in ("requests", "metadata")],
-    )
+        return F.array_sort(F.collect_list(F.when(which, F.col("r"))), by_id)
+
+    kind = F.col("r.type")
+    return rows.groupBy("capture", "part").agg(
+        F.collect_list(F.when(kind.isin(*MAIN), F.col("r"))).alias("responses"),
+        listed(kind == "request").alias("requests"), listed(~kind.isin(*MAIN, "request")).alias("metadata"),
+    ).select("capture", "part", F.explode_outer("responses").alias("response"), "requests", "metadata")
+
+
+def _reached(loose: DataFrame, main: DataFrame, found: DataFrame, starts: DataFrame) -> DataFrame:
+    """``loose`` with the capture that other links reach: a later identifier of their own, a response that names
+    them, or a record of either kind one step further. The smallest one counts."""
+    def links(df: DataFrame) -> DataFrame:
+        return df.select("record_id", F.explode("concurrent_to").alias("other"))
+
+    own, theirs = links(loose), links(main.unionByName(found.drop("capture"))).select(F.col("other").alias("record_id"), F.col("record_id").alias("other"))
+    ways = own.union(own.select("other", "record_id")).union(theirs.join(loose.select("record_id").distinct(), "record_id", "left_semi"))
+    ways = ways.where("record_id != other").distinct()
+
+    def nearest(ways: DataFrame, reached: DataFrame) -> DataFrame:
+        met = salted_lookup(ways, reached.select(F.col("record_id").alias("other"), F.col("capture").alias("_met")), "other", "record_id")
+        return met.where("_met IS NOT NULL").groupBy("record_id").agg(F.min("_met").alias("_met"))
+
+    near = staged(nearest(ways, starts.select(F.col("capture").alias("record_id"), "capture")), "near-records")
+    known = found.groupBy("record_id").agg(F.min("capture").alias("capture")).unionByName(near.withColumnRenamed("_met", "capture"))
+    far = nearest(ways.join(near.select("record_id"), "record_id", "left_anti"), known.groupBy("record_id").agg(F.min("capture").alias("capture")))
+    return salted_lookup(loose, near.union(far), "record_id", "record_id").withColumn("capture", F.col("_met")).drop("_met")
 
 
 def page_records(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of all captures of ``write``'s archives."""
-    records = staged(read(spark, path, payloads=False), "records")
-    is_response = F.col("response.type") == "response"
-    about = F.filter(F.col("metadata"), lambda m: F.map_contains_key(m["fields"], "page_id"))
+    is_response = F.col("type") == "response"
+    records = staged(read(spark, path, payloads=False).select(
+        "type", "record_id", "concurrent_to", "refers_to", F.col("fields")["page_id"].cast("long").alias("page_id"),
+        F.when(is_response, F.col("payload_bytes")).otherwise(F.col("http_headers")["content-length"].cast("long")).alias("bytes"),
+        F.when(is_response, F.col("payload_digest")).otherwise(F.regexp_replace("declared_digest", "^sha1:", "")).alias("digest"),
+    ), "records")
     rows = staged(captures(records).where("response IS NOT NULL AND part = 0").select(
-        "capture", F.get(about, F.lit(0))["fields"]["page_id"].cast("long").alias("page_id"),
-        F.when(is_response, F.col("response.payload_bytes")).otherwise(
-            F.col("response.http_headers")["content-length"].cast("long")).alias("payload_bytes"),
-        F.when(is_response, F.col("response.payload_digest")).otherwise(
-            F.regexp_replace("response.declared_digest", "^sha1:", "")).alias("payload_digest"),
-        F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("target"),
+        "capture", F.array_max("metadata.page_id").alias("page_id"), F.col("response.bytes").alias("payload_bytes"),
+        F.col("response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"),
+        F.col("response.refers_to").alias("target"),
     ), "captures")
-    targets = rows.where("record_type = 'response'").select(F.col("capture").alias("target"), F.col("page_id").alias("refers_to"))
-    return salted_lookup(rows, targets, "target", "capture").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
-    )
+    firsts, again = rows.where("record_type = 'response'"), rows.where("record_type != 'response'")
+    targets = firsts.select(F.col("capture").alias("target"), F.col("page_id").alias("refers_to")).join(
+        again.select("target").distinct(), "target", "left_semi")
+    whole = firsts.withColumn("refers_to", F.lit(None).cast("long")).unionByName(salted_lookup(again, targets, "target", "capture"))
+    return whole.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
