@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridgale.llm import alignment, decontamination, html, langid, minhash, packing, pii, quality, secrets, simhash, urls, warc
+from gridgale.llm import alignment, decontamination, html, langid, lexical, minhash, packing, pii, quality, secrets, simhash, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +23,12 @@ QUERIES: dict[str, Query] = {
     "op10_packing": packing.query,
     "op11_warc": warc.query,
     "op12_alignment": alignment.query,
+    "op13_lexical": lexical.query,
 }
 
 SQL: dict[str, str] = {
     "op4_minhash": minhash.SQL,
     "op8_urls": urls.SQL,
     "op11_warc": warc.SQL,
+    "op13_lexical": lexical.SQL,
 }
