@@ -38,11 +38,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridgale.llm.common import id_and_text, staged, table
+from gridgale.llm.common import arrow_rows, id_and_text, staged, table
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 WORK, FREQUENT = 16_384, 500_000
-CACHED_TOKENS, JOINED, AT_ONCE, ENDS_AT_ONCE, KEYS_HELD = 1_000_000, 200, 1_000_000, 250_000, 1_000_000
+CACHED_TOKENS, JOINED, AT_ONCE, ENDS_AT_ONCE, KEYS_HELD = 1_000_000, 200, 500_000, 100_000, 500_000
+BATCH_ROWS = 1_000
 # A pair of ids as one number; both vocabularies must stay below this.
 _IDS = 1 << 20
 
@@ -414,8 +415,9 @@ def aligned(docs: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B, work:
     """One row per document: counts of tokens, groups and links, the links' corpus-wide counts, and the digest
     of its groups."""
     spark = docs.sparkSession
-    cut = staged(pieces(docs, a, b, work), "token-pieces", compression="zstd")
-    counted = staged(pair_counts(cut, a, b), "pair-counts")
+    with arrow_rows(spark, BATCH_ROWS):
+        cut = staged(pieces(docs, a, b, work), "token-pieces", compression="zstd")
+        counted = staged(pair_counts(cut, a, b), "pair-counts")
     highest = counted.groupBy("b").agg(F.max("links").alias("most"))
     pairs = staged(counted.join(highest, "b").select("pair", "links", (F.col("links") == F.col("most")).alias("best")), "pairs")
     top = _frequent(pairs, frequent)
@@ -453,7 +455,8 @@ def aligned(docs: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B, work:
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SCORED.split(", ")])
 
     sums = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    scored = staged(cut.mapInArrow(score, _SCORED), "scored-pieces")
+    with arrow_rows(spark, BATCH_ROWS):
+        scored = staged(cut.mapInArrow(score, _SCORED), "scored-pieces")
     base = scored.select("doc_row", "doc_id", *sums, "groups_sha256")
     rare = scored.select("doc_row", F.explode("rare").alias("pair")).join(pairs, "pair").groupBy("doc_row").agg(
         F.count_if("best").alias("n_best"), F.sum("links").alias("count_sum")
