@@ -8,12 +8,19 @@ The work is ordered so that its size follows the points and the grid, not the ra
 3. only those per-cell aggregates are copied to the points they belong to.
 
 Which points a cell serves travels along as a bit mask over the disk offsets (19 bits for k = 2),
-so step 3 needs no second join. Point times must be multiples of ``tick``: the slices
-are chosen so that every window edge is a slice edge, which makes the collapse exact.
+so step 3 needs no second join.
+
+Points may have any time. States come in levels of ever narrower slices, down to single instants. A
+window takes the widest slices that lie wholly inside it, and only in the slices that one of its edges
+cuts, the next level's: a state counts from the window that holds it whole until the one that holds its
+wider slice (``Level``). A cut slice is found by its number, so the lower levels are plain equi-joins and
+touch a few slices per point. Where no edge cuts a slice (times on the tick), lower levels are not made.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +32,7 @@ from gridgale.constants import (
     OUTAGE_TRENDS_H,
     WEATHER_WINDOWS_H,
 )
-from gridgale.functions.clock import HOUR, MINUTE, common_step, micros, slice_mark
+from gridgale.functions.clock import HOUR, MINUTE, NEVER, common_step, floor_micros, micros, slice_mark
 from gridgale.functions.hexgrid import disk_offsets, offsets_array
 from gridgale.functions.weather import category
 from gridgale.operators.range_join import range_join
@@ -35,17 +42,86 @@ NEIGHBOUR_WINDOW_H = 24
 SPREAD_FRACTION = 0.01
 TILE = 8  # cells per tile side
 MAX_TYPES_IN_MASK = 62 * 8
+GRAINS = (6 * HOUR, HOUR, 30 * MINUTE, MINUTE)
+
+
+def distinct_points(points: DataFrame) -> DataFrame:
+    """Distinct (q, r, t) of the points."""
+    return points.select("q", "r", micros(F.col("ts")).alias("t")).distinct()
+
+
+def off_grain(t: Column) -> Column:
+    """How many times are off each of ``GRAINS``: an aggregate for ``grain_from``."""
+    return F.array(*[F.count_if(F.pmod(t, F.lit(g).cast("bigint")) != 0) for g in GRAINS])
+
+
+def grain_from(off: list[int]) -> int:
+    """The widest of ``GRAINS`` that all times are multiples of; else one microsecond."""
+    return next((g for g, n in zip(GRAINS, off, strict=True) if not n), 1)
+
+
+def grain_of(points: DataFrame) -> int:
+    """The grain of (q, r, t) points: one row to the driver."""
+    return grain_from(points.agg(off_grain(F.col("t")).alias("off")).first()["off"])
+
 
+@dataclass(frozen=True)
+class Level:
+    """States of slices ``step`` wide; below the first level, inside slices of ``parent``."""
+
+    states: DataFrame
+    step: int
+    parent: int | None = None
+
+
+def _extent(at: Column, step: int) -> tuple[Column, Column]:
+    """First and last microsecond of the slice that ``at`` marks: an exact multiple, or what lies between two."""
+    base = floor_micros(at, step)
+    exact = at == base
+    return F.when(exact, at).otherwise(base + 1), F.when(exact, at).otherwise(base + F.lit(step - 1).cast("bigint"))
+
+
+def reaching(asked: DataFrame, levels: list[Level], keys: list[str], reach: int, edges: list[int],
+             useful: Column | None = None) -> DataFrame:
+    """States of all levels that a request's windows can hold: with ``old`` and ``new``, the greatest and least
+    age in the state, and ``p_old`` and ``p_new``, those of the wider slice around it (null at the first level).
+
+    ``edges`` are the ages of all window edges. ``useful`` tests rows of the first level.
+    """
+    age = {"lo": F.col("t") - F.col("lo"), "hi": F.col("t") - F.col("hi")}
+    out = None
+    for level in levels:
+        lo, hi = _extent(F.col("at"), level.step)
+        states = level.states.withColumns({"lo": lo, "hi": hi})
+        if level.parent is None:
+            found = range_join(asked, states, keys, "at", F.col("t") - reach, F.col("t"), reach)
+            found = found.withColumns({"old": age["lo"], "new": age["hi"]})
+            if useful is not None:
+                found = found.where(useful)
+            found = found.withColumns({"p_old": F.lit(None).cast("bigint"), "p_new": F.lit(None).cast("bigint")})
+        else:
+            parent = F.lit(level.parent).cast("bigint")
+            cut = F.array_distinct(F.filter(F.array(*[
+                F.when(F.pmod(F.col("t") - e, parent) != 0, floor_micros(F.col("t") - e, level.parent)) for e in edges
+            ]), lambda x: x.isNotNull()))
+            inner = states.where(F.pmod("at", parent) != 0).withColumn("_slice", floor_micros(F.col("at"), level.parent))
+            found = asked.withColumn("_slice", F.explode(cut)).join(inner, [*keys, "_slice"])
+            found = found.withColumns({
+                "old": age["lo"], "new": age["hi"], "p_old": F.col("t") - F.col("_slice") - 1,
+                "p_new": F.col("t") - F.col("_slice") - (level.parent - 1),
+            }).drop("_slice")
+        found = found.drop("lo", "hi")
+        out = found if out is None else out.unionByName(found)
+    return out
 
-def checked_points(points: DataFrame, tick: int) -> DataFrame:
-    """Distinct (q, r, t) of the points; fails loudly on a time off the tick."""
-    t = micros(F.col("ts"))
-    off = F.pmod(t, F.lit(tick).cast("bigint")) != 0
-    return points.select(
-        "q", "r",
-        F.when(off, F.raise_error(F.lit("a point's time is not a multiple of the tick")).cast("bigint"))
-        .otherwise(t).alias("t"),
-    ).distinct()
+
+def held(oldest: int, newest: int = 0, strict: bool = False) -> Column:
+    """Whether a row of ``reaching`` counts for the window of ages from ``newest`` (left out if ``strict``) to
+    ``oldest``: the state is inside and the slice around it is not."""
+    def inside(old: str, new: str) -> Column:
+        return (F.col(old) <= oldest) & (F.col(new) > newest if strict else F.col(new) >= newest)
+
+    return inside("old", "new") & ~F.coalesce(inside("p_old", "p_new"), F.lit(False))
 
 
 def requests(points: DataFrame, k: int) -> DataFrame:
@@ -100,10 +176,6 @@ def type_masks(event_type: Column, vocabulary: list[str]) -> dict[str, Column]:
     return masks
 
 
-def _within(age: Column, hours: float) -> Column:
-    return (age >= 0) & (age <= int(hours * HOUR))
-
-
 # --- weather -----------------------------------------------------------------------------
 
 def weather_states(weather: DataFrame, step: int, vocabulary: list[str]) -> DataFrame:
@@ -137,12 +209,10 @@ def widened(states: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _weather_partials(masks: list[str], fine_windows: list[int]) -> list[Column]:
-    age = F.col("t") - F.col("at")
-
+def _weather_partials(masks: list[str]) -> list[Column]:
+    # Windows end at the point's time, so one range of sizes says which windows a state counts for.
     def inside(w: int) -> Column:
-        width = F.col("fine") if w in fine_windows else ~F.col("fine")
-        return width & _within(age, w)
+        return (F.col("old") <= w * HOUR) & (F.col("until") > w * HOUR)
 
     out = []
     for w in WEATHER_WINDOWS_H:
@@ -195,67 +265,79 @@ def _weather_merge(masks: list[str], distinct_types: bool) -> list[Column]:
     return out
 
 
+def weather_levels(grain: int, tick: int, states: Callable[[int], DataFrame],
+                   merged: Callable[[DataFrame, int], DataFrame]) -> list[Level]:
+    """Slices as wide as the tick, of an hour, and instants: as far down as window edges cut slices."""
+    hour = common_step(tick, HOUR)
+    steps = [tick]
+    if hour < tick and (grain % tick or any((w * HOUR) % tick for w in WEATHER_WINDOWS_H)):
+        steps.append(hour)
+    if grain % hour:
+        steps.append(1)
+    finest = states(steps[-1])
+    return [
+        Level(finest if step == steps[-1] else merged(finest, step), step, parent)
+        for step, parent in zip(steps, [None, *steps], strict=False)
+    ]
+
+
+def weather_pairs(asked: DataFrame, levels: list[Level]) -> DataFrame:
+    edges = [0, *(w * HOUR for w in WEATHER_WINDOWS_H)]
+    return reaching(asked, levels, ["nq", "nr"], max(edges), edges).where("new >= 0")
+
+
 def weather_aggregates(
     points: DataFrame,
     weather: DataFrame,
     tick: int,
     k: int = DISK_K,
     vocabulary: list[str] | None = None,
+    grain: int | None = None,
 ) -> DataFrame:
     """Rolling, neighbour and per-category weather statistics per (q, r, t).
 
     Points with no event in reach are absent; the caller's left join fills them with zeros.
-    ``vocabulary`` lists the event types when the caller knows them; else one scan finds them.
+    ``vocabulary`` lists the event types, and ``grain`` is what all times are multiples of, when the caller
+    knows them; else one scan each finds them.
     """
-    reach = max(WEATHER_WINDOWS_H) * HOUR
+    grain = grain or grain_of(points)
     names = vocabulary if vocabulary is not None else event_vocabulary(weather)
-    # Windows of whole ticks are served by slices as wide as the tick: a point meets a dozen of
-    # them, not dozens of narrow ones. Only windows that end between ticks need narrow slices,
-    # and those reach back a few hours at most.
-    fine_windows = [w for w in WEATHER_WINDOWS_H if (w * HOUR) % tick]
-    narrow = weather_states(weather, common_step(tick, HOUR) if fine_windows else tick, names or [])
-    masks = [c for c in narrow.columns if c.startswith("m") and c[1:].isdigit()]
-    asked = requests(points, k)
-
-    def gather(states: DataFrame, span: int, fine: bool) -> DataFrame:
-        found = range_join(
-            asked, states, ["nq", "nr"], "at", F.col("t") - span, F.col("t"), span
-        )
-        return found.withColumn("fine", F.lit(fine))
-
-    if fine_windows:
-        pairs = gather(widened(narrow, tick), reach, False).unionByName(
-            gather(narrow, max(fine_windows) * HOUR, True)
-        )
-    else:
-        pairs = gather(narrow, reach, False)
-    per_cell = pairs.groupBy("nq", "nr", "t", "ring").agg(*_weather_partials(masks, fine_windows))
+    levels = weather_levels(grain, tick, lambda step: weather_states(weather, step, names or []), widened)
+    masks = [c for c in levels[0].states.columns if c.startswith("m") and c[1:].isdigit()]
+    pairs = weather_pairs(requests(points, k), levels).withColumn(
+        "until", F.when(F.col("p_new") >= 0, F.col("p_old")).otherwise(F.lit(-NEVER).cast("bigint"))
+    )
+    per_cell = pairs.groupBy("nq", "nr", "t", "ring").agg(*_weather_partials(masks))
     merged = to_points(per_cell, k).groupBy("q", "r", "t").agg(
         *_weather_merge(masks, names is not None)
     )
     if names is None:
-        merged = merged.join(distinct_type_counts(points, weather, tick, k), ["q", "r", "t"], "left")
+        merged = merged.join(distinct_type_counts(points, weather, tick, k, grain), ["q", "r", "t"], "left")
     return merged
 
 
 def distinct_type_counts(
-    points: DataFrame, weather: DataFrame, tick: int, k: int = DISK_K
+    points: DataFrame, weather: DataFrame, tick: int, k: int = DISK_K, grain: int | None = None
 ) -> DataFrame:
     """Distinct event types per window for a vocabulary of any size.
 
     A type counts for a window exactly when its latest event is inside it, so the smallest age
     per (point, type) decides all windows at once.
     """
-    reach = max(WEATHER_WINDOWS_H) * HOUR
-    at = slice_mark(micros(F.col("event_time")), common_step(tick, HOUR))
-    states = weather.filter(F.col("event_type").isNotNull()).select(
-        F.col("q").alias("nq"), F.col("r").alias("nr"), at.alias("at"), "event_type"
-    ).distinct()
-    pairs = range_join(
-        requests(points, k), states, ["nq", "nr"], "at", F.col("t") - reach, F.col("t"), reach
+    rows = weather.filter(F.col("event_type").isNotNull())
+
+    def types(step: int) -> DataFrame:
+        return rows.select(
+            F.col("q").alias("nq"), F.col("r").alias("nr"), slice_mark(micros(F.col("event_time")), step).alias("at"),
+            "event_type",
+        ).distinct()
+
+    levels = weather_levels(
+        grain or grain_of(points), tick, types, lambda finest, step: finest.withColumn("at", slice_mark(F.col("at"), step)).distinct()
     )
-    per_cell = pairs.groupBy("nq", "nr", "t", "ring", "event_type").agg(
-        F.min(F.col("t") - F.col("at")).alias("age")
+    # A slice inside a window has no event older than the window; one that an edge cuts is met by its parts.
+    per_cell = weather_pairs(requests(points, k), levels).groupBy("nq", "nr", "t", "ring", "event_type").agg(
+        F.min("old").alias("age")
     )
     per_type = to_points(per_cell, k).groupBy("q", "r", "t", "event_type").agg(F.min("age").alias("age"))
     return per_type.groupBy("q", "r", "t").agg(*[
@@ -274,43 +356,42 @@ def outage_states(outages: DataFrame, step: int) -> DataFrame:
     ).agg(F.count(f).alias("n"), F.sum(f).alias("f_sum"), F.max(f).alias("f_max"))
 
 
-def _lag_test(age: Column, lag: int) -> Column:
-    return (age >= lag * HOUR - 30 * MINUTE) & (age <= lag * HOUR + 30 * MINUTE)
-
-
 def outage_aggregates(
-    points: DataFrame, outages: DataFrame, tick: int, k: int = DISK_K
+    points: DataFrame, outages: DataFrame, tick: int, k: int = DISK_K, grain: int | None = None
 ) -> DataFrame:
     """Lagged means, half-window trends and neighbour outages per (q, r, t)."""
-    near = max(*OUTAGE_TRENDS_H, NEIGHBOUR_WINDOW_H)
-    reach = max(OUTAGE_LAGS_H) * HOUR + 30 * MINUTE
-    states = outage_states(outages, common_step(tick, 30 * MINUTE))
-    age = F.col("t") - F.col("at")
-
+    near = max(*OUTAGE_TRENDS_H, NEIGHBOUR_WINDOW_H) * HOUR
+    side = 30 * MINUTE
+    reach = max(OUTAGE_LAGS_H) * HOUR + side
+    step = common_step(tick, side)
+    windows = {f"lag{lag}": (lag * HOUR + side, lag * HOUR - side) for lag in OUTAGE_LAGS_H}
+    windows |= {f"late{w}": (w * HOUR // 2, 0) for w in OUTAGE_TRENDS_H}
+    windows |= {f"early{w}": (w * HOUR, w * HOUR // 2) for w in OUTAGE_TRENDS_H}
+    windows["day"] = (NEIGHBOUR_WINDOW_H * HOUR, 0)
+
+    cut = (grain or grain_of(points)) % step != 0
+    finest = outage_states(outages, 1 if cut else step)
+    levels = [Level(finest, step)]
+    if cut:
+        wide = finest.groupBy("nq", "nr", slice_mark(F.col("at"), step).alias("at")).agg(
+            F.sum("n").alias("n"), F.sum("f_sum").alias("f_sum"), F.max("f_max").alias("f_max"))
+        levels = [Level(wide, step), Level(finest, 1, step)]
     # Between a day and a week back only the lag targets matter: the rest never leaves the join.
-    useful = age <= near * HOUR
-    for lag in OUTAGE_LAGS_H:
-        if lag >= near:
-            useful = useful | _lag_test(age, lag)
-    pairs = range_join(
-        requests(points, k), states, ["nq", "nr"], "at",
-        F.col("t") - reach, F.col("t"), reach, condition=useful,
-    )
+    useful = (F.col("new") >= 0) & (F.col("old") <= near)
+    for oldest, newest in windows.values():
+        if oldest > near:
+            useful = useful | ((F.col("old") <= oldest) & (F.col("new") >= newest))
+    edges = sorted({e for pair in windows.values() for e in pair})
+    pairs = reaching(requests(points, k), levels, ["nq", "nr"], reach, edges, useful)
 
-    tests: dict[str, Column] = {f"lag{lag}": _lag_test(age, lag) for lag in OUTAGE_LAGS_H}
-    for w in OUTAGE_TRENDS_H:
-        half = w * HOUR // 2
-        tests[f"late{w}"] = (age >= 0) & (age <= half)
-        tests[f"early{w}"] = (age > half) & (age <= w * HOUR)
-    day = _within(age, NEIGHBOUR_WINDOW_H)
-    tests["day"] = day
     partials = []
-    for name, test in tests.items():
+    for name, (oldest, newest) in windows.items():
+        test = held(oldest, newest, strict=name.startswith("early"))
         partials += [
             F.sum(F.when(test, F.col("n"))).alias(f"{name}_n"),
             F.sum(F.when(test, F.col("f_sum"))).alias(f"{name}_s"),
         ]
-    partials.append(F.max(F.when(day, F.col("f_max"))).alias("day_x"))
+    partials.append(F.max(F.when(held(*windows["day"]), F.col("f_max"))).alias("day_x"))
     per_cell = pairs.groupBy("nq", "nr", "t", "ring").agg(*partials)
 
     def mean(name: str) -> Column:
@@ -337,19 +418,29 @@ def outage_aggregates(
 
 
 def outage_labels(
-    points: DataFrame, outages: DataFrame, tick: int, horizon_h: int = 24, leak_safe: bool = False
+    points: DataFrame, outages: DataFrame, tick: int, horizon_h: int = 24, leak_safe: bool = False,
+    grain: int | None = None,
 ) -> DataFrame:
     """Worst outage above 1 % in the point's own cell within the next day, per (q, r, t).
 
     ``leak_safe`` leaves out an observation at exactly t, which the features also see.
     """
     span = horizon_h * HOUR
-    at = slice_mark(micros(F.col("observed_at")), common_step(tick, HOUR))
-    states = (
-        outages.filter(F.col("outage_fraction") > SPREAD_FRACTION)
-        .groupBy("q", "r", at.alias("at"))
-        .agg(F.max("outage_fraction").alias("worst"))
-    )
-    low = F.col("t") + (1 if leak_safe else 0)
-    pairs = range_join(points, states, ["q", "r"], "at", low, F.col("t") + span, span)
+    step = common_step(tick, HOUR)
+    low, high = F.col("t") + (1 if leak_safe else 0), F.col("t") + span
+
+    def states(step: int) -> DataFrame:
+        at = slice_mark(micros(F.col("observed_at")), step)
+        return outages.filter(F.col("outage_fraction") > SPREAD_FRACTION).groupBy("q", "r", at.alias("at")).agg(
+            F.max("outage_fraction").alias("worst"))
+
+    first, last = _extent(F.col("at"), step)
+    pairs = range_join(points, states(step), ["q", "r"], "at", F.col("t"), high, span).where(
+        (first >= low) & (last <= high)).select("q", "r", "t", "worst")
+    if (grain or grain_of(points)) % step:
+        # The two slices that an edge cuts, by instants; a worst value met twice does no harm.
+        cut = points.withColumn("_slice", F.explode(F.array_distinct(F.array(
+            floor_micros(F.col("t"), step), floor_micros(high, step)))))
+        exact = states(1).withColumn("_slice", floor_micros(F.col("at"), step))
+        pairs = pairs.union(cut.join(exact, ["q", "r", "_slice"]).where(F.col("at").between(low, high)).select("q", "r", "t", "worst"))
     return pairs.groupBy("q", "r", "t").agg(F.max("worst").alias("worst"))

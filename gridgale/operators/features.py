@@ -19,7 +19,10 @@ from gridgale.functions.hexgrid import area_km2
 from gridgale.functions.weather import clip
 from gridgale.operators.disk import (
     DISK_K,
-    checked_points,
+    GRAINS,
+    distinct_points,
+    grain_from,
+    off_grain,
     outage_aggregates,
     outage_labels,
     weather_aggregates,
@@ -78,17 +81,17 @@ def keyed(points: DataFrame) -> DataFrame:
     return points.withColumn("t", micros(F.col("ts")))
 
 
-Span = tuple[int, int, int]
+Span = tuple[int, int, int, int]
 
 
 def span_of(points: DataFrame) -> Span:
-    """First and last time of the points in microseconds, and about how many disks they have: one row to
-    the driver."""
+    """First and last time of the points in microseconds, about how many disks they have, and the grain of
+    their times: one row to the driver."""
     row = points.agg(
         F.min(micros(F.col("ts"))).alias("lo"), F.max(micros(F.col("ts"))).alias("hi"),
-        F.approx_count_distinct(F.struct("q", "r")).alias("disks"),
+        F.approx_count_distinct(F.struct("q", "r")).alias("disks"), off_grain(micros(F.col("ts"))).alias("off"),
     ).first()
-    return (row["lo"], row["hi"], row["disks"]) if row["lo"] is not None else (1, 0, 0)
+    return (row["lo"], row["hi"], row["disks"], grain_from(row["off"])) if row["lo"] is not None else (1, 0, 0, GRAINS[0])
 
 
 def reached(events: DataFrame, time: str, span: Span, before_h: float, after_h: float = 0.0) -> DataFrame:
@@ -110,37 +113,41 @@ def attach(points: DataFrame, found: DataFrame, names: list[str]) -> DataFrame:
 # --- single groups -------------------------------------------------------------------------
 
 def rolling_weather(points: DataFrame, weather: DataFrame, tick: int = DEFAULT_TICK, k: int = DISK_K) -> DataFrame:
-    weather = reached(weather, "event_time", span_of(points), WEATHER_REACH_H)
-    found = weather_aggregates(checked_points(points, tick), weather, tick, k)
+    span = span_of(points)
+    weather = reached(weather, "event_time", span, WEATHER_REACH_H)
+    found = weather_aggregates(distinct_points(points), weather, tick, k, grain=span[3])
     return attach(points, found, ROLLING).select(*points.columns, *ROLLING)
 
 
 def neighbour_weather(points: DataFrame, weather: DataFrame, tick: int = DEFAULT_TICK, k: int = DISK_K) -> DataFrame:
-    weather = reached(weather, "event_time", span_of(points), WEATHER_REACH_H)
-    found = weather_aggregates(checked_points(points, tick), weather, tick, k)
+    span = span_of(points)
+    weather = reached(weather, "event_time", span, WEATHER_REACH_H)
+    found = weather_aggregates(distinct_points(points), weather, tick, k, grain=span[3])
     out = attach(points, found, NEIGHBOUR_WEATHER).withColumn("neighbor_ring_k", F.lit(float(k)))
     return out.select(*points.columns, *NEIGHBOUR_WEATHER, "neighbor_ring_k")
 
 
 def per_category(points: DataFrame, weather: DataFrame, tick: int = DEFAULT_TICK, k: int = DISK_K) -> DataFrame:
-    weather = reached(weather, "event_time", span_of(points), WEATHER_REACH_H)
-    found = weather_aggregates(checked_points(points, tick), weather, tick, k)
+    span = span_of(points)
+    weather = reached(weather, "event_time", span, WEATHER_REACH_H)
+    found = weather_aggregates(distinct_points(points), weather, tick, k, grain=span[3])
     return attach(points, found, PER_CATEGORY).select(*points.columns, *PER_CATEGORY)
 
 
 def outage_history(points: DataFrame, outages: DataFrame, tick: int = DEFAULT_TICK, k: int = DISK_K) -> DataFrame:
     names = LAGS + TRENDS + NEIGHBOUR_OUTAGE
-    outages = reached(outages, "observed_at", span_of(points), OUTAGE_REACH_H)
-    found = outage_aggregates(checked_points(points, tick), outages, tick, k)
+    span = span_of(points)
+    outages = reached(outages, "observed_at", span, OUTAGE_REACH_H)
+    found = outage_aggregates(distinct_points(points), outages, tick, k, span[3])
     return attach(points, found, names).select(*points.columns, *names)
 
 
 def event_sequence(points: DataFrame, weather: DataFrame, tick: int = DEFAULT_TICK, k: int = DISK_K) -> DataFrame:
-    keys = checked_points(points, tick)
+    keys = distinct_points(points)
     span = span_of(points)
     weather = reached(weather, "event_time", span, WEATHER_REACH_H)
-    found = sequence_features(keys, weather, tick, k, n_disks=span[2]).join(
-        weather_aggregates(keys, weather, tick, k).select(
+    found = sequence_features(keys, weather, tick, k, n_disks=span[2], grain=span[3]).join(
+        weather_aggregates(keys, weather, tick, k, grain=span[3]).select(
             "q", "r", "t", F.col("weather_distinct_types_72h").alias("seq_distinct_types")
         ),
         ["q", "r", "t"],
@@ -150,11 +157,11 @@ def event_sequence(points: DataFrame, weather: DataFrame, tick: int = DEFAULT_TI
 
 def severity_index(points: DataFrame, weather: DataFrame, tick: int = DEFAULT_TICK, k: int = DISK_K) -> DataFrame:
     """The compound severity index alone: one pass for the categories, one for the sequence."""
-    keys = checked_points(points, tick)
+    keys = distinct_points(points)
     span = span_of(points)
     weather = reached(weather, "event_time", span, WEATHER_REACH_H)
-    found = weather_aggregates(keys, weather, tick, k).join(
-        sequence_features(keys, weather, tick, k, n_disks=span[2]), ["q", "r", "t"], "left"
+    found = weather_aggregates(keys, weather, tick, k, grain=span[3]).join(
+        sequence_features(keys, weather, tick, k, n_disks=span[2], grain=span[3]), ["q", "r", "t"], "left"
     ).withColumn("seq_distinct_types", F.col("weather_distinct_types_72h"))
     out = attach(points, found, PER_CATEGORY + SEQUENCE)
     return with_severity(with_interactions(with_cooccurrence(out))).select(*points.columns, "compound_severity_index")
@@ -300,15 +307,15 @@ def feature_table(
     leak_safe: bool = False,
 ) -> DataFrame:
     """All features for each point: one row per input row, never null."""
-    keys, span = checked_points(points, tick), span_of(points)
+    keys, span = distinct_points(points), span_of(points)
     weather = reached(weather, "event_time", span, WEATHER_REACH_H)
     outages = reached(outages, "observed_at", span, OUTAGE_REACH_H)
     load = reached(load, "recorded_at", span, 1, 1)
-    found = weather_aggregates(keys, weather, tick, k, vocabulary)
+    found = weather_aggregates(keys, weather, tick, k, vocabulary, span[3])
     found = found.join(
-        sequence_features(keys, weather, tick, k, n_disks=span[2]), ["q", "r", "t"], "left"
+        sequence_features(keys, weather, tick, k, n_disks=span[2], grain=span[3]), ["q", "r", "t"], "left"
     )
-    found = found.join(outage_aggregates(keys, outages, tick, k), ["q", "r", "t"], "full_outer")
+    found = found.join(outage_aggregates(keys, outages, tick, k, span[3]), ["q", "r", "t"], "full_outer")
     found = found.withColumn("seq_distinct_types", F.col("weather_distinct_types_72h"))
     names = ROLLING + NEIGHBOUR_WEATHER + PER_CATEGORY + SEQUENCE + LAGS + TRENDS + NEIGHBOUR_OUTAGE
     out = attach(points, found, names)
@@ -329,7 +336,7 @@ def global_rolling(points: DataFrame, weather: DataFrame, tick: int = DEFAULT_TI
         {"q": F.lit(0).cast("bigint"), "r": F.lit(0).cast("bigint")}
     )
     vocabulary = event_vocabulary(weather)
-    found = weather_aggregates(checked_points(times, tick), plane, tick, 0, vocabulary)
+    found = weather_aggregates(distinct_points(times), plane, tick, 0, vocabulary)
     found = found.select(F.timestamp_micros("t").alias("ts"), *ROLLING)
     out = points.join(found, "ts", "left")
     return out.withColumns({n: F.coalesce(F.col(n), F.lit(0.0)) for n in ROLLING}).select(
@@ -342,8 +349,9 @@ def labels(
     leak_safe: bool = False,
 ) -> DataFrame:
     """Add ``target_outage`` and ``target_max_outage_fraction``."""
-    outages = reached(outages, "observed_at", span_of(points), 0, horizon_h)
-    found = outage_labels(checked_points(points, tick), outages, tick, horizon_h, leak_safe)
+    span = span_of(points)
+    outages = reached(outages, "observed_at", span, 0, horizon_h)
+    found = outage_labels(distinct_points(points), outages, tick, horizon_h, leak_safe, span[3])
     out = keyed(points).join(found, ["q", "r", "t"], "left")
     return out.select(
         *points.columns,

@@ -3,15 +3,21 @@
 Events of a disk are ordered once inside each slice of time and summarised; a point then strings
 the summaries of its window together with a running count. Nothing is collected into arrays, and
 a busy cell is split by time, so no task holds more than one slice of one disk.
+
+Slices are as wide as the tick. Where the edges of a disk's windows lie inside a slice (points may have
+any time), they cut it there, into segments that each window holds whole or not at all. Times are doubled
+here, so that a cut lies between two microseconds: an odd number just after a window's end, or just before
+its start.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridgale.functions.clock import HOUR, common_step, micros, slice_mark
+from gridgale.functions.clock import HOUR, common_step, floor_micros, micros, slice_mark
 from gridgale.functions.hexgrid import with_disk
+from gridgale.operators.disk import grain_of
 from gridgale.operators.range_join import range_join
 
 LOOKBACK_H = 72
@@ -31,19 +37,54 @@ def suitable_width(weather: DataFrame, step: int, target: int = MAX_SLICE_ROWS)
     return step // parts
 
 
+def mark_of(t: Column, step: int) -> Column:
+    """Doubled mark of the slice of ``t``."""
+    return slice_mark(t, step) * 2
+
+
+def window_cuts(points: DataFrame, step: int) -> DataFrame:
+    """(q, r, slice, cut) of the window edges that lie inside a slice."""
+    edges = F.array(
+        F.struct(F.col("t").alias("x"), (F.col("t") * 2 + 1).alias("cut")),
+        F.struct((F.col("t") - LOOKBACK_H * HOUR).alias("x"), ((F.col("t") - LOOKBACK_H * HOUR) * 2 - 1).alias("cut")),
+    )
+    cuts = points.select("q", "r", F.explode(edges).alias("e")).where(F.pmod("e.x", F.lit(step).cast("bigint")) != 0)
+    return cuts.select("q", "r", mark_of(F.col("e.x"), step).alias("slice"), F.col("e.cut").alias("cut")).distinct()
+
+
+def segmented(events: DataFrame, points: DataFrame, step: int) -> DataFrame:
+    """``events`` in disks with ``at`` moved to the last cut before them in their slice, if there is one. Cuts and
+    events of a (disk, slice) are sorted together once."""
+    marks = window_cuts(points, step).select("q", "r", F.col("slice").alias("at"), (F.col("cut")).alias("_when"), F.lit(True).alias("_cut"))
+    both = events.withColumns({"_when": F.col("t") * 2, "_cut": F.lit(False)}).unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy("q", "r", "at").orderBy("_when").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col("_cut"), F.col("_when"))).over(w)
+    # Before the first cut, a segment is marked by its slice's start, which no window edge is in between.
+    start = F.when(F.col("at") == F.col("_when"), F.col("at")).otherwise(floor_micros(F.col("at"), 2 * step) + 1)
+    placed = both.withColumn("_at", F.coalesce(last, start)).where(~F.col("_cut"))
+    return placed.withColumn("at", F.col("_at")).drop("_at", "_when", "_cut")
+
+
 def disk_counts(weather: DataFrame, step: int, k: int) -> DataFrame:
     """Events per (disk, slice), from counts per (cell, slice): no event is copied."""
-    at = slice_mark(micros(F.col("event_time")), step)
+    at = mark_of(micros(F.col("event_time")), step)
     per_cell = weather.groupBy("q", "r", at.alias("at")).agg(F.count("*").alias("n"))
     spread = with_disk(per_cell, k).drop("q", "r").withColumnsRenamed({"nq": "q", "nr": "r"})
     return spread.groupBy("q", "r", "at").agg(F.sum("n").alias("n"))
 
 
+def in_window(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """Points with the segments of their windows."""
+    reach = LOOKBACK_H * HOUR
+    return range_join(
+        points, segments, ["q", "r"], "at", (F.col("t") - reach) * 2 - 1, F.col("t") * 2, 2 * reach
+    )
+
+
 def half_cuts(points: DataFrame, counts: DataFrame) -> DataFrame:
     """Per point, where its first half of events ends: (q, r, t, n, cut_at, cut_i), the slice
     and the 0-based rank in it of the half's last event."""
-    reach = LOOKBACK_H * HOUR
-    pairs = range_join(points, counts, ["q", "r"], "at", F.col("t") - reach, F.col("t"), reach)
+    pairs = in_window(points, counts)
     w = Window.partitionBy("q", "r", "t")
     placed = pairs.withColumns({
         "through": F.sum("n").over(w.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)),
@@ -57,19 +98,23 @@ def half_cuts(points: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def ordered_events(weather: DataFrame, step: int, k: int, tie: str, disks: DataFrame | None = None) -> DataFrame:
-    """Each event in every disk that holds it, ranked inside (disk, slice). With ``disks`` (q, r), which
-    must be few, copies for other disks are dropped before anything is shuffled."""
+def ordered_events(weather: DataFrame, step: int, k: int, tie: str, disks: DataFrame | None = None,
+                   cutting: DataFrame | None = None) -> DataFrame:
+    """Each event in every disk that holds it, ranked inside (disk, segment). With ``disks`` (q, r), which
+    must be few, copies for other disks are dropped before anything is shuffled. ``cutting`` are the points
+    whose window edges cut slices, if any does."""
     base = weather.select(
         "q", "r",
         micros(F.col("event_time")).alias("t"),
         F.col(tie).alias("tie"),
         F.coalesce(F.col("magnitude"), F.lit(0.0)).alias("mag"),
         F.coalesce(F.col("damage_property"), F.lit(0.0)).alias("dmg"),
-    ).withColumn("at", slice_mark(F.col("t"), step))
+    ).withColumn("at", mark_of(F.col("t"), step))
     spread = with_disk(base, k).drop("q", "r").withColumnsRenamed({"nq": "q", "nr": "r"})
     if disks is not None:
         spread = spread.join(F.broadcast(disks), ["q", "r"], "left_semi")
+    if cutting is not None:
+        spread = segmented(spread, cutting, step)
     w = Window.partitionBy("q", "r", "at").orderBy("t", "tie")
     return spread.withColumns({
         "i": (F.row_number().over(w) - 1).cast("bigint"),
@@ -110,6 +155,7 @@ def sequence_features(
     tie: str = "event_id",
     slice_width: int | None = None,
     n_disks: int = 0,
+    grain: int | None = None,
 ) -> DataFrame:
     """Order-dependent features per (q, r, t); ties in time are broken by ``tie``.
 
@@ -124,16 +170,20 @@ def sequence_features(
     reach = LOOKBACK_H * HOUR
     step = common_step(tick, reach)
     step = common_step(step, slice_width or suitable_width(weather, step))
-    cuts = half_cuts(points, disk_counts(weather, step, k))
+    disks = points.select("q", "r").distinct() if 0 < n_disks <= FEW_DISKS else None
+    if (grain or grain_of(points)) % step == 0:
+        ordered = ordered_events(weather, step, k, tie, disks)
+        counts = disk_counts(weather, step, k)
+    else:
+        ordered = ordered_events(weather, step, k, tie, disks, points)
+        counts = ordered.groupBy("q", "r", "at").agg(F.count("*").alias("n"))
+    cuts = half_cuts(points, counts)
     wanted = cuts.filter(F.col("cut_at").isNotNull()).groupBy("q", "r", F.col("cut_at").alias("at")).agg(
         F.collect_set("cut_i").alias("ranks")
     )
-    disks = points.select("q", "r").distinct() if 0 < n_disks <= FEW_DISKS else None
-    summaries = slice_summaries(ordered_events(weather, step, k, tie, disks), wanted)
+    summaries = slice_summaries(ordered, wanted)
     key = ["q", "r", "t"]
-    pairs = range_join(
-        cuts, summaries, ["q", "r"], "at", F.col("t") - reach, F.col("t"), reach
-    )
+    pairs = in_window(cuts, summaries)
     w = Window.partitionBy(*key).orderBy("at")
     strung = pairs.withColumns({
         "before": F.coalesce(

@@ -259,9 +259,9 @@ _DISTINCT = [c for c in feat.ROLLING if "distinct" in c]
     _point_oracle(_per_point([x for x in _rolling_sql() if "distinct" in x], _NEAR_WEATHER), _DISTINCT), [],
 ))
 def f1_distinct_types(s: Source) -> DataFrame:
-    from gridgale.operators.disk import checked_points, distinct_type_counts
+    from gridgale.operators.disk import distinct_points, distinct_type_counts
 
-    keys = checked_points(s.points, feat.DEFAULT_TICK)
+    keys = distinct_points(s.points)
     found = distinct_type_counts(keys, s.weather, feat.DEFAULT_TICK)
     out = feat.keyed(s.points).join(found, ["q", "r", "t"], "left")
     return out.select("cell", "ts", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in _DISTINCT])
@@ -429,6 +429,38 @@ def f17_outage_label(s: Source) -> DataFrame:
     return tidy(feat.labels(s.points, s.outages).drop("q", "r"))
 
 
+# Points at times that are multiples of nothing: each grid point moved by up to six hours, to a microsecond.
+_MOVED_US = "(q * 7919 + r * 104729 + 20000003) * 1000003 % 21600000000"
+_MOVED_SQL = f"FROM (SELECT cell, q, r, ts + to_microseconds(CAST({_MOVED_US} AS BIGINT)) AS ts FROM points)"
+
+
+def _moved(sql: str) -> str:
+    return sql.replace("FROM points", _MOVED_SQL)
+
+
+def moved_points(s: Source) -> DataFrame:
+    ts = F.timestamp_micros(F.unix_micros(F.col("ts")) + F.expr(_MOVED_US))
+    return s.points.withColumn("ts", ts)
+
+
+@query("f16_any_time", rounded(
+    _FULL_ROLES,
+    f"SELECT * REPLACE ({', '.join(f'round({c}, 3) AS {c}' for c in _DAMAGE)}) FROM ({_moved(_FULL_SQL)})",
+    feat.FEATURES,
+))
+def f16_any_time(s: Source) -> DataFrame:
+    """The full vector of points whose window edges cut slices everywhere."""
+    out = feat.feature_table(moved_points(s), s.weather, s.outages, s.grid_load, s.infra, s.socio).drop("q", "r")
+    return tidy(out.withColumns({c: F.round(c, 3) for c in _DAMAGE}))
+
+
+@query("f17_any_time", rounded(
+    ["weather", "points", "outages"], _moved(_LABEL_SQL), ["target_max_outage_fraction"],
+))
+def f17_any_time(s: Source) -> DataFrame:
+    return tidy(feat.labels(moved_points(s), s.outages).drop("q", "r"))
+
+
 @query("f18_point_grid", rounded(["weather", "points"], "SELECT cell, q, r, ts FROM points", []))
 def f18_point_grid(s: Source) -> DataFrame:
     return s.points

@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 from datetime import datetime, timedelta
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -139,13 +140,16 @@ def test_label_edges(spark):
     assert safe["target_outage"] == 0
 
 
-def test_points_off_the_tick_are_refused(spark):
-    points = spark.createDataFrame([(0, 0, 0, TS + timedelta(minutes=1))], POINT)
-    with pytest.raises(Exception, match="not a multiple of the tick"):
-        feat.rolling_weather(points, weather(spark, [(1, "Hail", 1.0, 0.0)]), tick=HOUR).collect()
-    # A finer tick accepts it.
-    row = feat.rolling_weather(points, weather(spark, [(1, "Hail", 1.0, 0.0)]), tick=MINUTE).first()
-    assert row["weather_count_1h"] == 0 and row["weather_count_3h"] == 1
+def test_points_may_have_any_time(spark):
+    ts = TS + timedelta(minutes=1, seconds=1)
+    points = spark.createDataFrame([(0, 0, 0, ts)], POINT)
+    # At both edges of the last hour, a microsecond outside either, and two hours before.
+    tiny = 1e-6 / 3600
+    late = -61 / 3600
+    rows = [(late, "Hail", 1.0, 0.0), (late + 1, "Hail", 2.0, 0.0), (late - tiny, "Hail", 9.0, 0.0), (late + 1 + tiny, "Hail", 4.0, 0.0)]
+    for tick in (6 * HOUR, HOUR, MINUTE):
+        row = feat.rolling_weather(points, weather(spark, rows), tick=tick).first()
+        assert (row["weather_count_1h"], row["weather_max_mag_1h"], row["weather_count_3h"]) == (2, 2.0, 3)
 
 
 # --- brute force ---------------------------------------------------------------------------
@@ -182,7 +186,7 @@ def brute(point, events, seen):
     near = {(q + dq, r + dr) for dq, dr in disk_offsets(2)}
 
     def age(t):
-        return (ts - t).total_seconds() / 3600
+        return Fraction((ts - t) // timedelta(microseconds=1), HOUR)  # exact at the edges
 
     out = {}
     disk = [(age(e[1]), e) for e in events if (e[6], e[7]) in near]
@@ -235,9 +239,25 @@ def brute(point, events, seen):
     return out
 
 
-@pytest.mark.parametrize("tick", [6 * HOUR, HOUR, 30 * MINUTE])
-def test_against_brute_force(spark, tick):
+def ragged(world):
+    """The same world with points at any microsecond, and some events exactly on their edges or just beside."""
+    events, seen, points = world
+    rng = random.Random(9)
+    points = [(c, q, r, t + timedelta(microseconds=rng.randrange(6 * HOUR))) for c, q, r, t in points]
+
+    def at_an_edge(hours):
+        return rng.choice(points)[3] - timedelta(hours=rng.choice(hours), microseconds=rng.choice([-1, 0, 0, 1]))
+
+    events = [(*e[:1], at_an_edge((0, *WEATHER_WINDOWS_H)) if e[0] % 3 == 0 else e[1], *e[2:]) for e in events]
+    seen = [(*o[:1], at_an_edge((0, 0.5, 1.5, 3, 6, 12, 24, 23.5, 167.5, 168.5)) if o[0] % 3 == 0 else o[1], *o[2:]) for o in seen]
+    return events, seen, points
+
+
+@pytest.mark.parametrize("tick,any_time", [(6 * HOUR, False), (HOUR, False), (30 * MINUTE, False), (6 * HOUR, True), (30 * MINUTE, True)])
+def test_against_brute_force(spark, tick, any_time):
     events, seen, points = random_world(tick)
+    if any_time:
+        events, seen, points = ragged((events, seen, points))
     found = feat.feature_table(
         spark.createDataFrame(points, POINT), spark.createDataFrame(events, WEATHER),
         spark.createDataFrame(seen, OUTAGE), spark.createDataFrame([], LOAD),
@@ -261,7 +281,7 @@ def test_narrow_slices_and_big_vocabulary_agree(spark):
 
     events, _, points = random_world(3)
     w, p = spark.createDataFrame(events, WEATHER), spark.createDataFrame(points, POINT)
-    keys = disk.checked_points(p, 6 * HOUR)
+    keys = disk.distinct_points(p)
     wide = sequence_features(keys, w, 6 * HOUR)
     narrow = sequence_features(keys, w, 6 * HOUR, slice_width=HOUR)
     as_rows = lambda df: sorted(tuple(round(v, 9) for v in r) for r in df.collect())
