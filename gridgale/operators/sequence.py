@@ -55,12 +55,13 @@ def window_cuts(points: DataFrame, step: int) -> DataFrame:
 def segmented(events: DataFrame, points: DataFrame, step: int) -> DataFrame:
     """``events`` in disks with ``at`` moved to the last cut before them in their slice, if there is one. Cuts and
     events of a (disk, slice) are sorted together once."""
-    marks = window_cuts(points, step).select("q", "r", F.col("slice").alias("at"), (F.col("cut")).alias("_when"), F.lit(True).alias("_cut"))
+    marks = window_cuts(points, step).select("q", "r", F.col("slice").alias("at"), F.col("cut").alias("_when"), F.lit(True).alias("_cut"))
     both = events.withColumns({"_when": F.col("t") * 2, "_cut": F.lit(False)}).unionByName(marks, allowMissingColumns=True)
     w = Window.partitionBy("q", "r", "at").orderBy("_when").rowsBetween(Window.unboundedPreceding, 0)
     last = F.max(F.when(F.col("_cut"), F.col("_when"))).over(w)
     # Before the first cut, a segment is marked by its slice's start, which no window edge is in between.
-    start = F.when(F.col("at") == F.col("_when"), F.col("at")).otherwise(floor_micros(F.col("at"), 2 * step) + 1)
+    exact = F.pmod("_when", F.lit(2 * step).cast("bigint")) == 0
+    start = F.when(exact, F.col("_when")).otherwise(floor_micros(F.col("at"), 2 * step) + 1)
     placed = both.withColumn("_at", F.coalesce(last, start)).where(~F.col("_cut"))
     return placed.withColumn("at", F.col("_at")).drop("_at", "_when", "_cut")
 
