@@ -4,8 +4,10 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles; the
 sketch. Two documents are linked when 100 * intersection >= ``PERCENT`` * union of the full sets.
 
 1. Documents with equal sets become one class, stood for by its smallest id; only these go on.
-2. Inverted lists of the retained values: a value in up to ``FREQUENT`` sketches pairs its documents, and
-   pairs are counted; too few shared values for a link end a pair before its sketches are fetched.
+2. Inverted lists of the retained values: a value in up to ``FREQUENT`` sketches pairs its documents. A link
+   needs ``_needed`` shared retained values, so each document is listed only under its rarest ones, as many as
+   one of which must be shared; how far down the lists two documents first meet ends most pairs that cannot
+   share enough before their sketches are fetched.
 3. Longer lists are not paired out. A link needs ``_needed`` shared retained values, so a document with
    fewer frequent ones meets each partner in a short list. The rest (large groups of near copies, texts
    made of common passages) is linked to one pivot per long list, the document that shares most; then
@@ -37,7 +39,7 @@ from gridgale.llm.common import id_and_text, staged, table
 from gridgale.llm.components import components, extended
 
 WORDS, K, PERCENT = 5, 64, 75
-FREQUENT, LEAST, STEP = 64, 0.5, 1.1
+FREQUENT, LEAST, STEP, HOT_VALUES = 64, 0.5, 1.1, 10_000
 
 
 def with_words(docs: DataFrame, name: str = "_words") -> DataFrame:
@@ -79,20 +81,35 @@ def _fits(n: str, other: str) -> Column:
     return F.least(n, other) * 100 >= F.greatest(n, other) * PERCENT
 
 
-def _pairs_of_short_lists(lists: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Pairs that share enough retained values: those counted here, and at most as many frequent ones as
-    the document with fewer of them (``frequent``: doc_id, n_frequent) has."""
-    left = lists.select("value", F.col("doc_id").alias("u"), F.col("n_shingles").alias("nu"))
-    right = lists.select("value", F.col("doc_id").alias("v"), F.col("n_shingles").alias("nv"))
-    met = left.join(right, "value").where((F.col("u") < F.col("v")) & _fits("nu", "nv"))
-    counted = met.groupBy("u", "v", "nu", "nv").agg(F.count("*").alias("shared"))
-    for side in ("u", "v"):
-        counted = counted.join(
-            frequent.select(F.col("doc_id").alias(side), F.col("n_frequent").alias("f" + side)), side, "left"
-        )
-    more = F.least(F.coalesce("fu", F.lit(0)), F.coalesce("fv", F.lit(0)))
-    needed = F.greatest(_needed(F.col("nu")), _needed(F.col("nv")))
-    return counted.where(F.col("shared") + more >= needed).select("u", "v")
+def _retained(entries: DataFrame, documents: int) -> DataFrame:
+    """Per document with retained values that others have too: those values with their document counts, rarest
+    first. Values of very many documents, at most ``HOT_VALUES`` whatever the corpus (all documents together have
+    ``documents`` * ``K`` entries), are broadcast, so that no task gets all entries of one."""
+    counts = staged(entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1"), "value-counts")
+    hot = F.col("df") >= max(FREQUENT + 1, math.ceil(documents * K / HOT_VALUES))
+    met = entries.join(F.broadcast(counts.where(hot)), "value", "left")
+    known = met.where("df IS NOT NULL").unionByName(met.where("df IS NULL").drop("df").join(counts.where(~hot), "value"))
+    return known.groupBy("doc_id", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("items"))
+
+
+def _pairs_of_short_lists(retained: DataFrame) -> DataFrame:
+    """Pairs that can share enough retained values. In the common order, rarest first, a document shares one of
+    its first (values - needed + 1) with each partner, so only those are listed; and after the first value that
+    two documents share, enough must be left in both."""
+    size, needed = F.size("items"), F.col("needed")
+    first = F.slice("items", 1, F.greatest(size - needed + 1, F.lit(0)).cast("int"))
+    listed = retained.withColumn("_size", size).select(
+        "doc_id", "n_shingles", "needed", "_size", F.posexplode(first).alias("at", "item")
+    ).where(F.col("item.df") <= FREQUENT)
+    lists = listed.groupBy(F.col("item.value").alias("value")).agg(F.collect_list(F.struct(
+        "doc_id", F.col("n_shingles").alias("n"), "needed", (F.col("_size") - F.col("at")).alias("left")
+    )).alias("members")).where(F.size("members") > 1)
+    met = lists.select("members", F.explode("members").alias("a")).select("a", F.explode("members").alias("b"))
+    met = met.where((F.col("a.doc_id") < F.col("b.doc_id")) & _fits("a.n", "b.n"))
+    pairs = met.groupBy(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).agg(
+        F.max(F.least("a.left", "b.left")).alias("left"), F.max(F.greatest("a.needed", "b.needed")).alias("needed"),
+    )
+    return pairs.where("left >= needed").select("u", "v")
 
 
 def _stars_of_long_lists(lists: DataFrame) -> DataFrame:
@@ -220,18 +237,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     entries = members.where("sketch IS NOT NULL").select(
         "doc_id", "n_shingles", F.explode("sketch").alias("value")
     )
-    counts = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    lists = staged(entries.join(counts, "value"), "lists")
-    short, long_ = lists.where(F.col("df") <= FREQUENT), lists.where(F.col("df") > FREQUENT)
-
-    frequent = staged(long_.groupBy("doc_id", "n_shingles").agg(
-        F.count("*").alias("n_frequent"), F.sum("df").alias("weight")
-    ).withColumn("needed", _needed(F.col("n_shingles"))), "frequent")
-    hard = staged(long_.join(frequent.where("n_frequent >= needed"), ["doc_id", "n_shingles"]), "long-lists")
-
-    links = verified(
-        staged(_likely(_pairs_of_short_lists(short, frequent).union(_stars_of_long_lists(hard)).distinct(), reps), "pairs"), texts
+    retained = staged(_retained(entries, members.count()).withColumn("needed", _needed(F.col("n_shingles"))), "retained")
+    frequent = F.filter("items", lambda x: x["df"] > FREQUENT)
+    hard = retained.select(
+        "doc_id", "n_shingles", frequent.alias("_long"), "needed",
+    ).where(F.size("_long") >= F.col("needed")).select(
+        "doc_id", "n_shingles", F.aggregate("_long", F.lit(0).cast("long"), lambda n, x: n + x["df"]).alias("weight"),
+        F.explode("_long.value").alias("value"),
     )
+    pairs = _pairs_of_short_lists(retained).union(_stars_of_long_lists(hard)).distinct()
+    links = verified(staged(_likely(staged(pairs, "candidates"), reps), "pairs"), texts)
     links = staged(links, "links")
     roots = components(links)
     sets = staged(shingle_sets(texts.join(hard.select("doc_id").distinct(), "doc_id", "left_semi").distinct()), "sets")
