@@ -200,8 +200,10 @@ def _pairs_across(sets: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs whose union sketch estimates at least LEAST."""
-    a = reps.select(F.col("doc_id").alias("u"), F.col("sketch").alias("su"))
-    b = reps.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sv"))
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    own = staged(reps.join(ids, "doc_id", "left_semi"), "pair-sketches")
+    a = own.select(F.col("doc_id").alias("u"), F.col("sketch").alias("su"))
+    b = own.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sv"))
     met = pairs.join(a, "u").join(b, "v").withColumn(
         "_union", F.slice(F.sort_array(F.array_union("su", "sv")), 1, K)
     )

@@ -199,7 +199,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 plain = io.BytesIO(content)
-                stream = io.BufferedReader(gzip.GzipFile(fileobj=plain)) if content[:2] == b"\x1f\x8b" else plain
+                stream = gzip.GzipFile(fileobj=plain) if content[:2] == b"\x1f\x8b" else plain
                 for record in parsed(stream, payloads):
                     held.append(record)
                     size += len(record[-1] or b"")
