@@ -150,19 +150,25 @@ def a9_context_rows(s: Source) -> DataFrame:
     return an.context_rows(rows, marks, hours=5).select("event_id", "event_time")
 
 
-_PROFILED = [f"cat_{c}_max_magnitude" for c in CATEGORIES] + [f"cat_{c}_event_count" for c in CATEGORIES]
+# Every compound column: pairs, interactions, categories, sequence, counts and the index.
+_PROFILED = feat.COMPOUND_GROUP
+_PROFILE_SQL = f"""(UNPIVOT (SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _PROFILED)} FROM ({_FULL_SQL}))
+    ON {', '.join(_PROFILED)} INTO NAME feature VALUE v)"""
 
 
-@query("a10_column_profile", rounded(["weather", "points"], " UNION ALL ".join(
-    f"""SELECT '{c}' AS feature, avg({c}) AS mean, max({c}) AS max,
-        avg(CASE WHEN {c} > 0 THEN 1.0E0 ELSE 0.0E0 END) AS nonzero_pct FROM ({_CATEGORY_POINTS})
-        HAVING max({c}) > 0""" for c in _PROFILED), ["mean", "max", "nonzero_pct"]))
+def _compound_columns(s: Source) -> DataFrame:
+    return full_features(s).select(*_PROFILED)
+
+
+@query("a10_column_profile", rounded(_FULL_ROLES, f"""
+    SELECT feature, avg(v) AS mean, max(v) AS max, avg(CASE WHEN v > 0 THEN 1.0E0 ELSE 0.0E0 END) AS nonzero_pct
+    FROM {_PROFILE_SQL} GROUP BY 1 HAVING max(v) > 0""", ["mean", "max", "nonzero_pct"], 4))
 def a10_column_profile(s: Source) -> DataFrame:
-    return tidy(an.column_profile(feat.per_category(s.points, s.weather), _PROFILED))
+    return tidy(an.column_profile(_compound_columns(s), _PROFILED), 4)
 
 
 def _weights_frame(s: Source) -> DataFrame:
-    """An importance per column, made from the part table: price shares of twelve sizes."""
+    """An importance per column, made from the part table: price shares of as many groups."""
     names = F.array(*[F.lit(c) for c in _PROFILED])
     return s.part.groupBy((F.col("p_partkey") % len(_PROFILED)).alias("i")).agg(
         (F.sum("p_retailprice") / 1e6).alias("importance")
@@ -173,14 +179,13 @@ _IMPORTANCE_SQL = f"""(SELECT [{', '.join(repr(c) for c in _PROFILED)}][CAST(p_p
     AS feature, sum(p_retailprice) / 1e6 AS importance FROM part GROUP BY 1)"""
 
 
-@query("a11_contributions", rounded(["weather", "points"], f"""
+@query("a11_contributions", rounded(_FULL_ROLES, f"""
     SELECT feature, importance, mean_value, importance * size AS contribution FROM (
-      {' UNION ALL '.join(f"SELECT '{c}' AS feature, avg(abs({c})) AS size, avg({c}) AS mean_value FROM ({_CATEGORY_POINTS})" for c in _PROFILED)}
+      SELECT feature, avg(abs(v)) AS size, avg(v) AS mean_value FROM {_PROFILE_SQL} GROUP BY 1
     ) JOIN {_IMPORTANCE_SQL} USING (feature) ORDER BY round(contribution, 9) DESC, feature LIMIT 15""",
-    ["importance", "mean_value", "contribution"], 5))
+    ["importance", "mean_value", "contribution"], 3))
 def a11_contributions(s: Source) -> DataFrame:
-    rows = feat.per_category(s.points, s.weather)
-    return tidy(an.contribution_scores(rows, _weights_frame(s), _PROFILED, 15), 5)
+    return tidy(an.contribution_scores(_compound_columns(s), _weights_frame(s), _PROFILED, 15), 3)
 
 
 _PEAK = "greatest(" + ", ".join(f"cat_{c}_max_magnitude" for c in CATEGORIES) + ")"
