@@ -10,8 +10,9 @@
 4. A document's posterior odds are its own evidence times the odds of its path without itself.
 
 The sums are pre-aggregated, so a host with a third of all rows costs one row per task; sites are joined
-by key, and Spark broadcasts them only when they are small. Texts are never shuffled: the evidence is
-computed once for the sums and once for the answer.
+by key, and Spark broadcasts them only when they are small. Texts are never shuffled. ``scores`` writes the
+evidence once, without texts; ``accepted`` computes it once for the sums and once for the answer, which costs
+less than to write the rows.
 
 Defined cases: a null text counts as empty; null host or path are sites of their own; documents without
 labels are scored like others; repeated rows each get a row; without both classes among the labels there
@@ -134,9 +135,8 @@ def posteriors(sums: DataFrame) -> tuple[DataFrame, float]:
     return staged(paths.withColumn("strength", F.lit(k)), "sites"), mean
 
 
-def _judged(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (with _text, _host, _path) and p_text, host_quality, path_quality, quality, kept."""
-    with_p = evidence(docs, model)
+def _judged(with_p: DataFrame) -> DataFrame:
+    """``with_p`` (with _host, _path and the evidence _p) and host_quality, _site, _quality, _kept."""
     sums = staged(
         with_p.groupBy(F.col("_host").alias("host"), F.col("_path").alias("path")).agg(
             F.count("*").alias("n"), F.sum(F.round("_p", 9).cast("decimal(20,9)")).cast("double").alias("s")
@@ -166,7 +166,7 @@ def scores(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
         F.col("doc_id").alias("_doc_id"), F.coalesce("text", F.lit("")).alias("_text"),
         F.col(host).alias("_host"), F.col(path).alias("_path"),
     )
-    return _judged(rows, learn(docs, labels)).select(
+    return _judged(staged(evidence(rows, learn(docs, labels)).drop("_text"), "evidence")).select(
         F.col("_doc_id").alias("doc_id"), F.col("_p").alias("p_text"), "host_quality", F.col("_site").alias("path_quality"),
         F.col("_quality").alias("quality"), F.col("_kept").alias("kept"),
     )
@@ -174,7 +174,7 @@ def scores(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 def accepted(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept."""
-    return _judged(_prepared(docs, host, path), learn(docs, labels)).where("_kept").select("_row.*")
+    return _judged(evidence(_prepared(docs, host, path), learn(docs, labels))).where("_kept").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
