@@ -5,7 +5,8 @@
 2. For the rest, paths become shapes (runs of digits are one variable), and equal shapes of a host one row
    with its labelled pages and how many of these are good. Level by level, a branch keeps its own name only
    where it is the single child or its share of good pages differs from its siblings' by more than ``Z``
-   standard errors; all similar branches merge into the wildcard ``*``.
+   standard errors; all similar branches merge into the wildcard ``*``. A branch that holds one shape is a
+   template at once, so the levels are as many as the longest way that two shapes of a host share, and one more.
 3. A template's purity is shrunk to its host's and that to the global share (``PULL`` pseudo-pages each);
    templates below ``PURE`` are blocked.
 
@@ -14,8 +15,8 @@ urls alone; pages meet their host only in sums, so a hot host costs one row per
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and is judged by the
 template of that; labels that are null don't count, repeated ones count as bad if one is; without labels
-all templates have purity 1; rows without ``page_id`` and repeated rows each get a row; segments beyond
-``DEPTH`` don't separate templates; extra columns are ignored.
+all templates have purity 1; rows without ``page_id`` and repeated rows each get a row; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ RULES = (
     ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
     ("com", "/fr/", "allow"), ("com", "/de/", "block"),
 )
-Z, MIN_LABELS, PULL, PURE, DEPTH = 3, 5, 10, 0.5, 8
+Z, MIN_LABELS, PULL, PURE = 3, 5, 10, 0.5
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -67,7 +68,7 @@ def _level(shapes: DataFrame, level: int) -> DataFrame:
     """Extend each shape's template by its next segment or by the wildcard that it merges into."""
     here = shapes.withColumn("_seg", F.get("segs", F.lit(level)))
     nodes = here.where("_seg IS NOT NULL").groupBy("host", "template", "_seg").agg(
-        F.sum("labelled").alias("n"), F.sum("good").alias("g")
+        F.sum("labelled").alias("n"), F.sum("good").alias("g"), F.count("*").alias("shapes")
     )
     parents = nodes.groupBy("host", "template").agg(
         F.count("*").alias("children"), F.sum("n").alias("all_n"), F.sum("g").alias("all_g")
@@ -80,12 +81,16 @@ def _level(shapes: DataFrame, level: int) -> DataFrame:
     )
     own = (F.col("children") == 1) | ((n >= MIN_LABELS) & (rest_n >= MIN_LABELS) & apart)
     names = nodes.join(parents, ["host", "template"]).select(
-        "host", "template", "_seg", F.when(own, F.col("_seg")).otherwise("*").alias("_name")
+        "host", "template", "_seg", F.when(own, F.col("_seg")).otherwise("*").alias("_name"),
+        (own & (F.col("shapes") == 1)).alias("_alone"),
     )
     joined = here.join(names, ["host", "template", "_seg"], "left")
-    return joined.withColumn(
-        "template", F.when(F.col("_name").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", "_name"))
-    ).drop("_seg", "_name")
+    rest = F.array_join(F.slice("segs", level + 1, F.greatest(F.size("segs") - level, F.lit(0))), "/")
+    name = F.when(F.col("_alone"), rest).otherwise(F.col("_name"))
+    return joined.select(
+        "host", "shape", "labelled", "good", F.when(F.col("_alone"), F.array().cast("array<string>")).otherwise(F.col("segs")).alias("segs"),
+        F.when(F.col("_name").isNull(), F.col("template")).otherwise(F.concat_ws("/", "template", name)).alias("template"),
+    )
 
 
 def templates(seen: DataFrame, documents: DataFrame) -> DataFrame:
@@ -95,13 +100,15 @@ def templates(seen: DataFrame, documents: DataFrame) -> DataFrame:
         met.groupBy("host", "shape").agg(
             F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")
         ).withColumns({
-            "segs": F.slice(F.array_remove(F.split("shape", "/"), ""), 1, DEPTH), "template": F.lit(""),
+            "segs": F.array_remove(F.split("shape", "/"), ""), "template": F.lit(""),
         }), "shapes",
     )
     row = shapes.agg(F.max(F.size("segs")), F.sum("labelled"), F.sum("good")).first()
     overall = row[2] / row[1] if row[1] else 1.0
-    for level in range(row[0] or 0):
+    deepest, level = row[0] or 0, 0
+    while level < deepest:
         shapes = staged(_level(shapes, level), "shapes")
+        deepest, level = shapes.agg(F.max(F.size("segs"))).first()[0], level + 1
 
     def pulled(to: Column) -> Column:
         return (F.col("g") + PULL * to) / (F.col("n") + PULL)
@@ -134,23 +141,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
-def _level_sql(k: int) -> str:
-    return f"""
-nodes{k} AS (
-  SELECT host, template, segs[{k + 1}] AS seg, sum(labelled)::DOUBLE AS n, sum(good)::DOUBLE AS g
-  FROM shapes{k} WHERE len(segs) > {k} GROUP BY ALL),
-named{k} AS (
-  SELECT host, template, seg, CASE WHEN children = 1 OR (n >= {MIN_LABELS} AND an - n >= {MIN_LABELS}
-    AND (g * (an - n) - (ag - g) * n) * (g * (an - n) - (ag - g) * n) * an > {Z * Z} * ag * (an - ag) * n * (an - n))
-    THEN seg ELSE '*' END AS name
-  FROM (SELECT *, count(*) OVER p AS children, sum(n) OVER p AS an, sum(g) OVER p AS ag
-        FROM nodes{k} WINDOW p AS (PARTITION BY host, template))),
-shapes{k + 1} AS (
-  SELECT s.host, s.shape, s.segs, s.labelled, s.good,
-    CASE WHEN d.name IS NULL THEN s.template ELSE s.template || '/' || d.name END AS template
-  FROM shapes{k} s LEFT JOIN named{k} d ON s.host = d.host AND s.template = d.template AND s.segs[{k + 1}] = d.seg),"""
-
-
 def _rule_sql() -> tuple[str, str]:
     name = verdict = ""
     for h, p, v in sorted(RULES, key=lambda r: -len(r[0] + r[1])):
@@ -162,7 +152,7 @@ def _rule_sql() -> tuple[str, str]:
 
 _NAME, _VERDICT = _rule_sql()
 SQL = rf"""
-WITH rests AS (
+WITH RECURSIVE rests AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
   FROM pages),
 hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM rests),
@@ -176,17 +166,30 @@ docs AS (
   SELECT doc_id AS number, CAST(coalesce(min(quality), 1) >= 1 AND coalesce(max(toxic), 0) < 1 AS BIGINT) AS good
   FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
 shapes0 AS (
-  SELECT host, shape, list_filter(string_split(shape, '/'), lambda x: x <> '')[1:{DEPTH}] AS segs,
+  SELECT host, shape, list_filter(string_split(shape, '/'), lambda x: x <> '') AS segs,
     count(good) AS labelled, coalesce(sum(good), 0) AS good, '' AS template
   FROM shaped LEFT JOIN docs USING (number) GROUP BY host, shape),
-{"".join(_level_sql(k) for k in range(DEPTH)).strip()}
+deepest AS (SELECT max(len(segs)) AS levels FROM shapes0),
+walk AS (
+  SELECT 0 AS level, host, shape, segs, labelled, good, template FROM shapes0
+  UNION ALL
+  SELECT level + 1, host, shape, segs, labelled, good, CASE WHEN seg IS NULL THEN template
+    ELSE template || '/' || CASE WHEN children = 1 OR (n >= {MIN_LABELS} AND an - n >= {MIN_LABELS}
+      AND (g * (an - n) - (ag - g) * n) * (g * (an - n) - (ag - g) * n) * an > {Z * Z} * ag * (an - ag) * n * (an - n))
+      THEN seg ELSE '*' END END
+  FROM (
+    SELECT *, CAST(sum(labelled) OVER s AS DOUBLE) AS n, CAST(sum(good) OVER s AS DOUBLE) AS g,
+      CAST(sum(labelled) FILTER (seg IS NOT NULL) OVER p AS DOUBLE) AS an,
+      CAST(sum(good) FILTER (seg IS NOT NULL) OVER p AS DOUBLE) AS ag, count(DISTINCT seg) OVER p AS children
+    FROM (SELECT walk.*, segs[level + 1] AS seg FROM walk, deepest WHERE level < levels)
+    WINDOW s AS (PARTITION BY host, template, seg), p AS (PARTITION BY host, template))),
 overall AS (SELECT CASE WHEN sum(labelled) > 0 THEN sum(good)::DOUBLE / sum(labelled) ELSE 1 END AS share FROM shapes0),
-sums AS (SELECT host, template, sum(labelled) AS n, sum(good) AS g FROM shapes{DEPTH} GROUP BY ALL),
+sums AS (SELECT host, template, sum(labelled) AS n, sum(good) AS g FROM walk, deepest WHERE level = levels GROUP BY ALL),
 host_purity AS (
   SELECT host, (sum(g) + {PULL} * share) / (sum(n) + {PULL}) AS hp FROM sums, overall GROUP BY host, share),
 purity AS (SELECT host, template, (g + {PULL} * hp) / (n + {PULL}) AS purity FROM sums JOIN host_purity USING (host))
 SELECT page_id, host, path, {_NAME} AS rule,
   coalesce({_VERDICT}, CASE WHEN purity >= {PURE}::DOUBLE THEN 'allow' ELSE 'block' END) AS verdict,
   host || template AS template, round(purity, 9) AS purity
-FROM shaped JOIN (SELECT host, shape, template FROM shapes{DEPTH}) USING (host, shape) JOIN purity USING (host, template)
+FROM shaped JOIN (SELECT host, shape, template FROM walk, deepest WHERE level = levels) USING (host, shape) JOIN purity USING (host, template)
 """
