@@ -12,12 +12,14 @@ Lists, tables and figures are parts of a text and no containers.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are told by tag,
 class and id and not kept. A tag or the ``hidden`` attribute always tells; a name tells by how it is written and
-by how little of the page's text it holds (``_told``), and nothing by name on html, body, main and article. Votes are pre-aggregated, so a hot host costs one row per path and task; the
+by how little of the page's text it holds (``_told``), and nothing by name on html, body, main and article. A form
+is told like a part of a name: one around most of the page's text is no form to leave out. Votes are pre-aggregated, so a hot host costs one row per path and task; the
 winners join the pages by host, and Spark broadcasts them only while they are small.
 
 Defined cases: a null or empty page has an empty text; a null url belongs to the empty host; a page without
 any text block votes for nothing; repeated rows each get a row; extra columns are ignored; tags that are
-not closed end with the element around them or with the next of their kind.
+not closed end with the element around them or with the next of their kind. Reading is linear in a page's
+length, however deep its elements are nested.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +48,8 @@ _BLOCK = _PARAGRAPH | frozenset(
 )
 _HOLDER = frozenset("html body main article section div details center".split())
 _NEVER = frozenset(
-    "head title nav footer aside form button select textarea fieldset noscript template iframe svg object canvas "
-    "dialog menu".split()
+    "head title nav footer aside button select option datalist textarea label legend noscript template iframe svg object "
+    "canvas dialog menu".split()
 )
 _UNWANTED = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent "
@@ -54,6 +57,7 @@ _UNWANTED = frozenset(
     "comment comments commentlist discussion disqus replies share sharing social related recommended newsletter subscribe "
     "subscription signup login search toolbar pagination pager widget hidden".split()
 )
+_FORMS = frozenset("form fieldset".split())  # a page may stand in one as a whole: told as a part of a name is
 # Names that mean little else: enough as a whole class or id, and as a part of one up to _MOST of the text.
 _PLAIN = frozenset(
     "ad ads adv advert adverts advertisement advertising cookie cookies consent gdpr comment comments commentlist disqus "
@@ -67,6 +71,8 @@ _MOST = {(True, True): float("inf"), (True, False): 0.9, (False, True): 0.75, (F
 # An opening tag ends what is open of its kind, up to the nearest element that may hold another.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
          "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_CELLS = frozenset("td th li table".split())
+_WALLS = frozenset("article section div main body aside".split())
 _SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
 _MARKUP = re.compile(
@@ -86,8 +92,8 @@ _NONE: frozenset[_Mark] = frozenset()
 @dataclass
 class _Open:
     tag: str
-    path: str
-    number: int
+    path: int
+    holder: int  # the nearest container's number, its own if it is one
     shut: bool  # nothing inside is kept
     link: bool
     marks: frozenset[_Mark]  # of this element and those around it
@@ -96,13 +102,59 @@ class _Open:
 @dataclass
 class Block:
     text: str
-    holders: tuple[tuple[int, str, str], ...]  # (number, path, tag) of the containers around it, innermost first
+    holder: int  # number of the innermost container around it
     linked: int  # characters inside links
 
 
+class Page(list[Block]):
+    """The wanted blocks in page order, and the tree of their containers: number 0 is the page, and a container's
+    number is above its parent's. Equal paths share a number; only a path that is asked for is spelled out."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.parent, self.tag, self.path = [0], [""], [0]  # of each container
+        self._steps: dict[tuple[int, str], int] = {}
+        self._names: list[tuple[int, str]] = [(0, "")]  # of each path: the path around it and its last name
+
+    def step(self, path: int, name: str) -> int:
+        """The number of the path that leads one name further."""
+        number = self._steps.setdefault((path, name), len(self._names))
+        if number == len(self._names):
+            self._names.append((path, name))
+        return number
+
+    def container(self, parent: int, tag: str, path: int) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.path.append(path)
+        return len(self.parent) - 1
+
+    def spelled(self, path: int) -> str:
+        names = []
+        while path:
+            path, name = self._names[path]
+            names.append("/" + name)
+        return "".join(reversed(names))
+
+    def numbered(self, spelled: str) -> int | None:
+        """The number of a spelled path; None where the page has no such path."""
+        path: int | None = 0
+        for name in spelled.split("/")[1:]:
+            if (path := self._steps.get((path, name))) is None:
+                return None
+        return path
+
+    def chain(self, number: int) -> list[int]:
+        """The container and those around it, the page last."""
+        out = [number]
+        while out[-1]:
+            out.append(self.parent[out[-1]])
+        return out
+
+
 def _label(tag: str, attributes: str) -> tuple[str, frozenset[_Mark], bool]:
     """Generalised ``tag.class`` name, the unwanted words among the names, and whether the element is hidden."""
-    classes, marks = "", _NONE
+    classes, marks = "", frozenset({(tag, False)}) if tag in _FORMS else _NONE
     for m in _NAMES.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").strip().lower()
         if tag not in _FRAME and not _UNWANTED.isdisjoint(_PARTS.split(value)):
@@ -111,7 +163,7 @@ def _label(tag: str, attributes: str) -> tuple[str, frozenset[_Mark], bool]:
                 if _STATE.isdisjoint(parts):
                     marks |= {(p, len(parts) == 1) for p in parts if p in _UNWANTED}
         if m[1].lower() == "class" and value:
-            classes = "." + _DIGITS.sub("N", value.split()[0])
+            classes = "." + _DIGITS.sub("N", value.split()[0]).replace("/", "_")
     hidden = "hidden" in attributes.lower() and tag not in ("html", "body") and _HIDDEN.search(_QUOTED.sub("=", attributes))
     return tag + classes, marks, bool(hidden)
 
@@ -142,18 +194,19 @@ def _told(pieces: list[tuple[str, frozenset[_Mark], bool]]) -> set[_Mark]:
     return told
 
 
-def blocks(html: str) -> list[Block]:
+def blocks(html: str) -> Page:
     """The page's wanted blocks of text in page order."""
-    stack = [_Open("", "", 0, False, False, _NONE)]
-    read: list[tuple[list[tuple[str, frozenset[_Mark], bool]], tuple[tuple[int, str, str], ...]]] = []
+    page = Page()
+    stack = [_Open("", 0, 0, False, False, _NONE)]
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of each tag in the stack
+    read: list[tuple[list[tuple[str, frozenset[_Mark], bool]], int]] = []
     words: list[tuple[str, frozenset[_Mark], bool]] = []
-    number = at = 0
+    at = 0
 
     def flush() -> None:
         nonlocal words
         if any(not w[0].isspace() for w in words):
-            held = [e for e in reversed(stack) if e.tag in _HOLDER]
-            read.append((words, (*((e.number, e.path, e.tag) for e in held), (0, "", ""))))
+            read.append((words, stack[-1].holder))
         words = []
 
     def say(raw: str) -> None:
@@ -161,9 +214,14 @@ def blocks(html: str) -> list[Block]:
         if raw and not above.shut:
             words.append((unescape(raw) if "&" in raw else raw, above.marks, above.link))
 
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
     def end(to: int) -> None:
         if any(e.tag in _BLOCK for e in stack[to:]):
             flush()
+        for e in stack[to:]:
+            places[e.tag].pop()
         del stack[to:]
 
     for m in _MARKUP.finditer(html):
@@ -173,10 +231,8 @@ def blocks(html: str) -> list[Block]:
             continue
         tag = m[3].lower()
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    end(i)
-                    break
+            if places[tag]:
+                end(places[tag][-1])
             continue
         if tag in _VOID:
             if tag == "br":
@@ -184,58 +240,65 @@ def blocks(html: str) -> list[Block]:
             elif tag == "hr":
                 flush()
             continue
-        kinds, scope = _ENDS.get(tag, {"p"} if tag in _BLOCK else set()), _SCOPE.get(tag, {"td", "th", "li", "table"})
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in kinds:
-                end(i)
-                break
-            if stack[i].tag in scope or stack[i].tag in ("article", "section", "div", "main", "body", "aside"):
-                break
+        if last := innermost(_ENDS.get(tag, _ENDS["p"] if tag in _BLOCK else ())):
+            if last > innermost(_SCOPE.get(tag, _CELLS)) and last > innermost(_WALLS):
+                end(last)
         if tag in _BLOCK:
             flush()
         name, marks, hidden = _label(tag, m[4])
-        inside = any(e.tag in ("article", "main") for e in stack)
-        number += 1
         above = stack[-1]
+        path = page.step(above.path, name) if tag in _BLOCK else above.path
+        header = tag == "header" and not places["article"] and not places["main"]
+        places[tag].append(len(stack))
         stack.append(_Open(
-            tag, f"{above.path}/{name}" if tag in _BLOCK else above.path, number,
-            above.shut or hidden or tag in _NEVER or (tag == "header" and not inside), above.link or tag == "a",
+            tag, path, page.container(above.holder, tag, path) if tag in _HOLDER else above.holder,
+            above.shut or hidden or tag in _NEVER or header, above.link or tag == "a",
             above.marks | marks if marks else above.marks,
         ))
     say(html[at:])
     flush()
     said = [w for pieces, _ in read for w in pieces]
     told = _told(said) if any(marks for _, marks, _ in said) else set()
-    out = []
-    for pieces, holders in read:
+    for pieces, holder in read:
         kept = [w for w in pieces if told.isdisjoint(w[1])] if told else pieces
         if text := " ".join("".join(w[0] for w in kept).split()):
-            out.append(Block(text, holders, sum(len(w[0]) for w in kept if w[2])))
-    return out
+            page.append(Block(text, holder, sum(len(w[0]) for w in kept if w[2])))
+    return page
+
+
+def _best(page: Page) -> int | None:
+    """The container that holds most text outside links; the first of equals."""
+    score: dict[int, float] = defaultdict(float)
+    for b in page:
+        own = max(len(b.text) - b.linked, 0)
+        score[b.holder] += own
+        if b.holder:
+            score[page.parent[b.holder]] += own / 2
+    return max(score, key=lambda k: (score[k], -k)) if score else None
 
 
-def best_container(found: list[Block]) -> str | None:
-    """Path of the container that holds most text outside links; the first of equals."""
-    score: dict[tuple[int, str, str], float] = defaultdict(float)
-    for b in found:
-        for share, holder in zip((1.0, 0.5), b.holders, strict=False):
-            score[holder] += share * max(len(b.text) - b.linked, 0)
-    return max(score, key=lambda k: (score[k], -k[0]))[1] if score else None
+def best_container(page: Page) -> str | None:
+    """Path of the best container; None where the page has no text."""
+    best = _best(page)
+    return None if best is None else page.spelled(page.path[best])
 
 
-def _has(b: Block, path: str | None) -> bool:
-    return any(p == path for _, p, _ in b.holders)
+def _first(page: Page, path: int) -> int | None:
+    """The first container of this path that has a block, directly or further inside."""
+    inside = [0 if path == 0 else None]
+    for number in range(1, len(page.parent)):
+        inside.append(number if page.path[number] == path else inside[page.parent[number]])
+    return next((inside[b.holder] for b in page if inside[b.holder] is not None), None)
 
 
-def _around(found: list[Block], path: str | None) -> list[tuple[str, str]]:
-    """(path, tag) of the container and of those around it, out to the main or else article that holds it."""
-    first = next((b.holders for b in found if _has(b, path)), ())
-    chain = [(p, t) for _, p, t in first]
-    chain = chain[next((i for i, c in enumerate(chain) if c[0] == path), 0):]
+def _around(page: Page, number: int) -> list[int]:
+    """Paths of the container and of those around it, out to the main or else article that holds it."""
+    chain = page.chain(number)
     for tag in ("main", "article"):
-        if ends := [i for i, (_, t) in enumerate(chain) if t == tag]:
-            return chain[:ends[-1] + 1]
-    return chain
+        if ends := [i for i, c in enumerate(chain) if page.tag[c] == tag]:
+            chain = chain[:ends[-1] + 1]
+            break
+    return [page.path[c] for c in chain]
 
 
 def main_text(html: str, winner: str | None) -> str:
@@ -243,18 +306,27 @@ def main_text(html: str, winner: str | None) -> str:
 
     The widest container whose blocks outside the winner are not mainly links is kept whole; of the
     containers around that one, the blocks that are not mainly links themselves."""
-    found = blocks(html)
-    if not found:
+    page = blocks(html)
+    if not page:
         return ""
-    path = winner if winner is not None and any(_has(b, winner) for b in found) else best_container(found)
-    around = [p for p, _ in _around(found, path)]
-    whole = path
-    for p in around:
-        outside = [b for b in found if _has(b, p) and not _has(b, path)]
-        if sum(2 * b.linked - len(b.text) for b in outside) <= 0:
-            whole = p
+    path = page.numbered(winner) if winner is not None else None
+    start = _first(page, path) if path is not None else None
+    if start is None:
+        start = _first(page, page.path[_best(page)])
+    around = _around(page, start)
+    # How many steps outside the winner a block stands; containers of one path count as one.
+    steps = {p: i for i, p in enumerate(around)}
+    far = [steps.get(0, len(around))]
+    for number in range(1, len(page.parent)):
+        far.append(steps.get(page.path[number], far[page.parent[number]]))
+    links = [0] * (len(around) + 1)
+    for b in page:
+        if far[b.holder]:
+            links[far[b.holder]] += 2 * b.linked - len(b.text)
+    whole = max(i for i, balance in enumerate(accumulate(links[:-1])) if balance <= 0)
     return "\n".join(
-        b.text for b in found if _has(b, whole) or _has(b, around[-1]) and 2 * b.linked <= len(b.text)
+        b.text for b in page
+        if far[b.holder] <= whole or far[b.holder] < len(around) and 2 * b.linked <= len(b.text)
     )
 
 

@@ -1,7 +1,10 @@
 """Trained and structural operators: held-out accuracy, exact round trips, and the defined cases."""
 
+import math
 import random
 import zlib
+from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -63,6 +66,48 @@ def test_quality_without_labels_keeps_everything(make):
     assert quality.accepted(table.limit(0), make("labels", [(1, 1, 0)])).count() == 0
 
 
+def test_quality_equals_a_plain_computation_from_the_evidence(spark):
+    """Sites, shrinkage and posteriors of a whole table, recomputed row by row from p_text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    where = {r.doc_id: (r.source, r.lang) for r in docs.select("doc_id", "source", "lang").collect()}
+    out = quality.scores(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    assert len(out) == docs.count()
+    paths = defaultdict(lambda: [0, 0.0])
+    for r in out:
+        site = paths[where[r.doc_id]]
+        site[0] += 1
+        site[1] += round(r.p_text, 9)
+    hosts = defaultdict(lambda: [0, 0.0])
+    for (host, _), (n, s) in paths.items():
+        hosts[host][0] += n
+        hosts[host][1] += s
+    total, good = sum(n for n, _ in paths.values()), sum(s for _, s in paths.values())
+    mean = good / total
+
+    def strength(sites):
+        spread = sum(n * ((s / n - m) ** 2 - m * (1 - m) / n) for n, s, m in sites) / total
+        if spread <= 0:
+            return quality.STRONGEST
+        return min(max(mean * (1 - mean) / spread - 1, quality.WEAKEST), quality.STRONGEST)
+
+    k = strength([(n, s, mean) for n, s in hosts.values()])
+    host_mean = {h: (s + k * mean) / (n + k) for h, (n, s) in hosts.items()}
+    k = strength([(n, s, host_mean[h]) for (h, _), (n, s) in paths.items()])
+
+    def logit(p):
+        p = min(max(p, 1e-6), 1 - 1e-6)
+        return math.log(p / (1 - p))
+
+    for r in out:
+        host = where[r.doc_id][0]
+        n, s = paths[where[r.doc_id]]
+        site = (s - r.p_text + k * host_mean[host]) / (n - 1 + k)
+        odds = logit(r.p_text) + logit(site) - logit(mean)
+        assert abs(r.host_quality - host_mean[host]) < 1e-6 and abs(r.path_quality - site) < 1e-6
+        assert abs(r.quality - 1 / (1 + math.exp(-odds))) < 1e-6
+        assert r.kept == (r.quality >= quality.KEEP)
+
+
 def test_sites_shrink_towards_their_host_and_the_global_mean(spark):
     rows = [("a", "p", 1000, 900.0), ("b", "p", 1000, 300.0), ("c", "p", 1, 0.0), ("a", "q", 1, 0.0)]
     paths, mean = quality.posteriors(spark.createDataFrame(rows, "host string, path string, n long, s double"))
@@ -221,9 +266,57 @@ def test_any_markup_is_read(page):
     html.main_text(page, html.best_container(html.blocks(page)))
 
 
-@pytest.mark.parametrize("page", ["<p>" * 30_000, "<" * 200_000, "<a \"" * 50_000, "<!--" * 50_000, "<a '\"" * 50_000, "<b>x" * 3_000])
+@pytest.mark.parametrize("page", ["<p>" * 30_000, "<" * 200_000, "<a \"" * 50_000, "<!--" * 50_000, "<a '\"" * 50_000, "<b>x" * 3_000,
+                                  "<div>x" * 100_000, "<p><td>" + "<ul>" * 50_000, "<b>" * 50_000 + "</i>" * 50_000])
 def test_hostile_pages_end(page):
-    html.blocks(page)
+    html.main_text(page, html.best_container(html.blocks(page)))
+
+
+@pytest.mark.parametrize("tag", ["form", "fieldset"])
+def test_a_form_around_the_page_is_not_left_out(tag):
+    article = "<div class='main'><p>" + "word " * 80 + "</p></div>"
+    around = f"<body><{tag} id='aspnetForm'>{article}<label>Search</label><select><option>one</select></{tag}></body>"
+    beside = f"<body>{article}<{tag}><p>Sign up for more</p></{tag}></body>"
+    for page in (around, beside):
+        assert html.main_text(page, None) == ("word " * 80).strip()
+
+
+class _Slow(HTMLParser):
+    """Well-formed pages read with another parser: (text, class of the container) of each block."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.found = [], []
+
+    def handle_starttag(self, tag, attrs):
+        self.open.append((tag, dict(attrs).get("class", "")))
+        if tag == "p":
+            self.found.append(["", [c for t, c in self.open if t == "div"][-1]])
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        if not {t for t, _ in self.open} & {"nav", "aside", "script", "footer"} and self.open[-1][0] in ("p", "b"):
+            self.found[-1][0] += data
+
+
+_PARAS = st.lists(st.tuples(st.sampled_from(["<p>{}</p>", "<p>{} <b>bold</b></p>", "<nav><p>{}</p></nav>", "<aside><p>{}</p></aside>",
+                                             "<script>{}</script>"]), st.sampled_from(["a &lt; b", "one\n  two", "caf&eacute; &#x41;", "x"])), max_size=6)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["left", "mid", "right"]), _PARAS), min_size=1, max_size=4))
+def test_pages_are_read_like_a_plain_parser(parts):
+    page = "<body>" + "".join(f"<div class='{c}'>" + "".join(p.format(t) for p, t in ps) + "</div>" for c, ps in parts) + "</body>"
+    slow = _Slow()
+    slow.feed(page)
+    want = [(" ".join(t.split()), c) for t, c in slow.found if t.strip()]
+    found = html.blocks(page)
+    assert [b.text for b in found] == [t for t, _ in want]
+    assert [found.spelled(found.path[b.holder]) for b in found] == [f"/body/div.{c}" for _, c in want]
+    # No links stand in these pages, so the text is whole whatever container wins.
+    assert html.main_text(page, "/body/div.mid") == "\n".join(t for t, _ in want)
 
 
 def test_urls_follow_rules_then_templates(make):
@@ -252,6 +345,18 @@ def test_urls_follow_rules_then_templates(make):
     assert urls.judged(df.limit(0), make("labels", labels)).count() == 0
 
 
+def test_templates_part_at_any_depth(make):
+    """Two templates that differ in their twelfth segment only, and one far deeper path alone on its host."""
+    deep = "/".join("abcdefghijk")
+    pages = [(i, f"http://s.net/{deep}/{'bad' if i < 40 else 'fine'}/{i}.html") for i in range(80)]
+    alone = "/".join(f"s{'x' * i}" for i in range(60))
+    pages.append((100, f"http://one.net/{alone}"))
+    out = {r.page_id: r for r in urls.judged(make("pages", pages), make("labels", [(i, int(i >= 40), 0) for i in range(80)])).collect()}
+    assert all(out[i].verdict == ("block" if i < 40 else "allow") for i in range(80))
+    assert out[0].template == f"s.net/{deep}/bad/{{n}}.html" and out[79].template == f"s.net/{deep}/fine/{{n}}.html"
+    assert out[100].template == f"one.net/{alone}"
+
+
 def test_similar_branches_merge(make):
     pages = make("pages", [(i, f"http://h.net/{'abcdefgh'[i % 8]}/x{i}") for i in range(160)])
     labels = make("labels", [(i, 1, 0) for i in range(160)])
