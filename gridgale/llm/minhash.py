@@ -40,6 +40,7 @@ from gridgale.llm.components import components, extended
 
 WORDS, K, PERCENT = 5, 64, 75
 FREQUENT, LEAST, STEP, HOT_VALUES = 64, 0.5, 1.1, 10_000
+SENT_IDS = 4_000_000
 
 
 def with_words(docs: DataFrame, name: str = "_words") -> DataFrame:
@@ -198,10 +199,21 @@ def _pairs_across(sets: DataFrame, roots: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows with one of ``ids`` (column doc_id). Up to ``SENT_IDS`` ids are counted and broadcast, so that the
+    wide rows don't move; more of them meet the rows in a shuffle."""
+    ids = staged(ids.distinct(), "ids")
+    few = ids.count() <= SENT_IDS
+    return rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def _in_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("doc_id"))
+
+
 def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs whose union sketch estimates at least LEAST."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    own = staged(reps.join(ids, "doc_id", "left_semi"), "pair-sketches")
+    own = staged(_only(reps, _in_pairs(pairs)).dropDuplicates(["doc_id"]), "pair-sketches")
     a = own.select(F.col("doc_id").alias("u"), F.col("sketch").alias("su"))
     b = own.select(F.col("doc_id").alias("v"), F.col("sketch").alias("sv"))
     met = pairs.join(a, "u").join(b, "v").withColumn(
@@ -213,8 +225,7 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (u, v) that are links on their full sets; only documents in a pair are shingled again."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    sets = staged(shingle_sets(docs.join(ids, "doc_id", "left_semi")), "sets")
+    sets = staged(shingle_sets(_only(docs, _in_pairs(pairs))), "sets")
     met = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("items").alias("iu")), "u").join(
         sets.select(F.col("doc_id").alias("v"), F.col("items").alias("iv")), "v"
     ).withColumn("_both", F.size(F.array_intersect("iu", "iv")))
@@ -234,7 +245,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch"),
         ), "members",
     )
-    reps = members.where("sketch IS NOT NULL").select("doc_id", "n_shingles", "sketch").dropDuplicates(["doc_id"])
+    reps = members.where("sketch IS NOT NULL").select("doc_id", "sketch")
 
     entries = members.where("sketch IS NOT NULL").select(
         "doc_id", "n_shingles", F.explode("sketch").alias("value")
@@ -251,8 +262,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = verified(staged(_likely(staged(pairs, "candidates"), reps), "pairs"), texts)
     links = staged(links, "links")
     roots = components(links)
-    sets = staged(shingle_sets(texts.join(hard.select("doc_id").distinct(), "doc_id", "left_semi").distinct()), "sets")
-    more = staged(_likely(_pairs_across(sets, roots), reps), "pairs-across")
+    sets = staged(shingle_sets(_only(texts, hard.select("doc_id")).distinct()), "sets")
+    more = staged(_likely(staged(_pairs_across(sets, roots), "candidates-across"), reps), "pairs-across")
     if not more.isEmpty():
         roots = extended(roots, verified(more, texts))
     out = members.select("doc_id", "n_shingles", "rep").join(
