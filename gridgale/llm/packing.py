@@ -25,6 +25,7 @@ import math
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,8 @@ LENGTH, END_ID = 2048, 0
 SHARD, CACHED, AT_ONCE = 50_000, 400_000, 4_000_000
 STEPS, PAIRED = 20, 12
 _LONG_WORD = 64
-_HALVES = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]+")
+_SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _SPACES = re.compile(r"[\t\n\r\x0b\x0c]")
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -53,26 +55,49 @@ class _Words(dict):
     def __init__(self, vocabulary: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import public_tokenizers
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__({"": b""})
         self.passing: list[str] = []
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        # Small Latin-1 letters are in the vocabulary's normal form and one part of its first split.
+        self.bare = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def learn(self, words: set[str]) -> None:
         """Encode new words in one call. A word of letters and closing signs is two tokens of the
         vocabulary's first split, so each half is encoded once for all words that share it."""
         self.forget()
-        halves = {w: m.groups() for w in words if len(w) <= _LONG_WORD and (m := _HALVES.fullmatch(w))}
-        whole = {w for w in words if len(w) <= _LONG_WORD and w not in halves}
-        new = [w for w in whole.union(*halves.values()) if w not in self]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = np.array(e.ids, "<u4").tobytes()
+        halves, whole = {}, set()
+        for w in words:
+            if len(w) > _LONG_WORD:
+                continue
+            head = w.rstrip(_SIGNS)
+            if len(head) < len(w) and _LETTERS.fullmatch(head):
+                tail = w[len(head):]
+                halves[w] = head, tail
+                whole.add(head)
+                whole.add(tail)
+            else:
+                whole.add(w)
+        new = [w for w in whole if w not in self]
+        letters = list(filter(_LETTERS.fullmatch, new))
+        self._encode(letters, self.bare)
+        self._encode([w for w in new if w not in self], self.tokenizer)
         for w, (head, tail) in halves.items():
             self[w] = self[head] + self[tail]
         if len(self) > CACHED:
             self.passing = [*new, *halves]
 
+    def _encode(self, words: list[str], tokenizer) -> None:
+        flat, ends = array("I"), [0]
+        for e in tokenizer.encode_batch_fast(words, add_special_tokens=False):
+            flat.extend(e.ids)
+            ends.append(4 * len(flat))
+        ids = np.array(flat, "<u4").tobytes()
+        self.update(zip(words, map(ids.__getitem__, map(slice, ends, ends[1:])), strict=True))
+
     def forget(self) -> None:
         """Beyond the room, words last for one batch only; those met first, the common ones, stay."""
         for w in self.passing:

@@ -446,3 +446,25 @@ def test_words_beyond_the_cache_are_encoded_anew(monkeypatch):
     for t in texts * 2:
         ids = words.tokenizer.encode(t, add_special_tokens=False).ids
         assert next(packing.encoded([t], words)) == np.array(ids, "<u4").tobytes()
+
+
+def test_words_of_letters_skip_the_normal_form_and_the_split():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    words = packing._Words(packing.VOCABULARY)
+    plain = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    asked = []
+
+    class Recorded:
+        def encode_batch_fast(self, new, add_special_tokens):
+            asked.extend(new)
+            return plain.encode_batch_fast(new, add_special_tokens=add_special_tokens)
+
+    words.tokenizer = Recorded()
+    text = "zebraxq straße naïve, café... ÿß' x's µm ªº don't 12ab a1 --- ouioui?! éte ǅe été's ÉTÉ <|endoftext|>"
+    parts = packing._split(text) + packing._split(text.encode("latin-1", "ignore").decode("latin-1"))
+    words.learn(set(parts))
+    for w in parts:
+        assert words[w] == np.array(plain.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+    assert not {"zebraxq", "straße", "naïve", "café", "ouioui"} & set(asked) and "µm" in asked
