@@ -29,7 +29,7 @@ import itertools
 import os
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,12 +42,11 @@ from gridgale.llm.common import arrow_rows, id_and_text, staged, table
 
 VOCABULARY_A, VOCABULARY_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 WORK, FREQUENT = 16_384, 500_000
-CACHED_TOKENS, JOINED, AT_ONCE, ENDS_AT_ONCE, KEYS_HELD = 1_000_000, 200, 500_000, 100_000, 500_000
+CACHED_TOKENS, JOINED, TEXTS, AT_ONCE, ENDS_AT_ONCE, KEYS_HELD = 1_000_000, 200, 50, 500_000, 100_000, 500_000
 BATCH_ROWS = 1_000
 # A pair of ids as one number; both vocabularies must stay below this.
 _IDS = 1 << 20
 
-_SPACE = re.compile(r"\s")
 _SLOW = re.compile(r"^ | $| \s")
 _SINGLE_SPACE = re.compile(r"(?<=[^ ]) (?=\S)")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -86,6 +85,9 @@ class Vocabularies:
         self.bytes_b = [self._piece(p) for p in names]
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self.length = {"a": self.length_a, "b": self.length_b}
+        self.joined = {s: np.frombuffer(b"".join(x), np.uint8) for s, x in (("a", self.bytes_a), ("b", self.bytes_b))}
+        self.first = {s: np.cumsum(x) - x for s, x in self.length.items()}
         self.cuts = not any(re.search("[^▁]▁", p) for p in names)
         self.clear()
 
@@ -112,28 +114,14 @@ class Vocabularies:
             return [text]
         return _SINGLE_SPACE.split(text) if _SLOW.search(text) else text.split(" ")
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: Iterable[str]) -> None:
         """Encode new words, ``JOINED`` at a time as one text: tokens that end where a word ends are that word's.
-        Words with white space inside, and texts whose token bytes come out different, go word by word."""
+        Words with spaces inside or white space around, and texts whose token bytes come out different, go word by word."""
         new = [w for w in words if w not in self.number]
-        apart = [w for w in new if not w or _SPACE.search(w)] if self.cuts else new
+        apart = [w for w in new if not w or " " in w or w.strip() != w] if self.cuts else new
         whole = list(set(new).difference(apart))
-        for at in range(0, len(whole), JOINED):
-            own = whole[at:at + JOINED]
-            text = " ".join(own)
-            raw = (" " + text).encode()
-            ids = self._ids([text])
-            ends = np.cumsum([1 + len(w.encode()) for w in own])
-            sides = []
-            for names, length, flat in ((self.bytes_a, self.length_a, ids[0][0]), (self.bytes_b, self.length_b, ids[1][0])):
-                token_ends = np.cumsum(length[flat])
-                cut = np.searchsorted(token_ends, ends)
-                good = b"".join([names[i] for i in flat]) == raw and (length[flat] > 0).all()
-                sides.append((flat, cut + 1) if good and (token_ends[cut] == ends).all() else None)
-            if None in sides:
-                apart += own
-            else:
-                self._add(own, np.ones(len(own), bool), *sides)
+        for at in range(0, len(whole), JOINED * TEXTS):
+            apart += self._learn_joined(whole[at:at + JOINED * TEXTS])
         if apart:
             exact, sides = [], []
             ids = self._ids(apart)
@@ -142,7 +130,7 @@ class Vocabularies:
                     b"".join(parts := [names[i] for i in own]) == (" " + w).encode() and b"" not in parts
                     for names, own in ((self.bytes_a, a), (self.bytes_b, b))
                 ))
-            sides = [([i for w in own for i in w], np.cumsum([len(w) for w in own])) for own in ids]
+            sides = [(np.array([i for w in own for i in w], np.int32), np.cumsum([len(w) for w in own])) for own in ids]
             self._add(apart, np.array(exact, bool), *sides)
         for s in "ab":
             self.ids[s] = np.concatenate([self.ids[s], *self.added[s, "ids"]])
@@ -150,26 +138,88 @@ class Vocabularies:
         self.exact = np.concatenate([self.exact, *self.added["exact"]])
         self.added.clear()
 
+    def _learn_joined(self, words: list[str]) -> list[str]:
+        """Learn words from joined texts; the words of texts that come out different are returned."""
+        texts = [" ".join(words[k:k + JOINED]) for k in range(0, len(words), JOINED)]
+        raw = np.frombuffer((" " + " ".join(words)).encode(), np.uint8)
+        # Each word begins at its space.
+        begins = np.append(np.flatnonzero(raw == 32), len(raw))
+        text = np.arange(len(words)) // JOINED
+        byte_text = np.repeat(text, np.diff(begins))
+        size = np.bincount(byte_text, minlength=len(texts))
+        good, sides = np.ones(len(texts), bool), {}
+        for s, own in zip("ab", self._ids(texts), strict=True):
+            counts = [len(x) for x in own]
+            flat = np.fromiter(itertools.chain.from_iterable(own), np.int32, sum(counts))
+            sides[s] = flat, np.repeat(np.arange(len(texts)), counts)
+            good &= np.bincount(sides[s][1], self.length[s][flat], len(texts)) == size
+        # Texts of another length are out; the others' bytes are compared all at once.
+        for s in "ab":
+            flat, of = sides[s]
+            flat, of = flat[good[of]], of[good[of]]
+            length = self.length[s][flat]
+            ends = np.cumsum(length)
+            first = np.repeat(self.first[s][flat] - (ends - length), length)
+            same = self.joined[s][first + np.arange(len(first))] == raw[good[byte_text]]
+            own = good[text]
+            word_ends = np.cumsum(np.diff(begins)[own])
+            cut = np.searchsorted(ends, word_ends)
+            bad = [np.repeat(of, length)[~same], of[length == 0], text[own][ends[cut] != word_ends]]
+            sides[s] = flat, of, cut, text[own], np.concatenate(bad)
+        for s in "ab":
+            good[sides[s][4]] = False
+        kept = []
+        for s in "ab":
+            flat, of, cut, word_text, _ = sides[s]
+            stays = good[of]
+            until = np.cumsum(stays)
+            kept.append((flat[stays], until[cut[good[word_text]]]))
+        if good.all():
+            self._add(words, np.ones(len(words), bool), *kept)
+            return []
+        own = good[text].tolist()
+        self._add(list(itertools.compress(words, own)), np.ones(sum(own), bool), *kept)
+        return [w for w, yes in zip(words, own, strict=True) if not yes]
+
     def _ids(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         return [e.ids for e in a], self.b.encode(texts, num_threads=1)
 
-    def _add(self, words: list[str], exact: np.ndarray, *sides: tuple[list[int], np.ndarray]) -> None:
+    def _add(self, words: list[str], exact: np.ndarray, *sides: tuple[np.ndarray, np.ndarray]) -> None:
         self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
         self.added["exact"].append(exact)
         for s, (flat, ends) in zip("ab", sides, strict=True):
-            self.added[s, "ids"].append(np.array(flat, np.int32))
+            self.added[s, "ids"].append(flat)
             self.added[s, "ends"].append(self.total[s] + ends)
             self.total[s] += len(flat)
 
+    def _numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of all texts in a row as their numbers, each distinct word looked up once, and the text of each."""
+        plain = [self.cuts and bool(t) and not _SLOW.search(t) for t in texts]
+        apart = [t for t, yes in enumerate(plain) if texts[t] and not yes]
+        split = pc.split_pattern(pa.array([t if yes else None for t, yes in zip(texts, plain, strict=True)], pa.string()), " ")
+        others = [self.words(texts[t]) for t in apart]
+        words = pa.chunked_array([split.flatten(), pa.array(list(itertools.chain.from_iterable(others)), pa.string())])
+        coded = words.combine_chunks().dictionary_encode()
+        own = coded.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.number.get, own, itertools.repeat(-1)), np.int64, len(own))
+        new = np.flatnonzero(numbers < 0)
+        fresh = [own[k] for k in new.tolist()]
+        self.learn(fresh)
+        numbers[new] = np.fromiter(map(self.number.__getitem__, fresh), np.int64, len(fresh))
+        found = numbers[coded.indices.to_numpy()]
+        text = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(split), 0).to_numpy())
+        if apart:
+            text = np.concatenate([text, np.repeat(apart, [len(w) for w in others])])
+            order = np.argsort(text, kind="stable")
+            found, text = found[order], text[order]
+        return found, text
+
     def encode(self, texts: list[str | None]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
         """Ids of all texts in a row, and how many each text has, by side."""
         if len(self.ids["a"]) > CACHED_TOKENS:
             self.clear()
-        split = [self.words(t) if t else [] for t in texts]
-        self.learn(set().union(*split))
-        found = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(split)), np.int64)
-        text = np.repeat(np.arange(len(texts)), [len(w) for w in split])
+        found, text = self._numbered(texts)
         # A word of another form after encoding takes its whole text out, unless the text comes out right.
         for t in np.unique(text[~self.exact[found]]).tolist():
             whole, numbers = (" " + texts[t]).encode(), found[text == t]
@@ -297,11 +347,14 @@ class Overlaps:
             flat = column.values.to_numpy()[offsets[0]:offsets[-1]]
             offsets = offsets.astype(np.int64) - offsets[0]
             count = batch.column(f"own_{s}").to_numpy().astype(np.int64)
-            piece = np.repeat(np.arange(self.rows), np.diff(offsets))
+            held = np.diff(offsets)
+            piece = np.repeat(np.arange(self.rows), held)
             so_far = np.concatenate([[0], np.cumsum(length[flat])])
-            end = so_far[1:] - so_far[offsets[piece]] + batch.column(f"from_{s}").to_numpy()[piece]
-            mine = np.arange(len(flat)) - offsets[piece] < count[piece]
-            np.maximum.at(span, piece[mine], end[mine])
+            end = so_far[1:] + np.repeat(batch.column(f"from_{s}").to_numpy() - so_far[offsets[:-1]], held)
+            # Whole documents hold own tokens only; other pieces one more.
+            mine = slice(None) if (held == count).all() else np.arange(len(flat)) - offsets[piece] < count[piece]
+            some = count > 0
+            span[some] = np.maximum(span[some], end[(offsets[:-1] + count - 1)[some]])
             self.ids[s], self.own[s] = flat, mine
             ends[s] = end[mine], piece[mine], count, offsets
         # Pieces one after another, so that ends rise strictly over the whole batch.
@@ -316,7 +369,7 @@ class Overlaps:
             self.common[s][inside] = at[o][found[inside]] == at[s][inside]
             piece, offsets = self.piece[s], ends[o][3]
             before = np.concatenate([[0], np.cumsum(ends[o][2])[:-1]])
-            cover[s] = offsets[piece] + found - before[piece]
+            cover[s] = found + (offsets[:-1] - before)[piece]
         # Each end of A closes a stretch, and each end of B that A does not share.
         rest = ~self.common["b"]
         self.link_a = np.concatenate([self.ids["a"][self.own["a"]], self.ids["a"][cover["b"][rest]]])
@@ -333,20 +386,22 @@ class Overlaps:
         np.add.at(out, piece, weight)
         return out
 
-    def groups(self, names: dict[tuple[str, bool], np.ndarray]) -> Iterator[tuple[str, str, str]]:
+    def groups(self, names: Names) -> Iterator[tuple[bytes, bytes, bytes]]:
         """For each piece its closed groups, and the ids that its end leaves open on either side."""
         ids = {s: self.ids[s][self.own[s]] for s in "ab"}
         group = {s: np.cumsum(self.common[s]) - self.common[s] + self.piece[s] for s in "ab"}
         size = {s: np.bincount(group[s], minlength=1) for s in "ab"}
         width = max(len(size["a"]), len(size["b"]))
         until = {s: np.concatenate([[0], np.cumsum(np.pad(size[s], (0, width - len(size[s]))))]) for s in "ab"}
-        text = np.empty(len(ids["a"]) + len(ids["b"]), object)
+        text = np.empty(len(ids["a"]) + len(ids["b"]), np.int64)
         for s, o in (("a", "b"), ("b", "a")):
             last = np.ones(len(ids[s]), bool)
             last[:-1] = group[s][1:] != group[s][:-1]
             place = np.arange(len(last)) + until[o][group[s] + (s == "b")]
-            for x in (False, True):
-                text[place[last == x]] = names[s, x][ids[s][last == x]]
+            text[place] = ids[s] + np.where(last, names.block[s, True], names.block[s, False])
+        length = names.length[text]
+        written = np.concatenate([[0], np.cumsum(length)])
+        all_ = names.joined[np.repeat(names.first[text] - written[:-1], length) + np.arange(written[-1])].tobytes()
         sizes = {s: np.concatenate([[0], np.cumsum(self.per_piece(self.piece[s]))]) for s in "ab"}
         # Own tokens after the last common end are open; they stand at the end of the piece's tokens.
         tail = {}
@@ -356,12 +411,24 @@ class Overlaps:
             np.maximum.at(closed, self.piece[s][where], where + 1 - sizes[s][self.piece[s][where]])
             tail[s] = np.diff(sizes[s]) - closed
         at = sizes["a"] + sizes["b"]
-        for p in range(self.rows):
-            n_a, n_b = int(tail["a"][p]), int(tail["b"][p])
-            end = at[p + 1]
-            open_ = text[end - n_b - n_a:end].tolist()
-            yield ("".join(text[at[p]:end - n_b - n_a].tolist())[:-1],
-                   "".join(open_[:n_a])[:-1], "".join(open_[n_a:])[:-1])
+        marks = (at[:-1], at[1:] - tail["b"] - tail["a"], at[1:] - tail["b"], at[1:])
+        for own in zip(*(written[m].tolist() for m in marks), strict=True):
+            # Without the mark after the last id.
+            yield tuple(all_[x:max(x, y - 1)] for x, y in itertools.pairwise(own))
+
+
+class Names:
+    """Ids in decimal with the mark that follows each: inside its side of a group, or at that side's end."""
+
+    def __init__(self, both: Vocabularies):
+        texts, self.block = [], {}
+        for s, n, marks in (("a", len(both.bytes_a), ",|"), ("b", len(both.bytes_b), ",;")):
+            for last, mark in enumerate(marks):
+                self.block[s, bool(last)] = len(texts)
+                texts += [f"{i}{mark}".encode() for i in range(n)]
+        self.joined = np.frombuffer(b"".join(texts), np.uint8)
+        self.length = np.array([len(x) for x in texts], np.int64)
+        self.first = np.cumsum(self.length) - self.length
 
 
 def _kept_counts(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -427,22 +494,21 @@ def aligned(docs: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B, work:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = vocabularies(a, b)
-        names = {(s, last): np.array([f"{i}{mark}" for i in range(n)], object)
-                 for s, n, marks in (("a", len(both.bytes_a), ",|"), ("b", len(both.bytes_b), ",;"))
-                 for last, mark in enumerate(marks)}
+        names = Names(both)
         keys, counts, best = known.value
+        place = pd.Index(keys)
         for batch in _portions(batches):
             o = Overlaps(batch, both)
             found = o.keys()
-            at = np.minimum(np.searchsorted(keys, found), max(0, len(keys) - 1))
-            hit = keys[at] == found if len(keys) else np.zeros(len(found), bool)
+            at = place.get_indexer(found)
+            hit = at >= 0
             piece = o.link_piece
             rare = np.argsort(piece[~hit], kind="stable")
             rare_at = np.concatenate([[0], np.cumsum(o.per_piece(piece[~hit]))])
             parts = list(o.groups(names))
             alone = batch.column("pieces").to_numpy() == 1
             n_a, n_b = o.per_piece(o.piece["a"]), o.per_piece(o.piece["b"])
-            sha = [(hashlib.sha256(closed.encode()).hexdigest() if closed else "") if one else None
+            sha = [(hashlib.sha256(closed).hexdigest() if closed else "") if one else None
                    for one, (closed, _, _) in zip(alone, parts, strict=True)]
             columns = [batch.column(c) for c in ("doc_row", "doc_id", "piece", "pieces")] + [
                 pa.array(x) for x in (
@@ -450,7 +516,7 @@ def aligned(docs: DataFrame, a: str = VOCABULARY_A, b: str = VOCABULARY_B, work:
                     o.per_piece(piece[hit][best[at[hit]]]), o.per_piece(piece[hit], counts[at[hit]]),
                 )
             ] + [pa.array(sha, pa.string())] + [
-                pa.array([None if one else p[k] for one, p in zip(alone, parts, strict=True)], pa.string()) for k in range(3)
+                pa.array([None if one else p[k].decode() for one, p in zip(alone, parts, strict=True)], pa.string()) for k in range(3)
             ] + [pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array(found[~hit][rare]))]
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _SCORED.split(", ")])
 

@@ -129,6 +129,31 @@ def test_alignment_equals_brute_force(spark, make, work, frequent):
     assert alignment.aligned(make("documents", [])).count() == 0
 
 
+def test_new_words_are_encoded_together_and_come_out_as_alone(monkeypatch):
+    both = alignment.vocabularies(alignment.VOCABULARY_A, alignment.VOCABULARY_B)
+    both.clear()
+    rng = random.Random(11)
+    words = sorted({"".join(rng.choice("abcdeñü.,1") for _ in range(rng.randrange(1, 9))) for _ in range(4000)})
+    odd = ["ﬃx", "x▁y", "aﬀa", "a\nb", "c\td", "漢字", "🎈🎈", "<s>"]
+    texts = [" ".join(words[:1500] + odd[:4]), None, "  two  " + " ".join(odd[4:]), "", " ".join(words[1500:])]
+    calls, plain = [], type(both)._ids
+    monkeypatch.setattr(type(both), "_ids", lambda self, own: calls.append(len(own)) or plain(self, own))
+    ids, counts = both.encode(texts)
+    # Some thousand words take a few calls: joined texts, those of texts that come out different, and no more.
+    assert 1 <= len(calls) <= 3
+    both.clear()
+    for s, names in (("a", both.bytes_a), ("b", both.bytes_b)):
+        starts = [0, *counts[s].cumsum().tolist()]
+        # A text with a word of another form has no tokens.
+        assert counts[s].tolist()[:2] == [0, 0] and counts[s][3] == 0 and counts[s][2] > 0 and counts[s][4] > len(words) - 1501
+        for t in (2, 4):
+            own = ids[s][starts[t]:starts[t + 1]].tolist()
+            assert b"".join(names[i] for i in own).decode() == " " + texts[t]
+            alone = plain(both, [texts[t]])[s == "b"][0]
+            assert own == alone
+    both.clear()
+
+
 # --- search --------------------------------------------------------------------------------
 
 _TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
