@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 
 from gridgale.constants import ALERT_TTL_HOURS
-from gridgale.streaming import jobs
+from gridgale.streaming import jobs, lifecycle
 from gridgale.streaming.lifecycle import alert_lifecycle
 
 SCHEMA = "region_code string, cell long, event_time timestamp, kind string, severity string, alert_id long"
@@ -52,6 +53,44 @@ def test_alert_lifecycle(spark, tmp_path):
     assert got == replay(rows)
 
 
+class HeldState:
+    """A group's state as the lifecycle uses it."""
+
+    def __init__(self, now, held=None, timed_out=False):
+        self.now, self.get, self.exists, self.hasTimedOut, self.timer = now, held, held is not None, timed_out, None
+
+    def getCurrentWatermarkMs(self):
+        return self.now
+
+    def update(self, held):
+        self.get = held
+
+    def setTimeoutTimestamp(self, at):
+        self.timer = at
+
+
+def test_group_without_changes_writes_nothing_and_unsorted_rows_are_played_in_order():
+    hour = 3_600_000
+    held = ([7, 8], ["RED", "RED"], [50 * hour, 40 * hour])
+    state = HeldState(10 * hour, held, timed_out=True)
+    assert list(lifecycle._play(("TX", 1), iter(()), state)) == []
+    assert state.get == held and state.timer == 40 * hour
+
+    rows = pd.DataFrame({
+        "at_ms": [2 * hour, hour, hour, hour], "is_ack": [True, True, None, False], "alert_id": [2, 1, 3, 2],
+        "severity": [None, None, "RED", "RED"],
+    }).astype({"is_ack": object})
+    fresh = HeldState(0)
+    got = list(lifecycle._play(("TX", None), iter([rows[:2], rows[2:]]), fresh))
+    # The acknowledgement of 1 names no alert; a row of unknown kind raises one.
+    assert [tuple(r) for r in pd.concat(got).itertuples(index=False)] == [
+        ("TX", None, 2, pd.Timestamp(hour, unit="ms"), "created", "RED"),
+        ("TX", None, 3, pd.Timestamp(hour, unit="ms"), "created", "RED"),
+        ("TX", None, 2, pd.Timestamp(2 * hour, unit="ms"), "acknowledged", "RED"),
+    ]
+    assert list(fresh.get[0]) == [3]
+
+
 def test_second_run_reads_only_new_files(spark, tmp_path):
     path, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
     schema = spark.range(1).schema
