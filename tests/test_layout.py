@@ -92,3 +92,24 @@ def test_exploded_points_are_never_broadcast(spark):
     states = spark.createDataFrame([(0, 0, 5)], "q long, r long, at long")
     found = serving_join(points.withColumn("t", F.col("t").cast("bigint")), states, ["q", "r"], F.col("t"), "at", 10**8)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 10
+
+
+def test_distinct_types_are_copied_as_words(spark):
+    """A cell's types go to the points as one mask per 62 types, however many types it saw."""
+    from datetime import datetime, timedelta
+
+    at = datetime(2024, 1, 8)
+    rng = random.Random(6)
+    rows = [(i, at - timedelta(hours=rng.randrange(80)), f"type {i % 130}", i % 3, i % 2) for i in range(400)]
+    weather = spark.createDataFrame([*rows, (400, at, None, 0, 0)], "event_id long, event_time timestamp, event_type string, q long, r long")
+    points = spark.createDataFrame([(0, 0, at), (40, 40, at)], "q long, r long, ts timestamp")
+    found = disk.distinct_type_counts(disk.distinct_points(points), weather, 6 * 3_600_000_000)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    copies = plan[:plan.index("Generate")]  # what happens to the copies made for the points
+    assert "word#" in copies and "event_type#" not in copies
+    got = [r.asDict() for r in found.collect()]
+    assert len(got) == 1 and (got[0]["q"], got[0]["r"]) == (0, 0)
+    near = [x for x in rows if (x[3], x[4]) in set(disk_offsets(2))]
+    for w in (1, 3, 6, 12, 24, 48, 72):
+        want = len({x[2] for x in near if at - x[1] <= timedelta(hours=w)})
+        assert got[0][f"weather_distinct_types_{w}h"] == want
