@@ -113,3 +113,21 @@ def test_distinct_types_are_copied_as_words(spark):
     for w in (1, 3, 6, 12, 24, 48, 72):
         want = len({x[2] for x in near if at - x[1] <= timedelta(hours=w)})
         assert got[0][f"weather_distinct_types_{w}h"] == want
+
+
+def test_catalog_rounds_ends_and_not_rows(spark):
+    from gridgale.operators import features as feat
+    from gridgale.plans.base import tidy
+    from gridgale.plans.features import tidy_catalog
+
+    names = feat.FEATURES[:4]
+    rng = random.Random(7)
+    edges = [0.0, -0.0, None, 5e-7, 4.99e-7, 4.989999999e-7, -5.01e-7, -5.0101e-7, 4e-7, -1e-9, 1.0000005, 2.4999995, -3.0000015]
+    rows = [tuple(rng.choice(edges) for _ in names[:3]) + (None,) for _ in range(60)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
+    for part in (df, df.limit(0), df.filter(f"{names[0]} = 5e-7"), spark.createDataFrame([(5e-7, float("nan"), -5.01e-7, 0.0)], df.schema)):
+        got = tidy_catalog(part)
+        want = tidy(feat.feature_catalog(tidy(part)), 4)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = tidy_catalog(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" in plan and "round(" not in plan[plan.index("Aggregate"):]
