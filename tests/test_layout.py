@@ -131,3 +131,28 @@ def test_catalog_rounds_ends_and_not_rows(spark):
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     plan = tidy_catalog(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "round(" in plan and "round(" not in plan[plan.index("Aggregate"):]
+
+
+def test_points_of_any_time_are_met_in_place(spark):
+    """Only states and points are shuffled: requests, the slices that edges cut, pairs and copies stay where they are."""
+    from datetime import datetime, timedelta
+
+    at = datetime(2024, 1, 8, 3, 7, 11, 13)
+    rng = random.Random(9)
+    weather = spark.createDataFrame(
+        [(i, at - timedelta(seconds=rng.randrange(4 * 86400)), "Hail", 1.0, 2.0, rng.randrange(20), rng.randrange(20)) for i in range(200)],
+        "event_id long, event_time timestamp, event_type string, magnitude double, damage_property double, q long, r long")
+    outages = weather.selectExpr("event_time AS observed_at", "q", "r", "0.1D AS outage_fraction")
+    points = disk.distinct_points(spark.createDataFrame([(q, r, at) for q in range(20) for r in range(20)], "q long, r long, ts timestamp"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    unbroadcast(spark)
+    try:
+        for found in (disk.weather_aggregates(points, weather, 6 * 3_600_000_000, grain=1),
+                      disk.outage_aggregates(points, outages, 6 * 3_600_000_000, grain=1)):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Join") >= 3 and "Exchange" not in plan[:plan.index("Join")]
+            # Each join reads what a repartition by tile and bucket has laid out.
+            assert "_r_tq" in plan and plan.count("ENSURE_REQUIREMENTS") < plan.count("Exchange")
+            assert found.count() > 300
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
