@@ -156,3 +156,17 @@ def test_points_of_any_time_are_met_in_place(spark):
             assert found.count() > 300
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_wide_rows_are_shuffled_by_no_join(spark):
+    from gridgale.plans.base import Source
+    from gridgale.plans.features import labelled_features
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    unbroadcast(spark)
+    try:
+        plan = labelled_features(Source(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+        third = [i for i in range(len(plan)) if plan.startswith("LeftOuter", i)][2]  # weather, sequence, outages; labels come before
+        assert "Exchange" not in plan[:third]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
