@@ -170,3 +170,26 @@ def test_wide_rows_are_shuffled_by_no_join(spark):
         assert "Exchange" not in plan[:third]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_latest_rows_are_found_before_they_are_grouped(spark, monkeypatch):
+    from datetime import datetime, timedelta
+
+    from gridgale.operators import features as feat
+
+    at = datetime(2024, 1, 8)
+    rng = random.Random(12)
+    rows = [(rng.choice([1, 2, 3, None]), at + timedelta(hours=i) if i % 5 else None, {"a": float(i)}) for i in range(40)]
+    rows += [(4, None, {"a": -1.0}), (5, at, {"a": 7.0}), (5, at, {"a": 7.0})]
+    store = spark.createDataFrame(rows, "cell long, computed_at timestamp, features map<string, double>")
+    found = feat.latest_per_cell(store)
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for cell, time, features in rows:
+        if time is not None and (cell not in want or want[cell][0] < time):
+            want[cell] = (time, features["a"])
+    want[4] = (None, None)
+    monkeypatch.setattr(feat, "FEW_CELLS", 0)
+    for got in (found, feat.latest_per_cell(store)):
+        got = got.collect()
+        assert len(got) == 6 and {r.cell: (r.computed_at, r.features and r.features["a"]) for r in got} == want
